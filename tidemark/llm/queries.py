@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.cooccurrence import cooccurrence
+from tidemark.llm.names import link_people, same_person_pairs
 from tidemark.llm.quantiles import ERROR_BOUND, bisect_percentiles, merge_partials, partial_counts, percentiles
 from tidemark.llm.ranking import ideal_point_ranking
 from tidemark.llm.topn import top_n_per_group
@@ -81,6 +82,32 @@ def p3_portions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def commit_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every canonical author of commits with the raw names and addresses it was seen with."""
+    commits = read_table(spark, sf_dir, "commits").where("canonical_author is not null").groupBy("canonical_author", "author_name", "author_email").agg(F.lit(False).alias("machine"))
+    aliases = read_table(spark, sf_dir, "author_aliases").select(F.col("canonical").alias("canonical_author"), F.col("raw_name").alias("author_name"), F.col("raw_email").alias("author_email"), F.col("is_bot").alias("machine"))
+    occurring = commits.select("canonical_author").distinct()
+    written = occurring.select(
+        "canonical_author",
+        F.regexp_extract("canonical_author", r"^(.*?)\s*<", 1).alias("author_name"),
+        F.regexp_extract("canonical_author", r"<([^>]*)>\s*$", 1).alias("author_email"),
+        F.lower("canonical_author").contains("[bot]").alias("machine"),
+    )
+    return commits.unionByName(aliases.join(occurring, "canonical_author", "left_semi")).unionByName(written)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of canonical authors that denote the same human."""
+    people = link_people(commit_identities(spark, sf_dir), "canonical_author", "author_name", "author_email", "machine")
+    return same_person_pairs(people).select(F.col("a").alias("author_a"), F.col("b").alias("author_b"))
+
+
+def p4_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person each canonical author denotes; null for machines and nameless authors."""
+    people = link_people(commit_identities(spark, sf_dir), "canonical_author", "author_name", "author_email", "machine")
+    return people.select(F.col("value").alias("canonical_author"), "person")
+
+
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place for every revision by lines added, developers and entropy together, riskiest first."""
     ranked = ideal_point_ranking(read_table(spark, sf_dir, "commits"), "rev", {"la": 1.0, "ndev": 1.0, "entropy": 1.0})
@@ -105,6 +132,8 @@ QUERIES = {
     "p3_change_loc": p3_change_loc,
     "p3_strata_curves": p3_strata_curves,
     "p3_portions": p3_portions,
+    "p4_found": p4_found,
+    "p4_people": p4_people,
     "p5_ranking": p5_ranking,
     "p10_found": p10_found,
     "p10_classes": p10_classes,
