@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.contamination import leaked_items, without_leaks
 from tidemark.llm.cooccurrence import cooccurrence
+from tidemark.llm.handwritten import classify_files, not_handwritten
 from tidemark.llm.names import link_people, same_person_pairs
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quantiles import ERROR_BOUND, bisect_percentiles, merge_partials, partial_counts, percentiles
 from tidemark.llm.ranking import ideal_point_ranking
 from tidemark.llm.topn import top_n_per_group
@@ -114,6 +117,46 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(F.col("key").alias("rev"), "place", F.round("closeness", 9).alias("closeness"))
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every distinct path of changes, by its blob where there is one."""
+    paths = read_table(spark, sf_dir, "changes").where("path is not null").select("path").distinct()
+    return classify_files(paths.join(read_table(spark, sf_dir, "blobs").select("path", "lang", "content"), "path", "left"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of changes whose file is generated, packed, copied in or data."""
+    return not_handwritten(_verdicts(spark, sf_dir))
+
+
+def p6_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of changes that describe hand-written work, prose and settings included."""
+    changes = read_table(spark, sf_dir, "changes").select("rev", "path", "change_type", "loc_added", "loc_deleted").where("path is not null")
+    return changes.distinct().join(not_handwritten(_verdicts(spark, sf_dir)), "path", "left_anti")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece, 2,048 tokens each."""
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: tokens, containers, and the fewest that could hold the tokens."""
+    used = p8_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    return used.agg(F.sum("used").alias("tokens"), F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("used") / 2048).alias("fewest"), F.max("used").alias("fullest"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the held-out items they give away."""
+    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents that give nothing away."""
+    docs = read_table(spark, sf_dir, "documents")
+    leaks = leaked_items(docs, read_table(spark, sf_dir, "eval_items"))
+    return without_leaks(docs.select("doc_id").distinct(), leaks)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with different text that show the same."""
     return visual_pairs(read_table(spark, sf_dir, "documents"))
@@ -135,6 +178,12 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_people": p4_people,
     "p5_ranking": p5_ranking,
+    "p6_found": p6_found,
+    "p6_remaining": p6_remaining,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
     "p10_found": p10_found,
     "p10_classes": p10_classes,
 }
