@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.plans import hierarchy_queries
+from collections.abc import Callable
 
-QUERIES = {**hierarchy_queries.QUERIES}
-SQL = {**hierarchy_queries.SQL}
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.plans import churn_queries, hierarchy_queries
+from tidemark.sources.facts import FactStore
+from tidemark.sources.options import QueryOptions
+
+_FAMILIES = [churn_queries]
+
+
+def _query(analysis: Callable[[FactStore], DataFrame], options: dict) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: analysis(FactStore(spark, sf_dir, QueryOptions(**options)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**hierarchy_queries.QUERIES}
+SQL: dict[str, str] = {**hierarchy_queries.SQL}
+for _family in _FAMILIES:
+    QUERIES.update({name: _query(*made) for name, made in _family.ANALYSES.items()})
+    SQL.update(_family.SQL)
