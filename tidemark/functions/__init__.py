@@ -1 +1 @@
-
+"""Statistical functions used by analyses."""

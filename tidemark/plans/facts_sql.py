@@ -16,9 +16,9 @@ FACTS = {
     "dc": "SELECT ch.*, c.canonical_author, c.author_email, c.ai_attribution, c.date, c.committer_date, c.is_merge, c.seq FROM ch JOIN c USING (rev)",
     "live": "SELECT path FROM (SELECT path, arg_max(change_type, ROW(date, -seq)) AS latest FROM dc GROUP BY 1) WHERE latest <> 'deleted'",
     "b": "SELECT DISTINCT path, lang, content FROM blobs WHERE path IS NOT NULL AND content IS NOT NULL",
-    "ln": r"""SELECT path, lang, at, line, sum(CASE WHEN regexp_matches(line, '^\s*(pub fn|func|def|export function|export const|public int|static int) [a-z]+_[a-z]+') THEN 1 ELSE 0 END)
- OVER (PARTITION BY path ORDER BY at)::BIGINT AS fn
- FROM (SELECT path, lang, generate_subscripts(parts, 1) AS at, unnest(parts) AS line FROM (SELECT path, lang, string_split(content, chr(10)) AS parts FROM b))""",
+    "ln": r"""SELECT path, lang, lno, line, sum(CASE WHEN regexp_matches(line, '^\s*(pub fn|func|def|export function|export const|public int|static int) [a-z]+_[a-z]+') THEN 1 ELSE 0 END)
+ OVER (PARTITION BY path ORDER BY lno)::BIGINT AS fn
+ FROM (SELECT path, lang, generate_subscripts(parts, 1) AS lno, unnest(parts) AS line FROM (SELECT path, lang, string_split(content, chr(10)) AS parts FROM b))""",
     "f": r"""SELECT path, lang, len(string_split(content, chr(10)))::BIGINT AS loc,
  len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS sloc,
  br AS cognitive, br + 1 AS cyclomatic,
@@ -29,7 +29,7 @@ FACTS = {
  - 16.2::DOUBLE * ln((len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) + 1)::DOUBLE) AS mi
  FROM (SELECT *, len(regexp_extract_all(content, '\b(if|for|while|case|match|catch|except|elif|switch)\b'))::BIGINT AS br FROM b)""",
     "fn": r"""SELECT path, base || '@' || start_line || '-' || end_line AS name, base, start_line, end_line, end_line - start_line + 1 AS loc, cognitive, cognitive + 1 AS cyclomatic FROM (
- SELECT path, fn, min(at)::BIGINT AS start_line, max(at)::BIGINT AS end_line, arg_min(regexp_extract(line, '([a-z]+_[a-z]+)', 1), at) AS base,
+ SELECT path, fn, min(lno)::BIGINT AS start_line, max(lno)::BIGINT AS end_line, arg_min(regexp_extract(line, '([a-z]+_[a-z]+)', 1), lno) AS base,
  sum(len(regexp_extract_all(line, '\b(if|for|while|case|match|catch|except|elif|switch)\b')))::BIGINT AS cognitive FROM ln WHERE fn > 0 GROUP BY 1, 2)""",
     "hk": """SELECT rev, path, loc_deleted % 12 + 1 AS old_start, least(loc_deleted, 6) AS old_lines, loc_added % 12 + 1 AS new_start, least(loc_added, 6) AS new_lines
  FROM ch WHERE change_type = 'modified' AND loc_added > 0""",
@@ -40,11 +40,11 @@ FACTS = {
  FROM b WHERE regexp_extract(path, '/([a-z]+)_[^/]*$', 1) <> '' GROUP BY 1, 2) t USING (repo, target)""",
     "ie": "SELECT DISTINCT src_path, target_path FROM im WHERE resolved AND src_path <> target_path",
     "cl": r"""SELECT m.*, m.start_line + 1 AS end_line, g.family_size FROM (
- SELECT path, at::BIGINT AS start_line, sha256(line || chr(10) || nxt) AS fingerprint, len(regexp_extract_all(line || chr(10) || nxt, '[A-Za-z]+'))::BIGINT AS node_count
- FROM (SELECT path, at, regexp_replace(line, '[0-9]+', '#', 'g') AS line, lead(regexp_replace(line, '[0-9]+', '#', 'g')) OVER (PARTITION BY path ORDER BY at) AS nxt FROM ln) WHERE nxt IS NOT NULL) m
+ SELECT path, lno::BIGINT AS start_line, sha256(line || chr(10) || nxt) AS fingerprint, len(regexp_extract_all(line || chr(10) || nxt, '[A-Za-z]+'))::BIGINT AS node_count
+ FROM (SELECT path, lno, regexp_replace(line, '[0-9]+', '#', 'g') AS line, lead(regexp_replace(line, '[0-9]+', '#', 'g')) OVER (PARTITION BY path ORDER BY lno) AS nxt FROM ln) WHERE nxt IS NOT NULL) m
  JOIN (SELECT fingerprint, count(*) AS family_size FROM (
  SELECT sha256(line || chr(10) || nxt) AS fingerprint, len(regexp_extract_all(line || chr(10) || nxt, '[A-Za-z]+')) AS nc
- FROM (SELECT path, at, regexp_replace(line, '[0-9]+', '#', 'g') AS line, lead(regexp_replace(line, '[0-9]+', '#', 'g')) OVER (PARTITION BY path ORDER BY at) AS nxt FROM ln) WHERE nxt IS NOT NULL)
+ FROM (SELECT path, lno, regexp_replace(line, '[0-9]+', '#', 'g') AS line, lead(regexp_replace(line, '[0-9]+', '#', 'g')) OVER (PARTITION BY path ORDER BY lno) AS nxt FROM ln) WHERE nxt IS NOT NULL)
  WHERE nc >= 10 GROUP BY 1 HAVING count(*) >= 2) g USING (fingerprint) WHERE m.node_count >= 10""",
     "mn": "SELECT rev, seq, is_merge, is_merge OR seq % 3 = 0 AS main FROM c",
     "pl": """SELECT mn.rev, mn.main, mn.is_merge, mn.seq,
