@@ -36,6 +36,11 @@ def _usable(df: DataFrame, value: str) -> DataFrame:
     return kept.where(~F.isnan(value)) if dict(df.dtypes)[value] in ("double", "float") else kept
 
 
+def _by_magnitude(value: Column) -> Column:
+    """A scale that grows with the logarithm of the magnitude on either side of 0, over all doubles."""
+    return F.signum(value) * F.when(value == 0, 0.0).otherwise(F.log(F.abs(value)) + 746.0)
+
+
 def _rounded(value: Column, bits: int) -> Column:
     """The value cut to so many significant binary digits, towards zero."""
     size = F.abs(value.cast("double"))
@@ -73,8 +78,11 @@ def bisect_percentiles(counts: DataFrame, groups: Sequence[str], percents: Seque
     """
     if not percents or any(p != int(p) or not 0 <= p <= 100 for p in percents):
         raise ValueError("percents must be whole numbers from 0 to 100")
-    counts = counts if hasattr(counts, "staged_path") else stage_table(counts)
-    groups = list(groups)
+    if taken := {"percent", "value", "weight"} & set(groups):
+        raise ValueError(f"group columns may not be named {sorted(taken)}")
+    # own names inside, so that no group column clashes with a working column
+    given, groups = list(groups), [f"_group{k}" for k in range(len(groups))]
+    counts = stage_table(counts.select(*[F.col(g).alias(n) for g, n in zip(given, groups, strict=True)], "v", "w"))
     state = (
         counts.groupBy(*groups)
         .agg(F.sum("w").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -86,7 +94,7 @@ def bisect_percentiles(counts: DataFrame, groups: Sequence[str], percents: Seque
     state = stage_table(state)
     finished = []
     while True:
-        finished.append(state.where("lo = hi").select(*groups, "percent", F.col("lo").alias("value"), F.col("total").alias("weight")))
+        finished.append(state.where("lo = hi").select(*[F.col(n).alias(g) for g, n in zip(given, groups, strict=True)], "percent", F.col("lo").alias("value"), F.col("total").alias("weight")))
         active = state.where("lo <> hi")
         if not active.take(1):
             break
@@ -102,7 +110,7 @@ def bisect_percentiles(counts: DataFrame, groups: Sequence[str], percents: Seque
         index = (
             F.when(F.col("v") == F.col("lo"), 0)
             .when(F.col("v") == F.col("hi"), fanout - 1)
-            .otherwise(F.coalesce(part(F.asinh), part(lambda c: c), F.lit(fanout // 2)))
+            .otherwise(F.coalesce(part(_by_magnitude), part(lambda c: c), F.lit(fanout // 2)))
         )
         parts = (
             rows.withColumn("part", index.cast("int"))
@@ -134,7 +142,10 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Sequ
     Defined cases: null and NaN values do not count, groups without any value give no row, repeated rows
     count as often as they occur (drop them before if they must not), an empty input gives no rows.
     """
-    return bisect_percentiles(partial_counts(df, groups, value, weight, bits=None), groups, percents)
+    inner = [f"_given{k}" for k in range(len(groups))]
+    kept = df.select(*[F.col(g).alias(n) for g, n in zip(groups, inner, strict=True)], F.col(value).alias("_value"), *([F.col(weight).alias("_weight")] if weight else []))
+    found = bisect_percentiles(partial_counts(kept, inner, "_value", "_weight" if weight else None, bits=None), inner, percents)
+    return found.withColumnsRenamed(dict(zip(inner, groups, strict=True)))
 
 
 __all__ = ["BITS", "ERROR_BOUND", "bisect_percentiles", "drop_staged", "merge_partials", "partial_counts", "percentiles"]
