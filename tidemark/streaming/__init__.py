@@ -1 +1 @@
-
+"""Structured Streaming over commit events."""
