@@ -152,14 +152,16 @@ def visual_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def visual_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs ``doc_a`` < ``doc_b`` of documents with different text that show the same.
 
-    Classes of one text, however many copies it has, give no pair and leave before any join. Candidates
-    are joined on the fold digest and the display digest together, which is the exact check.
+    Classes of one text, however many copies it has, give no pair and leave before any join. The different
+    texts of a class are paired first, on the fold digest and the display digest together, which is the
+    exact check; each pair of texts then meets its documents, so that copies of one text are never compared
+    with each other and the work follows the size of the result.
     """
     members = visual_classes(docs, doc_id, text).where("variants > 1").select("fold", "shown", "raw", "doc_id")
-    a, b = members.alias("a"), members.alias("b")
-    return (
-        a.join(b, (F.col("a.fold") == F.col("b.fold")) & (F.col("a.shown") == F.col("b.shown")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-        .where("a.raw <> b.raw")
-        .select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))
-        .distinct()
-    )
+    texts = members.select("fold", "shown", "raw").distinct()
+    other = texts.withColumnRenamed("raw", "raw_b")
+    pairs = texts.withColumnRenamed("raw", "raw_a").join(other, ["fold", "shown"]).where("raw_a < raw_b").select("raw_a", "raw_b")
+    left = members.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("x"))
+    right = members.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
+    met = pairs.join(left, "raw_a").join(right, "raw_b").where("x <> y")
+    return met.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
