@@ -13,14 +13,16 @@ Two forms of a text are made, once per distinct value of an Arrow batch:
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import stage_table
+
 # Letters of other scripts whose usual glyph is that of a Latin letter.
 _CYRILLIC = "А В Е К М Н О Р С Т Х Ѕ І Ј Ү Ԛ Ԝ а е о р с у х ѕ і ј һ ԁ ԛ ԝ"
 _CYRILLIC_AS = "A B E K M H O P C T X S I J Y Q W a e o p c y x s i j h d q w"
@@ -47,10 +49,13 @@ _SAME_GLYPH = {
     # line breaks
     **dict.fromkeys([0x0B, 0x0C, 0x85, 0x2028, 0x2029], "\n"),
 }
-_IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
-_WIDTH = regex.compile(r"[！-￮]+")
-_LINE_END = regex.compile(r"\r\n?")
-_SPACE = regex.compile(r"\s+")
+# The ranges of default-ignorable code points.
+_IGNORABLE_RANGES = (
+    "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
+)
+_IGNORABLE = re.compile("[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in _IGNORABLE_RANGES.split()) + "]+")
+_WIDTH = re.compile(r"[！-￮]+")
+_LINE_END = re.compile(r"\r\n?")
 
 
 def display_form(text: str | None) -> str | None:
@@ -71,11 +76,11 @@ def fold_form(text: str | None) -> str | None:
     if text is None:
         return None
     if text.isascii():
-        return _SPACE.sub(" ", text.casefold()).strip()
+        return " ".join(text.casefold().split())
     text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text)).translate(_SAME_GLYPH)
     text = unicodedata.normalize("NFD", text).translate(_ALIKE)
     text = unicodedata.normalize("NFKC", text.casefold())
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def _per_distinct(values: pd.Series, form) -> pd.Series:
@@ -134,7 +139,8 @@ def visual_digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Whole texts are read; only 48 bytes per document travel on.
     """
     made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return made.select("doc_id", _digests("text").alias("d")).where("not d.blank").select("doc_id", "d.fold", "d.shown", "d.raw").distinct()
+    # stored, as classes and pairs read it several times and every reading would form all texts again
+    return stage_table(made.select("doc_id", _digests("text").alias("d")).where("not d.blank").select("doc_id", "d.fold", "d.shown", "d.raw").distinct())
 
 
 def visual_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
