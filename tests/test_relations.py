@@ -136,3 +136,22 @@ def test_options_are_checked():
     for bad in ({"min_coupling_pct": 50.0, "max_coupling_pct": 40.0}, {"window_days": 0}, {"rework_window_days": 400}, {"knowledge_model": "x"}, {"time_bucket": "year"}, {"rows_limit": 0}):
         with pytest.raises(ValueError, match=r"."):
             QueryOptions(**bad)
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 9])
+def test_shared_counts_against_brute_force(spark, least):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from tidemark.operators.pairs import shared_counts
+
+    rng = random.Random(least)
+    rows = {(f"g{k}", f"i{rng.randrange(40)}") for k in range(50) for _ in range(rng.choice([1, 3, 9, 60]))} | {("hot", f"i{k}") for k in range(300)}
+    groups: dict = {}
+    for g, i in rows:
+        groups.setdefault(g, set()).add(i)
+    want = Counter(p for items in groups.values() for p in combinations(sorted(items), 2))
+    df = spark.createDataFrame(sorted(rows), "g string, i string")
+    got = {(r["a"], r["b"]): r["shared"] for r in shared_counts(df, "g", "i", least, block=8).collect()}
+    assert got == {p: n for p, n in want.items() if n >= least}

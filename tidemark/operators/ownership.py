@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.pairs import shared_counts
 from tidemark.sources.facts import FactStore, live_at
 
 HALF_LIFE_DAYS = 220.0
@@ -82,24 +83,10 @@ def entity_ownership(fs: FactStore) -> DataFrame:
 
 
 def communication(fs: FactStore) -> DataFrame:
-    """Pairs of human authors who share at least ``min_shared_revs`` paths.
-
-    A path that an author pair shares is found by a self-join on the path. So that a path of very many
-    authors does not put its pairs in one task, its authors are dealt to cells of a square: a pair meets
-    in one cell, and a hot path is spread over all of them.
-    """
+    """Pairs of human authors who share at least ``min_shared_revs`` paths, with the strength of the tie."""
     people = fs.changes.select("rev", "path").join(fs.human_commits.select("rev", "canonical_author"), "rev").select("path", "canonical_author").distinct()
     totals = fs.human_commits.groupBy("canonical_author").agg(F.count(F.lit(1)).alias("commits"))
-    # only authors with enough paths can share enough
-    wide = people.groupBy("canonical_author").agg(F.count(F.lit(1)).alias("paths")).where(F.col("paths") >= fs.options.min_shared_revs).select("canonical_author")
-    kept = people.join(wide, "canonical_author")
-    sizes = kept.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", F.greatest(F.lit(1), F.ceil(F.col("n") / 256)).cast("int").alias("cells"))
-    dealt = kept.join(sizes, "path").withColumn("cell", F.pmod(F.xxhash64("canonical_author"), "cells").cast("int"))
-    left = dealt.select("path", F.col("canonical_author").alias("author_a"), F.col("cell").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("col"))
-    right = dealt.select("path", F.col("canonical_author").alias("author_b"), F.col("cell").alias("col"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("row"))
-    pairs = (
-        left.join(right, ["path", "row", "col"]).where("author_a < author_b").groupBy("author_a", "author_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= fs.options.min_shared_revs)
-    )
+    pairs = shared_counts(people, "path", "canonical_author", fs.options.min_shared_revs).withColumnsRenamed({"a": "author_a", "b": "author_b"})
     joined = pairs.join(totals.select(F.col("canonical_author").alias("author_a"), F.col("commits").alias("ca")), "author_a").join(
         totals.select(F.col("canonical_author").alias("author_b"), F.col("commits").alias("cb")), "author_b"
     )
