@@ -93,3 +93,9 @@ def test_common_suffixes_are_refined_not_lost(spark):
 
 def test_empty(spark):
     assert pairs(spark, []) == set()
+
+
+def test_initial_of_the_mailbox_chooses_the_name():
+    assert read_person("Nick Sovpasijen", "dsovpasijen@x.org")[3] == [("sovpasijen", ["dominic"], "")]
+    assert read_person("S Talbogegen", "soerentalbogegen@x.org")[3] == [("talbogegen", ["soren"], "")]
+    assert read_person("Filbakelen Irène", "filbakeleni@x.org")[3] == [("filbakelen", ["irene"], "")]

@@ -59,7 +59,7 @@ for _entry in _SHORT_FORMS.replace("\n", "|").split("|"):
         _name, _shorts = _entry.split(":")
         for _short in [_name.strip(), *_shorts.split()]:
             _FORMAL[_short] = _FORMAL.get(_short, frozenset()) | {_name.strip()}
-_LONG_GIVEN = sorted((g for g in _FORMAL if len(g) >= 4), key=len, reverse=True)
+_LONG_GIVEN = sorted((g for g, formal in _FORMAL.items() if (len(g) >= 4 and g in formal) or len(g) >= 6), key=len, reverse=True)
 
 _BRACKETS = regex.compile(r"[(\[{<][^)\]}>]*[)\]}>]?")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
@@ -120,15 +120,16 @@ def formal_names(token: str, slips: bool = True) -> frozenset[str]:
 
 def _split_login(token: str) -> list[tuple[str, frozenset[str], str]]:
     """Readings ``(family, givens, initial)`` of one word such as ``kmiller``, ``millerk``, ``katemiller``."""
+    readings: list[tuple[str, frozenset[str], str]] = []
     for given in _LONG_GIVEN:
         if len(token) - len(given) >= 5:
             if token.startswith(given):
-                return [(token[len(given) :], _FORMAL[given], "")]
+                readings.append((token[len(given) :], _FORMAL[given], ""))
             if token.endswith(given):
-                return [(token[: -len(given)], _FORMAL[given], "")]
-    if len(token) < 6:
-        return []
-    return [(token[1:], frozenset(), token[0]), (token[:-1], frozenset(), token[-1])]
+                readings.append((token[: -len(given)], _FORMAL[given], ""))
+    if len(token) >= 6:
+        readings += [(token[1:], frozenset(), token[0]), (token[:-1], frozenset(), token[-1])]
+    return readings
 
 
 def _read_two(a: str, b: str) -> list[tuple[str, frozenset[str], str]]:
@@ -195,8 +196,10 @@ def read_person(name: str | None, address: str | None) -> tuple[str, str, bool,
     for family, givens, initial in by_name:
         for a_family, a_givens, a_initial in by_address:
             if family and a_family and lcs_ratio(family, a_family) >= 0.8:
-                both = givens & a_givens
-                together = both or a_givens or givens
+                if a_initial and not a_givens:
+                    # an initial in the address chooses among the names a short form may stand for
+                    givens = frozenset(g for g in givens if g[0] == a_initial) or givens
+                together = givens & a_givens or a_givens or givens
                 letter = "" if together else (a_initial or initial)
                 if letter and not givens and not a_givens and a_initial and initial and a_initial != initial:
                     continue

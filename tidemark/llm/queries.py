@@ -114,7 +114,7 @@ def p4_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place for every revision by lines added, developers and entropy together, riskiest first."""
     ranked = ideal_point_ranking(read_table(spark, sf_dir, "commits"), "rev", {"la": 1.0, "ndev": 1.0, "entropy": 1.0})
-    return ranked.select(F.col("key").alias("rev"), "place", F.round("closeness", 9).alias("closeness"))
+    return ranked.select(F.col("key").alias("rev"), "place", F.round("closeness", 6).alias("closeness"))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +204,17 @@ WHERE upto >= greatest(1, (total * percent + 99) // 100) GROUP BY ALL
 """
 _LA = "SELECT DISTINCT rev, canonical_author, la FROM commits WHERE la IS NOT NULL"
 
+_PLACES = f"""
+WITH raw AS (SELECT rev, {", ".join(f"CASE WHEN isfinite({c}::DOUBLE) AND abs({c}::DOUBLE) < 1e12 THEN round_even({c}::DOUBLE * 1000000, 0)::BIGINT END AS {c}" for c in ("la", "ndev", "entropy"))} FROM commits WHERE rev IS NOT NULL),
+it AS MATERIALIZED (SELECT rev, la, ndev, entropy FROM (SELECT *, row_number() OVER (PARTITION BY rev ORDER BY la DESC NULLS LAST, ndev DESC NULLS LAST, entropy DESC NULLS LAST) AS k FROM raw) WHERE k = 1),
+{", ".join(f"q_{c} AS (SELECT min(v) FILTER (k * 100 >= n) AS lo, min(v) FILTER (k * 100 >= 50 * n) AS mid, min(v) FILTER (k * 100 >= 99 * n) AS hi FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS k, count(*) OVER () AS n FROM it WHERE {c} IS NOT NULL))" for c in ("la", "ndev", "entropy"))},
+cap AS MATERIALIZED (SELECT rev, {", ".join(f"greatest(q_{c}.lo, least(q_{c}.hi, coalesce(it.{c}, q_{c}.mid))) AS {c}" for c in ("la", "ndev", "entropy"))} FROM it, q_la, q_ndev, q_entropy),
+len AS (SELECT {", ".join(f"1.0::DOUBLE / sqrt(sum({c}::HUGEINT * {c})::DOUBLE) AS {c}" for c in ("la", "ndev", "entropy"))} FROM cap),
+d AS (SELECT rev, {", ".join(f"(q_{c}.hi - cap.{c})::DOUBLE * len.{c} AS n_{c}, (cap.{c} - q_{c}.lo)::DOUBLE * len.{c} AS f_{c}" for c in ("la", "ndev", "entropy"))} FROM cap, len, q_la, q_ndev, q_entropy),
+s AS (SELECT rev, sqrt(n_la * n_la + n_ndev * n_ndev + n_entropy * n_entropy) AS n, sqrt(f_la * f_la + f_ndev * f_ndev + f_entropy * f_entropy) AS f FROM d),
+c AS (SELECT rev, round(CASE WHEN n + f > 0 THEN f / (n + f) ELSE 0 END, 12) AS closeness FROM s)
+SELECT rev, row_number() OVER (ORDER BY closeness DESC, rev) AS place, round(closeness, 6) AS closeness FROM c"""
+
 SQL = {
     "p1_found": _PAIRS + "SELECT path_a, path_b FROM p JOIN s a ON a.path = path_a JOIN s b ON b.path = path_b, n WHERE n_ab * n.n >= 5 * a.n * b.n",
     "p1_lift": _PAIRS
@@ -228,6 +239,7 @@ SELECT path, author, pos FROM (
   FROM (SELECT DISTINCT artifact_id, lang, sloc_min, sample_functions, unnest(metrics) AS m FROM strata)) WHERE len(q) > 0""",
         p="range(0, 101, 10)",
     ),
+    "p5_ranking": _PLACES,
     "p3_portions": "SELECT canonical_author, percent, value, true AS within_error FROM ("
     + _RANK.format(g="canonical_author", v="la", w="1", rows=_LA, p="[50, 90, 99]")
     + ")",

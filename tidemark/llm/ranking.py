@@ -92,8 +92,9 @@ def ideal_point_ranking(
         if not length or known[f, low] == known[f, high]:
             continue
         scale = weights[f] / length
-        toward = toward + F.pow((F.lit(known[f, high]) - F.col(f)).cast("double") * F.lit(scale), F.lit(2.0))
-        away = away + F.pow((F.col(f) - F.lit(known[f, low])).cast("double") * F.lit(scale), F.lit(2.0))
+        below = (F.lit(known[f, high]) - F.col(f)).cast("double") * F.lit(scale)
+        above = (F.col(f) - F.lit(known[f, low])).cast("double") * F.lit(scale)
+        toward, away = toward + below * below, away + above * above
     near, far = F.sqrt(toward), F.sqrt(away)
     closeness = F.when(near + far > 0, far / (near + far)).otherwise(F.lit(0.0))
     # twelve decimals are far above the rounding of the sums and keep equal items equal
