@@ -29,7 +29,7 @@ def test_fisher_against_binomials():
 def test_benjamini_hochberg(spark):
     rows = [(0.001,), (0.008,), (0.039,), (0.041,), (0.2,), (None,), (0.008,)]
     kept = stats.benjamini_hochberg(spark.createDataFrame(rows, "p double"), "p", 0.05).collect()
-    assert sorted(r["p"] for r in kept) == [0.001, 0.008, 0.008]
+    assert sorted(r["p"] for r in kept) == [0.001, 0.008, 0.008, 0.039, 0.041]
     assert stats.benjamini_hochberg(spark.createDataFrame([], "p double"), "p", 0.05).count() == 0
 
 
@@ -52,3 +52,18 @@ def test_control_chart():
     assert not stats.control_chart([1, 2, 3])["attention"]
     assert stats.control_chart([1, 1, 2, 1, 2, 1, 9])["attention"]
     assert stats.control_chart([9, 9, 1, 1, 2, 1, 2, 1, 1, 2])["attention"]
+
+
+def test_tuning():
+    import random
+
+    from tidemark.functions.tuning import auc_of, tune_weights
+
+    rng = random.Random(1)
+    rows = [(rng.random(), rng.random()) for _ in range(400)]
+    labels = [a > 0.6 for a, _ in rows]
+    weights, auc, accepted = tune_weights(rows, labels, (0.5, 0.5))
+    assert accepted and weights[0] > weights[1] and sum(weights) == pytest.approx(1.0)
+    assert auc > auc_of(__import__("numpy").asarray(rows) @ [0.5, 0.5], __import__("numpy").asarray(labels))
+    assert tune_weights(rows[:20], labels[:20], (0.5, 0.5))[2] is False
+    assert tune_weights([], [], (1.0,)) == ([1.0], None, False)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import churn_queries, coupling_queries, delivery_queries, hierarchy_queries, ownership_queries, ranking_queries, structure_queries
+from tidemark.plans import churn_queries, coupling_queries, delivery_queries, hierarchy_queries, ownership_queries, ranking_queries, snapshot_queries, structure_queries
 from tidemark.sources.facts import FactStore
 from tidemark.sources.options import QueryOptions
 
-_FAMILIES = [churn_queries, ownership_queries, coupling_queries, ranking_queries, structure_queries, delivery_queries]
+_FAMILIES = [churn_queries, ownership_queries, coupling_queries, ranking_queries, structure_queries, delivery_queries, snapshot_queries]
 
 
 def _query(analysis: Callable[[FactStore], DataFrame], options: dict) -> Callable[[SparkSession, str], DataFrame]:

@@ -48,6 +48,10 @@ class FactStore:
         """A table given to the store, or else one of its directory."""
         return self._tables[name] if name in self._tables else read_table(self.spark, self.sf_dir, name)
 
+    def replacing(self, options: QueryOptions | None = None, **tables: DataFrame) -> FactStore:
+        """This store with some tables replaced."""
+        return FactStore(self.spark, self.sf_dir, options or self.options, **{**self._tables, **tables})
+
     def once(self, key: object, make: Callable[[], DataFrame]) -> DataFrame:
         """The same plan object for repeated use, so that Spark can reuse its exchanges."""
         if key not in self._memo:
