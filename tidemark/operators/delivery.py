@@ -143,15 +143,49 @@ def release_trend(fs: FactStore) -> DataFrame:
     return r.select("n", F.round(median, 6).alias("median_days"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr_days"), F.round("slope", 9).alias("slope"), trend.alias("trend"))
 
 
+def _earlier_authors(d: DataFrame, hot_paths: int = 8) -> DataFrame:
+    """``rev``, ``ndev``: distinct authors who touched any of a commit's paths strictly before it.
+
+    The authors of a commit's busiest path are counted by a running sum over first touches; of its other
+    paths only those authors are added whom that path had not seen. The eight paths with most authors are
+    joined beforehand: every set of them that occurs in a commit (256 at most) becomes one path of its own,
+    so that no commit joins a path that everyone touches with all its authors.
+    """
+    met = stage_table(d.groupBy("path", "canonical_author").agg(F.min("date").alias("met_at")))
+    hot = [r["path"] for r in met.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "path").limit(hot_paths).collect()]
+    bit = F.lit(0)
+    for k, name in enumerate(hot):
+        bit = F.when(F.col("path") == F.lit(name), 1 << k).otherwise(bit)
+    sets = d.withColumn("bit", bit).where("bit > 0").groupBy("rev", "date").agg(F.bit_or("bit").alias("bits"))
+    marker = F.concat(F.lit("\u0001"), F.col("bits").cast("string"))
+    rows = d.withColumn("bit", bit).where("bit = 0").select("rev", "path", "date").unionByName(sets.select("rev", marker.alias("path"), "date"))
+    occurring = sets.select("bits").distinct()
+    of_sets = met.withColumn("bit", bit).where("bit > 0").join(F.broadcast(occurring), F.col("bit").bitwiseAND(F.col("bits")) > 0)
+    known = met.withColumn("bit", bit).where("bit = 0").select("path", "canonical_author", "met_at").unionByName(
+        of_sets.groupBy(marker.alias("path"), "canonical_author").agg(F.min("met_at").alias("met_at"))
+    )
+    known = stage_table(known)
+    new = known.groupBy("path", F.col("met_at").alias("date")).agg(F.count(F.lit(1)).alias("new"))
+    back = Window.partitionBy("path").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    # an author may meet a set in a commit of another set, so first touches are moments as well
+    moments = rows.select("path", "date", F.lit(0).alias("new")).unionByName(new).groupBy("path", "date").agg(F.sum("new").alias("new"))
+    devs = moments.select("path", "date", F.coalesce(F.sum("new").over(back), F.lit(0)).alias("devs"))
+    seen = stage_table(rows.join(devs, ["path", "date"]))
+    main = seen.groupBy("rev").agg(F.max(F.struct("devs", "path")).alias("m")).select("rev", "m.devs", F.col("m.path").alias("main"))
+    others = seen.drop("devs").join(main, "rev").where("path <> main")
+    foreign = others.join(known, "path").where("met_at < date").select("rev", "main", "date", "canonical_author").distinct()
+    there = known.select(F.col("path").alias("main"), "canonical_author", F.col("met_at").alias("main_at"))
+    extra = foreign.join(there, ["main", "canonical_author"], "left").where("main_at is null or main_at >= date").groupBy("rev").agg(F.count(F.lit(1)).alias("extra"))
+    return main.join(extra, "rev", "left").select("rev", (F.col("devs") + F.coalesce("extra", F.lit(0))).alias("ndev"))
+
+
 def kamei_features(fs: FactStore, fix_pattern: str = r"(?i)\b(fix|bug|defect|patch|repair)\w*") -> DataFrame:
     """Change-risk features of every commit with changes.
 
     Sizes and spreads come from the commit's own paths. ``nuc`` (earlier changes of its paths), ``age`` (mean
     days since they changed) and ``ndev`` (earlier authors) look strictly back in time; experience counts the
     author's earlier commits (``exp``), weighs them by years (``rexp``), and takes the most of one top folder
-    (``sexp``). Earlier counts come from windows per path or author; distinct earlier authors of several
-    paths are counted as those of the commit's busiest path plus those of its other paths that this one
-    had not seen, so that a path everyone touches is never joined with all its authors.
+    (``sexp``). Earlier counts come from windows per path or author.
     """
     d = fs.dated_changes.select("rev", "path", "loc_added", "loc_deleted", "canonical_author", "date")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -169,17 +203,8 @@ def kamei_features(fs: FactStore, fix_pattern: str = r"(?i)\b(fix|bug|defect|pat
     moments = d.groupBy("path", "date").agg(F.count(F.lit(1)).alias("n"))
     back = Window.partitionBy("path").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     before = moments.select("path", "date", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("prior"), F.max("date").over(back).alias("last_at"))
-    met = d.groupBy("path", "canonical_author").agg(F.min("date").alias("met_at"))
-    newcomers = met.groupBy("path", F.col("met_at").alias("date")).agg(F.count(F.lit(1)).alias("new"))
-    devs = moments.select("path", "date").join(newcomers, ["path", "date"], "left").select("path", "date", F.coalesce(F.sum("new").over(back), F.lit(0)).alias("devs"))
-    seen = stage_table(d.join(before, ["path", "date"]).join(devs, ["path", "date"]).select("rev", "path", "date", "prior", "last_at", "devs"))
-    history = seen.groupBy("rev").agg(
-        F.sum("prior").alias("nuc"), F.round(F.coalesce(F.avg(F.datediff("date", "last_at")), F.lit(0.0)), 6).alias("age"), F.max_by(F.struct("path", "devs"), F.struct("devs", "path")).alias("busiest")
-    )
-    others = seen.join(history.select("rev", F.col("busiest.path").alias("main")), "rev").where("path <> main").select("rev", "main", "path", "date")
-    foreign = others.join(met, "path").where("met_at < date").select("rev", "main", "date", "canonical_author").distinct()
-    known = met.select(F.col("path").alias("main"), "canonical_author", F.col("met_at").alias("main_at"))
-    extra = foreign.join(known, ["main", "canonical_author"], "left").where("main_at is null or main_at >= date").groupBy("rev").agg(F.count(F.lit(1)).alias("extra"))
+    history = d.join(before, ["path", "date"]).groupBy("rev").agg(F.sum("prior").alias("nuc"), F.round(F.coalesce(F.avg(F.datediff("date", "last_at")), F.lit(0.0)), 6).alias("age"))
+    ndev = _earlier_authors(d)
     # experience by distinct moment of an author
     c = fs.commits.select("rev", "canonical_author", "date", "message")
     mine = Window.partitionBy("canonical_author").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
@@ -201,7 +226,7 @@ def kamei_features(fs: FactStore, fix_pattern: str = r"(?i)\b(fix|bug|defect|pat
     return (
         own.join(c.withColumn("y", F.year("date")), "rev")
         .join(history, "rev")
-        .join(extra, "rev", "left")
+        .join(ndev, "rev")
         .join(exp, ["canonical_author", "date"])
         .join(within, ["canonical_author", "date"])
         .join(older, ["canonical_author", "y"], "left")
@@ -216,7 +241,7 @@ def kamei_features(fs: FactStore, fix_pattern: str = r"(?i)\b(fix|bug|defect|pat
             "ld",
             F.lit(0.0).alias("lt"),
             F.coalesce(F.col("message").rlike(fix_pattern), F.lit(False)).alias("fix"),
-            (F.col("busiest.devs") + F.coalesce("extra", F.lit(0))).alias("ndev"),
+            "ndev",
             "age",
             "nuc",
             "exp",
