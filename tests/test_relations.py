@@ -132,6 +132,13 @@ def test_delta_health(spark):
     assert {(r["base"], r["outcome"]) for r in delivery.delta_health(before, after).collect()} == {("x", "good"), ("y", "bad"), ("gone", "removed"), ("born", "new")}
 
 
+def test_szz_has_no_age_limit(spark):
+    commits = [{"rev": "old", "date": "2022-01-01 12:00:00"}, {"rev": "near", "date": "2025-12-01 12:00:00"}, {"rev": "fix", "date": "2026-03-01 12:00:00", "message": "fix it"}]
+    # regions are derived from counts: of old, lines 3-4 of both; of near, lines 11-16 of b; the fix takes lines 4-6 of a and b
+    changes = [("old", "a", "modified", None, 2, 0), ("old", "b", "modified", None, 2, 0), ("near", "b", "modified", None, 10, 0), ("fix", "a", "modified", None, 1, 3), ("fix", "b", "modified", None, 1, 3)]
+    assert {tuple(r) for r in delivery.szz_candidates(store(spark, commits, changes)).collect()} == {("fix", "a", "old"), ("fix", "b", "old")}
+
+
 def test_options_are_checked():
     for bad in ({"min_coupling_pct": 50.0, "max_coupling_pct": 40.0}, {"window_days": 0}, {"rework_window_days": 400}, {"knowledge_model": "x"}, {"time_bucket": "year"}, {"rows_limit": 0}):
         with pytest.raises(ValueError, match=r"."):

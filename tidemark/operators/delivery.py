@@ -347,21 +347,25 @@ def szz_candidates(fs: FactStore, max_files: int = 8, max_churn: int = 400, patt
     """Commits that a fix implicates: ``fix_rev``, ``path``, ``bug_rev``.
 
     A fix names itself, touches at most eight paths and 400 lines, and only modifications that delete lines
-    count. The last earlier region on the path that overlaps the fix's old side is implicated.
+    count. The last earlier region on the path that overlaps the fix's old side is implicated, however old it is.
     """
-    sizes = fs.changes.groupBy("rev").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("loc_added") + F.col("loc_deleted")).alias("churn")).where((F.col("n") <= max_files) & (F.col("churn") <= max_churn))
-    fixes = fs.commits.where(F.col("message").rlike(pattern)).join(sizes, "rev", "left_semi").select("rev", "date")
-    h = fs.hunks.join(fs.commits.select("rev", "date"), "rev")
-    f = fs.hunks.where("old_lines > 0").join(fixes, "rev").select("path", F.col("rev").alias("fix_rev"), "old_start", "old_lines", F.col("date").alias("fixed_at"))
-    # regions of a path meet in bins of 180 days, each fix with its own bin and the one before
-    width = 180
-    bin_of = F.floor(F.unix_date(F.to_date("fixed_at")) / width)
-    wanted = f.withColumn("bin", F.explode(F.array(bin_of, bin_of - 1)))
-    made = h.select("path", "rev", "new_start", "new_lines", "date", F.floor(F.unix_date(F.to_date("date")) / width).alias("bin"))
-    hit = wanted.join(made, ["path", "bin"]).where(
-        (F.col("date") < F.col("fixed_at")) & (F.col("new_start") < F.col("old_start") + F.col("old_lines")) & (F.col("new_start") + F.col("new_lines") > F.col("old_start"))
-    )
-    return hit.groupBy("fix_rev", "path").agg(F.max_by("rev", F.struct("date", "rev")).alias("bug_rev"))
+    by_rev = fs.replacing(changes=fs.table("changes").repartition("rev"))  # one exchange serves duplicates, sizes and joins
+    sizes = by_rev.changes.groupBy("rev").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("loc_added") + F.col("loc_deleted")).alias("churn")).where((F.col("n") <= max_files) & (F.col("churn") <= max_churn))
+    fixes = fs.commits.where(F.col("message").rlike(pattern)).join(sizes, "rev", "left_semi").select("rev", F.lit(True).alias("fix"))
+    dated = fs.commits.select("rev", F.unix_micros("date").alias("at")).where("at is not null")
+    h = by_rev.hunks.join(dated, "rev").join(fixes, "rev", "left").repartition("path")
+
+    def lines(start: str, count: str, old: bool):
+        return F.transform(F.sequence(F.lit(0), F.col(count).cast("int") - 1), lambda k: F.struct((F.col(start) + k).alias("line"), F.lit(old).alias("old")))
+
+    # regions are a few lines long, so they meet line by line: each line of a fix takes the latest region before it
+    fixed = F.when(F.col("fix") & (F.col("old_lines") > 0), lines("old_start", "old_lines", True)).otherwise(F.array())
+    made = F.when(F.col("new_lines") > 0, lines("new_start", "new_lines", False)).otherwise(F.array())
+    met = h.select("path", "rev", "at", F.explode(F.concat(made, fixed)).alias("l")).select("path", "rev", "at", "l.line", "l.old")
+    earlier = Window.partitionBy("path", "line").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    latest = F.max(F.when(~F.col("old"), F.struct("at", "rev"))).over(earlier)
+    hit = met.select("path", "rev", "old", latest.alias("hit")).where("old and hit is not null")
+    return hit.groupBy(F.col("rev").alias("fix_rev"), "path").agg(F.max("hit")["rev"].alias("bug_rev"))
 
 
 def defect_validation(fs: FactStore, names: Sequence[str] = ("auc", "precision_at_10")) -> DataFrame:
