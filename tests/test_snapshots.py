@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.test_relations import days, store
 from tidemark.operators import snapshots as snap
+from tidemark.operators import structure
 from tidemark.sources.cache import cached_facts, store_key
 
 
@@ -50,3 +51,22 @@ def test_overlay(spark):
     edited = spark.createDataFrame([("x/y/a.py", "python", "if a:\n    pass")], "path string, lang string, content string")
     assert snap.overlay(fs, edited).files.select(F.sum("cognitive")).first()[0] == 1
     assert snap.overlay(snap.overlay(fs, edited), edited.where("false"), edited).files.count() == 0
+
+
+def test_cycle_origins_of_every_commit(spark):
+    rows, changes = [], []
+    words = ["ape", "bee", "cat", "dog", "elk", "fox", "gnu", "hen"]
+    commits = [{"rev": f"c{k:02d}", "date": f"2026-03-{k:02d} 12:00:00"} for k in range(1, 29)]
+    for n, (a, b) in enumerate(zip(words[::2], words[1::2], strict=True)):
+        for own, other in ((a, b), (b, a)):
+            rows.append((f"top/repo/{own}_x.rs", "rust", 1, f"use crate::{other};"))
+        changes += [("c01", f"top/repo/{a}_x.rs", "added"), (f"c{3 + n:02d}", f"top/repo/{b}_x.rs", "added")]
+    changes += [("c20", "top/repo/ape_x.rs", "deleted"), ("c21", "top/repo/ape_x.rs", "added")]
+    fs = store(spark, commits, changes).replacing(blobs=spark.createDataFrame(rows, "path string, lang string, n_bytes long, content string"))
+    got = {r["cycle_id"]: (r["size"], r["k"], r["formed_at_rev"]) for r in structure.cycle_origins(fs).collect()}
+    assert got == {n + 1: (2, 2 + n, f"c{3 + n:02d}") for n in range(4)}
+    trend = {r["k"]: r["cycle_count"] for r in structure.architecture_trend(fs).collect()}
+    assert trend == {0: 0, 1: 1, 2: 3, **dict.fromkeys(range(3, 12), 4), 8: 3}  # sample 8 is c20
+    # three cycles of two files among seven at sample 2
+    health = {r["k"]: r["arch_health"] for r in structure.architecture_health(fs).collect()}
+    assert health[2] == round(100 * (1 - 0.5 * 13 / 49 - 0.3 * 6 / 7 - 0.2 * 2 / 7), 6)

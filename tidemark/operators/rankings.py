@@ -126,11 +126,11 @@ def head_clone_counts(fs: FactStore) -> DataFrame:
     return fs.clones.groupBy("path").agg(F.count(F.lit(1)).alias("clones"))
 
 
-def biomarkers(fs: FactStore) -> DataFrame:
+def biomarkers(fs: FactStore, clones: bool = True) -> DataFrame:
     """Intensity of every smell of every readable file in a language of at least ten files: ``path``, ``lang``, ``smell``, ``intensity``.
 
     Most smells are percent ranks within the language. God class and duplication count only where present;
-    shotgun surgery ranks the coupled paths of all languages together.
+    shotgun surgery ranks the coupled paths of all languages together. Duplication is left out without ``clones``.
     """
     sized = fs.files
     cohort = sized.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COHORT).select("lang")
@@ -139,11 +139,13 @@ def biomarkers(fs: FactStore) -> DataFrame:
     base = (
         sized.join(cohort, "lang")
         .join(large, "path", "left")
-        .join(head_clone_counts(fs), "path", "left")
+        .join(head_clone_counts(fs) if clones else large.select("path", F.lit(0).alias("clones")), "path", "left")
         .join(god, "path", "left")
         .select("path", "lang", "cognitive", F.coalesce("large", F.lit(0)).alias("large"), F.coalesce("clones", F.lit(0)).alias("dry"), F.coalesce("god", F.lit(0)).alias("god"), "max_nesting", "nargs", "bool_ops")
     )
     columns = {"complex-method": "cognitive", "god-class": "god", "large-method": "large", "dry": "dry", "nesting": "max_nesting", "args": "nargs", "conditional": "bool_ops"}
+    if not clones:
+        del columns["dry"]
     pairs = F.array(*[F.struct(F.lit(s).alias("smell"), F.col(c).cast("long").alias("value")) for s, c in columns.items()])
     long = base.select("path", "lang", F.explode(pairs).alias("p")).select("path", "lang", "p.smell", "p.value")
     ranked = percent_ranked(long, "value", "rank", by=["lang", "smell"])
@@ -158,12 +160,13 @@ def biomarker_table(fs: FactStore) -> DataFrame:
     return biomarkers(fs).withColumn("intensity", F.round("intensity", 9))
 
 
-def structural_risk(fs: FactStore) -> DataFrame:
-    """``path``, ``lang``, ``structural_risk``, ``dominant_type`` from the biomarkers."""
+def structural_risk(fs: FactStore, clones: bool = True) -> DataFrame:
+    """``path``, ``lang``, ``structural_risk``, ``dominant_type`` from the biomarkers; without ``clones`` the other weights count as the whole."""
     weight = F.coalesce(*[F.when(F.col("smell") == s, F.lit(w)) for s, w in SMELLS.items()])
     strongest = F.min_by("smell", F.struct((-F.round("intensity", 9)).alias("k"), "smell"))
-    total = biomarkers(fs).groupBy("path", "lang").agg(
-        F.round(F.least(F.lit(1.0), F.sum(F.col("intensity") * weight)), 9).alias("structural_risk"), strongest.alias("top"), F.max("intensity").alias("peak")
+    whole = 1.0 if clones else round(1 - SMELLS["dry"], 9)
+    total = biomarkers(fs, clones).groupBy("path", "lang").agg(
+        F.round(F.least(F.lit(1.0), F.sum(F.col("intensity") * weight) / whole), 9).alias("structural_risk"), strongest.alias("top"), F.max("intensity").alias("peak")
     )
     return total.select("path", "lang", "structural_risk", F.when(F.col("peak") > 0, F.col("top")).otherwise("none").alias("dominant_type"))
 
@@ -173,11 +176,11 @@ def band_of(risk: Column) -> Column:
     return F.when(risk >= RED, "red").when(risk >= YELLOW, "yellow").otherwise("green")
 
 
-def code_health(fs: FactStore) -> DataFrame:
+def code_health(fs: FactStore, clones: bool = True) -> DataFrame:
     """Health of every readable file: structure, churn and ownership together, with band and cohort percentile."""
     lines = fs.changes.groupBy("path").agg(F.sum(F.col("loc_added") + F.col("loc_deleted")).alias("churn"))
     scattered = ownership.ownership(fs.with_options(min_revs=1)).select("path", "fractal_value")
-    risk = percent_ranked(structural_risk(fs), "structural_risk", "percentile", by=["lang"])
+    risk = percent_ranked(structural_risk(fs, clones), "structural_risk", "percentile", by=["lang"])
     joined = risk.join(fs.files.select("path", "cognitive"), "path").join(lines, "path", "left").join(scattered, "path", "left")
     joined = joined.na.fill(0, ["churn"]).na.fill(0.0, ["fractal_value"])
     peak = lines.join(risk.select("path"), "path", "left_semi").agg(F.max("churn").alias("peak"))

@@ -157,7 +157,7 @@ def gate_citations(fs: FactStore) -> DataFrame:
 
 def band_transitions(fs: FactStore) -> DataFrame:
     """Changes of the architecture band between sampled commits: into red or out of green is a regression."""
-    t = structure.health_trend(fs)
+    t = structure.architecture_health(fs)
     order = Window.orderBy("k")  # a handful of samples
     moved = t.withColumn("before", F.lag("band").over(order)).where("before is not null and before <> band")
     worse = (F.col("band") == "red") | (F.col("before") == "green")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.operators import churn, coupling
+from tidemark.operators import churn, coupling, rankings
 from tidemark.operators.hierarchy import resolve_hierarchy
 from tidemark.operators.relations import sampled_commits
 from tidemark.session import stage_table
-from tidemark.sources.facts import FactStore, live_at
+from tidemark.sources.facts import FactStore
 
 MAX_ROUNDS = 200
+SAMPLES = 12
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -53,8 +55,6 @@ def cycle_members(fs: FactStore) -> DataFrame:
 
 def dependency_cycles(fs: FactStore) -> DataFrame:
     """Cycles by size and first path: ``cycle_id``, ``size``, ``path``. Cycles are few beside files."""
-    from pyspark.sql.window import Window
-
     members = cycle_members(fs)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
     numbered = sizes.withColumn("cycle_id", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
@@ -142,50 +142,94 @@ def architecture_metrics(fs: FactStore) -> DataFrame:
     return size.join(F.broadcast(cycles)).join(F.broadcast(imported)).select(F.explode(pairs).alias("m")).select("m.metric", "m.value")
 
 
-def architecture_trend(fs: FactStore, samples: int = 6) -> DataFrame:
+def lifetimes(fs: FactStore) -> DataFrame:
+    """Times a path was alive: ``path``, ``since``, ``until`` (exclusive, null if it still is). They are those of ``live_at``."""
+    along = Window.partitionBy("path").orderBy("date", F.desc("seq"))
+    states = fs.dated_changes.where("date is not null").select("path", "change_type", F.col("date").alias("since"), F.lead("date").over(along).alias("until"))
+    return states.where("change_type <> 'deleted' and (until is null or until > since)").select("path", "since", "until")
+
+
+def sampled_graphs(fs: FactStore, samples: int = SAMPLES) -> DataFrame:
+    """The graph between the paths alive at evenly spaced commits: ``k``, ``rev``, ``date``, ``files``, ``pairs``, ``cycle_count``, ``largest_cycle``, ``cyclic``.
+
+    Nodes are pairs of sample and path, so that one closure serves all samples; its rounds equal the longest
+    shortest way of any.
+    """
+    moments = stage_table(sampled_commits(fs, samples).select("k", "rev", "date"))
+    # at most `samples` rows
+    inside = (F.col("since") <= F.col("date")) & (F.col("until").isNull() | (F.col("until") > F.col("date")))
+    alive = stage_table(lifetimes(fs).join(fs.files.select("path"), "path", "left_semi").join(F.broadcast(moments.select("k", "date")), inside).select("k", "path"))
+    edges = fs.import_edges.join(alive.withColumnRenamed("path", "src_path"), "src_path").join(alive.withColumnRenamed("path", "target_path"), ["k", "target_path"])
+    reached = closure(edges.select(F.struct("k", F.col("src_path").alias("path")).alias("src"), F.struct("k", F.col("target_path").alias("path")).alias("dst")))
+    files = alive.groupBy("k").agg(F.count(F.lit(1)).alias("files"))
+    pairs = reached.where("src <> dst").groupBy(F.col("src.k").alias("k")).agg(F.count(F.lit(1)).alias("pairs"))
+    sizes = components(reached).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
+    cycles = sizes.groupBy(F.col("component.k").alias("k")).agg(F.count(F.lit(1)).alias("cycle_count"), F.max("size").alias("largest_cycle"), F.sum("size").alias("cyclic"))
+    return moments.join(files, "k", "left").join(pairs, "k", "left").join(cycles, "k", "left").na.fill(0, ["files", "pairs", "cycle_count", "largest_cycle", "cyclic"])
+
+
+def architecture_trend(fs: FactStore, samples: int = SAMPLES) -> DataFrame:
     """Files, propagation cost and cycles at evenly spaced commits: dependencies between the paths then alive."""
-    moments = sampled_commits(fs, samples).select("k", "rev", "date").orderBy("k").collect()
-    rows = []
-    for m in moments:
-        alive = live_at(fs.dated_changes, F.lit(m["date"])).join(fs.files.select("path"), "path", "left_semi")
-        alive = stage_table(alive)
-        edges = fs.import_edges.join(alive.withColumnRenamed("path", "src_path"), "src_path", "left_semi").join(alive.withColumnRenamed("path", "target_path"), "target_path", "left_semi")
-        reached = closure(edges.select("src_path", "target_path"))
-        pairs = reached.where("src <> dst").agg(F.count(F.lit(1)).alias("pairs"))
-        cycles = components(reached).groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 2").agg(F.count(F.lit(1)).alias("cycle_count"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_cycle"))
-        files = alive.agg(F.count(F.lit(1)).alias("files"))
-        cost = (F.col("pairs") + F.col("files")) / F.nullif(F.col("files").cast("double") * F.col("files"), F.lit(0.0))
-        rows.append(
-            files.join(F.broadcast(pairs))
-            .join(F.broadcast(cycles))
-            .select(F.lit(m["k"]).cast("long").alias("k"), F.lit(m["rev"]).alias("rev"), "files", F.round(F.coalesce(cost, F.lit(0.0)), 9).alias("propagation_cost"), "cycle_count", "largest_cycle")
-        )
-    return reduce(DataFrame.unionByName, rows)
+    return sampled_graphs(fs, samples).select("k", "rev", "files", F.round(_propagation_cost(), 9).alias("propagation_cost"), "cycle_count", "largest_cycle")
 
 
-def health_trend(fs: FactStore, samples: int = 6) -> DataFrame:
-    """Architecture health and its band at the sampled commits."""
-    t = architecture_trend(fs, samples)
+def _propagation_cost() -> Column:
+    return F.coalesce((F.col("pairs") + F.col("files")) / F.nullif(F.col("files").cast("double") * F.col("files"), F.lit(0.0)), F.lit(0.0))
+
+
+def health_band(health: str) -> Column:
+    return F.when(F.col(health) >= 70, "green").when(F.col(health) >= 40, "yellow").otherwise("red")
+
+
+def architecture_health(fs: FactStore, samples: int = SAMPLES) -> DataFrame:
+    """Health of the graph and its band at the sampled commits: propagation cost, share in cycles, share in the largest one."""
     n = F.nullif(F.col("files"), F.lit(0))
-    health = 100 * (1 - F.least(F.lit(1.0), 0.5 * F.col("propagation_cost") + 0.5 * F.coalesce(F.col("largest_cycle") / n, F.lit(0.0))))
-    scored = t.select("k", "rev", "files", F.round(health, 6).alias("arch_health"))
-    return scored.withColumn("band", F.when(F.col("arch_health") >= 70, "green").when(F.col("arch_health") >= 40, "yellow").otherwise("red"))
-
-
-def cycle_origins(fs: FactStore, top: int = 3, samples: int = 6) -> DataFrame:
-    """For the largest cycles: the first sampled commit at which all members were in one cycle."""
-    cycles = dependency_cycles(fs).where(F.col("cycle_id") <= top)
-    members = stage_table(cycles)
-    moments = sampled_commits(fs, samples).select("k", "rev", "date").orderBy("k").collect()
-    found = []
-    for m in moments:
-        alive = stage_table(live_at(fs.dated_changes, F.lit(m["date"])))
-        edges = fs.import_edges.join(alive.withColumnRenamed("path", "src_path"), "src_path", "left_semi").join(alive.withColumnRenamed("path", "target_path"), "target_path", "left_semi")
-        then = components(closure(edges.select("src_path", "target_path")))
-        together = members.join(then, "path").groupBy("cycle_id", "size", "component").agg(F.count(F.lit(1)).alias("k_members")).where("k_members = size")
-        found.append(together.select("cycle_id", "size", F.lit(m["k"]).cast("long").alias("k"), F.lit(m["rev"]).alias("formed_at_rev")))
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("cycle_id", "size").agg(F.min("k").alias("k"), F.min_by("formed_at_rev", "k").alias("formed_at_rev"))
+    tangled = 0.3 * F.col("cyclic") / n + 0.2 * F.col("largest_cycle") / n
+    health = 100 * (1 - F.least(F.lit(1.0), 0.5 * _propagation_cost() + F.coalesce(tangled, F.lit(0.0))))
+    return sampled_graphs(fs, samples).select("k", "rev", "date", "files", F.round(health, 6).alias("arch_health")).withColumn("band", health_band("arch_health"))
+
+
+def health_trend(fs: FactStore, samples: int = SAMPLES) -> DataFrame:
+    """Health of architecture and code, their mean, and the bands at the sampled commits; ``band`` is the architecture's.
+
+    Code health is the mean over the files alive at the commit, by the history up to it and without
+    duplication; 100 if none is scored.
+    """
+    from tidemark.operators.snapshots import store_at
+
+    t = stage_table(architecture_health(fs, samples))
+    moments = t.select("k", F.date_format("date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).orderBy("k").collect()
+
+    def scored_at(m: Row) -> DataFrame:
+        then = store_at(fs, m["at"])
+        # stored inputs keep the plan, which reads them many times, small
+        then = then.replacing(commits=stage_table(then.table("commits")), changes=stage_table(then.table("changes")), blobs=stage_table(then.table("blobs")))
+        score = F.coalesce(F.round(F.avg("score"), 6), F.lit(100.0)).alias("code_health")
+        return stage_table(rankings.code_health(then, clones=False).agg(F.lit(m["k"]).cast("long").alias("k"), score))
+
+    scored = [scored_at(m) for m in moments]
+    if not scored:
+        return t.select("k", "rev", "files", "arch_health", "band", *[F.lit(None).cast(kind).alias(c) for c, kind in (("code_health", "double"), ("combined_health", "double"), ("code_band", "string"), ("combined_band", "string"))])
+    both = t.join(reduce(DataFrame.unionByName, scored), "k").withColumn("combined_health", F.round(0.5 * F.col("arch_health") + 0.5 * F.col("code_health"), 6))
+    return both.select("k", "rev", "files", "arch_health", "band", "code_health", "combined_health", health_band("code_health").alias("code_band"), health_band("combined_health").alias("combined_band"))
+
+
+def cycle_origins(fs: FactStore, top: int = 10) -> DataFrame:
+    """For the largest cycles: the first of all commits at which all members were in one cycle, and its place ``k`` in time.
+
+    A way between two members never leaves their cycle, and dependencies are those of the present files, so
+    the members are in one cycle exactly while all of them are alive.
+    """
+    members = stage_table(dependency_cycles(fs).where(F.col("cycle_id") <= top))
+    alive = lifetimes(fs).join(members, "path")
+    events = F.explode(F.array(F.struct(F.col("since").alias("date"), F.lit(1).alias("step")), F.struct(F.col("until").alias("date"), F.lit(-1).alias("step"))))
+    steps = alive.select("cycle_id", "size", events.alias("e")).where("e.date is not null").groupBy("cycle_id", "size", F.col("e.date").alias("date")).agg(F.sum("e.step").alias("step")).where("step <> 0")
+    counted = steps.withColumn("alive", F.sum("step").over(Window.partitionBy("cycle_id").orderBy("date")))
+    formed = stage_table(counted.where("alive = size").groupBy("cycle_id", "size").agg(F.min("date").alias("formed")))
+    # at most `top` rows
+    upto = fs.commits.select("rev", "date", "seq").join(F.broadcast(formed), F.col("date") <= F.col("formed"))
+    now = F.col("date") == F.col("formed")
+    return upto.groupBy("cycle_id", "size").agg(F.count_if(~now).alias("k"), F.max_by(F.when(now, F.col("rev")), F.when(now, F.col("seq"))).alias("formed_at_rev"))
 
 
 def cycle_health(fs: FactStore) -> DataFrame:
