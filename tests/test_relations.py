@@ -6,7 +6,7 @@ from datetime import datetime
 
 import pytest
 
-from tidemark.operators import churn, coupling, delivery, gates, ownership, relations
+from tidemark.operators import churn, coupling, delivery, gates, ownership, rankings, relations
 from tidemark.sources.facts import FactStore
 from tidemark.sources.options import QueryOptions
 
@@ -139,6 +139,17 @@ def test_szz_has_no_age_limit(spark):
     assert {tuple(r) for r in delivery.szz_candidates(store(spark, commits, changes)).collect()} == {("fix", "a", "old"), ("fix", "b", "old")}
 
 
+def test_corpus_lens_takes_the_highest_metric(spark):
+    flat = [float(k) for k in range(100)]
+    metrics = [(m, flat) for m in ("cognitive", "cyclomatic", "sloc", "max_nesting")] + [("nargs", [0.0, 1.0])]
+    schema = "artifact_id string, lang string, sloc_min int, sloc_max int, sample_functions int, metrics array<struct<metric: string, quantiles: array<double>>>"
+    strata = spark.createDataFrame([("x", "rust", 0, 99, 600, metrics), ("x", "go", 0, 99, 499, metrics)], schema)
+    blobs = spark.createDataFrame([("wide.rs", "rust", 1, "f(a, b, c, d)"), ("thin.go", "go", 1, "f(a, b, c, d)")], "path string, lang string, n_bytes long, content string")
+    got = rankings.corpus_lens(store(spark, [], []).replacing(strata=strata, blobs=blobs)).collect()
+    assert [(r["path"], r["corpus_percentile"], r["beyond_corpus"]) for r in got] == [("wide.rs", 1.0, True)]
+    assert 0.99 < got[0]["ci_low"] < 1.0 and got[0]["ci_high"] == 1.0
+
+
 def test_options_are_checked():
     for bad in ({"min_coupling_pct": 50.0, "max_coupling_pct": 40.0}, {"window_days": 0}, {"rework_window_days": 400}, {"knowledge_model": "x"}, {"time_bucket": "year"}, {"rows_limit": 0}):
         with pytest.raises(ValueError, match=r"."):

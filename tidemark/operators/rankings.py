@@ -16,6 +16,8 @@ from tidemark.sources.facts import FactStore
 SMELLS = {"complex-method": 0.22, "god-class": 0.18, "large-method": 0.12, "dry": 0.12, "shotgun": 0.12, "nesting": 0.10, "args": 0.07, "conditional": 0.07}
 RED, YELLOW = 0.55, 0.28
 COHORT = 10
+CORPUS_METRICS = ("cyclomatic", "cognitive", "sloc", "nargs", "max_nesting")
+LANGUAGE_SAMPLES = 500
 
 
 def percent_ranked(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
@@ -67,26 +69,37 @@ def hotspots(fs: FactStore) -> DataFrame:
     )
 
 
-def corpus_percentiles(fs: FactStore) -> DataFrame:
-    """Where each file's branch count lies in the measured corpus of its language and size: ``path``, ``corpus_percentile``.
+def corpus_positions(fs: FactStore) -> DataFrame:
+    """Where each file lies in the measured corpus of its language and size: ``path``, ``corpus_percentile``, ``samples`` of the language.
 
-    Each stratum gives the middle rank of the value among its quantiles; strata count by their samples.
+    Each stratum gives the middle rank of a metric's value among its quantiles; strata count by their samples.
+    The metric in which the file lies highest counts. Languages of fewer than 500 sample functions are left out.
     """
+    sizes = fs.table("strata").select("artifact_id", "lang", "sloc_min", "sloc_max", "sample_functions", "metrics")
+    trusted = sizes.drop("metrics").distinct().groupBy("lang").agg(F.sum("sample_functions").alias("samples")).where(F.col("samples") >= LANGUAGE_SAMPLES)
     strata = (
-        fs.table("strata")
-        .select("artifact_id", "lang", "sloc_min", "sloc_max", "sample_functions", F.explode("metrics").alias("m"))
-        .where("m.metric = 'cognitive'")
+        sizes.withColumn("m", F.explode("metrics"))
+        .drop("metrics")
+        .where(F.col("m.metric").isin(*CORPUS_METRICS))
         .distinct()
-        .select("lang", "sloc_min", "sloc_max", "sample_functions", F.filter("m.quantiles", lambda x: x.isNotNull() & ~F.isnan(x)).alias("q"))
+        .select("lang", "sloc_min", "sloc_max", "sample_functions", "m.metric", F.filter("m.quantiles", lambda x: x.isNotNull() & ~F.isnan(x)).alias("q"))
         .where(F.size("q") > 0)
+        .join(trusted, "lang")
     )
-    f, s = fs.files.alias("f"), strata.alias("s")
-    at = (F.col("f.lang") == F.col("s.lang")) & (F.col("f.sloc") >= F.col("s.sloc_min")) & (F.col("f.sloc") <= F.col("s.sloc_max"))
-    met = f.join(s, at).select("f.path", F.col("f.cognitive").cast("double").alias("v"), "s.q", "s.sample_functions")
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in CORPUS_METRICS]))
+    f, s = fs.files.select("path", "lang", "sloc", values.alias("x")).alias("f"), strata.alias("s")
+    at = (F.col("f.lang") == F.col("s.lang")) & (F.col("f.x.metric") == F.col("s.metric")) & (F.col("f.sloc") >= F.col("s.sloc_min")) & (F.col("f.sloc") <= F.col("s.sloc_max"))
+    met = f.join(s, at).select("f.path", "s.metric", F.col("f.x.v").alias("v"), "s.q", "s.sample_functions", "s.samples")
     less = F.size(F.filter("q", lambda x: x < F.col("v")))
     upto = F.size(F.filter("q", lambda x: x <= F.col("v")))
     part = (less + upto) / (F.size("q") * 2.0)
-    return met.groupBy("path").agg(F.round(F.sum(part * F.col("sample_functions")) / F.sum("sample_functions"), 9).alias("corpus_percentile"))
+    per = met.groupBy("path", "metric").agg(F.round(F.sum(part * F.col("sample_functions")) / F.sum("sample_functions"), 9).alias("p"), F.max("samples").alias("samples"))
+    return per.groupBy("path").agg(F.max("p").alias("corpus_percentile"), F.max("samples").alias("samples"))
+
+
+def corpus_percentiles(fs: FactStore) -> DataFrame:
+    """The corpus percentile of each file: ``path``, ``corpus_percentile``."""
+    return corpus_positions(fs).select("path", "corpus_percentile")
 
 
 def hotspots_anchored(fs: FactStore) -> DataFrame:
@@ -192,8 +205,9 @@ def code_health(fs: FactStore, clones: bool = True) -> DataFrame:
 
 
 def corpus_lens(fs: FactStore) -> DataFrame:
-    """Code health seen against the corpus: percentile and whether it lies beyond the corpus' last percent."""
-    return corpus_percentiles(fs).withColumn("beyond_corpus", F.col("corpus_percentile") >= 0.99)
+    """Code health seen against the corpus: percentile with its bounds, and whether it lies beyond the corpus' last percent."""
+    low, high = wilson_interval(F.col("corpus_percentile") * F.col("samples"), F.col("samples"))
+    return corpus_positions(fs).select("path", "corpus_percentile", (F.col("corpus_percentile") >= 0.99).alias("beyond_corpus"), F.round(low, 9).alias("ci_low"), F.round(high, 9).alias("ci_high"))
 
 
 def refactoring_targets(fs: FactStore) -> DataFrame:
