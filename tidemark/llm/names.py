@@ -1,21 +1,26 @@
 """Variant spellings of people's names, linked by suffix blocking and LCS ratio.
 
-1. Every raw (name, address) is read into family-name candidates, possible given names and a mailbox.
-   Nicknames and misspelt given names become the set of formal names they may stand for, an initial
-   stays an initial.
-2. All suffixes, above a minimum length, of the family-name tokens and of the reversed tokens (so that a
+1. Every raw (name, address) is cut into words. Which word is the given name is read from the corpus: how
+   often a word stands first or last in names, and beside how many others. There is no list of names.
+2. Given names that stand for each other (short forms, nicknames) are learned as well: two of them belong
+   together if, for several family names, one stands in a name and the other in its own address, or in
+   two names that one canonical value already unites. The one that is used more often, or that addresses
+   are made of, is the formal name. Misspelt given names take the nearest formal ones.
+3. All suffixes, above a minimum length, of the family-name tokens and of the reversed tokens (so that a
    slip near the end does not hide a pair) form an inverted index over *distinct* tokens. A suffix that
-   is too common is replaced by finer keys, first with the initials it occurs with, then with the token's
-   length; only then is the plain suffix discarded. Pairs from one key are compared by
-   their longest-common-subsequence ratio; rare spellings point to the best supported spelling within
-   reach, and pointer doubling gives each token its root.
-3. A person is a family-name root with a formal given name. Spellings with a nickname of several names,
+   is too common is refined, first with the initials it occurs with, then with the token's length, and
+   only then discarded; tokens that lost a suffix meet by their forms with letters left out instead, which
+   finds every pair within the ratio. Pairs from one key are compared by their
+   longest-common-subsequence ratio; rare spellings point to the best supported spelling within reach, and
+   pointer doubling gives each token its root.
+4. A person is a family-name root with a formal given name. Spellings with a nickname of several names,
    an initial or a login take the person that alone fits; if several fit, the one whose mailbox name is
    the same; otherwise they stay alone. A spelling without a family name takes the person who alone uses
    its mailbox. Mailboxes that many share (roles) say nothing.
 
-No step gathers a group in one task, and no pair of raw rows is ever compared: counts per token are
-combined map-side, and only tokens of one refined key meet.
+No step gathers a group in one task or on the driver, and no pair of raw rows is ever compared: counts per
+token are combined map-side, only tokens of one refined key meet, and every row is read with what the
+corpus knows of its own words.
 """
 
 from __future__ import annotations
@@ -29,44 +34,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.hierarchy import resolve_hierarchy
-from tidemark.session import stage_table
-
-# Formal given names and their usual short forms.
-_SHORT_FORMS = """
-abigail: abby abbie gail | alexander: alex sasha alec | alexandra: | andrea: andi | andreas: | andrew: andy drew
-anthony: tony | beatrice: bea trixie | benjamin: ben benny | bernard: bernie | bernadette: | catherine: cathy cat
-cecile: ceci | cecilia: | charles: charlie chuck | charlotte: lottie | christina: tina | christopher: chris kit
-daniel: dan danny | daniela: dani | deborah: deb debbie | dominic: dom nick | dorothea: dora dot | dorothy:
-edward: ed eddie ned | elizabeth: liz beth betty | emanuel: manny | eugenie: genie | felicity: flick | ferdinand: ferdi
-francesca: fran chess | frances: | francis: frank | frederica: freda | frederick: fred fritz freddie | gabriel: | gabriela: gabi
-gerald: gerry | geraldine: | gregory: greg | gwendolyn: gwen | helene: leni | henrietta: etta hetty | henry: harry hank
-hubert: bert | ignatius: iggy | imogen: immy | irene: renie | isabella: bella izzy | james: jim jimmy | jennifer: jen jenny
-john: jack johnny | jonathan: jon | joseph: joe joey | josephine: josie | jurgen: jupp juergen | katherine: kate kathy katie
-kimberly: kim | konstantin: kostya | lawrence: larry | leonora: nora | leopold: leo | lucille: lucy | madeleine: maddie
-margaret: maggie meg peggy | matthew: matt | michael: mike mick | michaela: | nathaniel: nate nat | nicholas: nick nico colin
-nicola: nicky | noemie: mimi | octavia: tavi | oliver: ollie | olivia: liv | ophelia: effie | oswald: oz | pascal: pazz
-patricia: pat trish | patrick: paddy | peter: pete | philippa: pippa | philip: phil | richard: rick dick | robert: bob bobby rob
-roberta: | rosalind: roz | samuel: sam | samantha: | soren: soeren | stephanie: steph | stephen: steve | susanna: sue suzy
-tamara: tammy | theodora: | theodore: ted theo | theresa: terry tess | thomas: tom | valentin: | valentina: val | vera: verka
-victor: vic | victoria: tori vicky | walter: wally walt | wilhelmina: billie mina | william: bill liam will billy | winifred: winnie
-"""
+from tidemark.session import drop_staged, stage_table
+
 # Mailboxes of a role or a machine.
 _ROLES = frozenset("admin build builder ci contact dev devnull git hello info mail nobody no-reply noreply office root support team webmaster".split())
-
-_FORMAL: dict[str, frozenset[str]] = {}
-for _entry in _SHORT_FORMS.replace("\n", "|").split("|"):
-    if ":" in _entry:
-        _name, _shorts = _entry.split(":")
-        for _short in [_name.strip(), *_shorts.split()]:
-            _FORMAL[_short] = _FORMAL.get(_short, frozenset()) | {_name.strip()}
-_LONG_GIVEN = sorted((g for g, formal in _FORMAL.items() if (len(g) >= 4 and g in formal) or len(g) >= 6), key=len, reverse=True)
+#: Least number of different families, or of addresses, that make a given name or a pair of them known.
+FAMILIES, FORMAL_USES, FORMAL_BOXES = 2, 8, 2
+#: Least ratio of a misspelt given name, and of two family names that speak of one person.
+GIVEN_RATIO, FAMILY_RATIO = 0.79, 0.8
+#: By how much the second word must look more like a given name than the first to turn them round.
+TURN = 1.0
 
 _BRACKETS = regex.compile(r"[(\[{<][^)\]}>]*[)\]}>]?")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
-_WORD = regex.compile(r"[a-z]+")
+_WORD = regex.compile(r"[^\W\d_]+")
 _DIGIT = regex.compile(r"\d")
 _LETTERS = str.maketrans({"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "æ": "ae", "Æ": "Ae", "œ": "oe"})
 
+Known = dict[str, tuple[float, frozenset[str], frozenset[str]]]
+"""Of a word: how much it looks like a given name, the formal names it stands for, and those it may be a slip of."""
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over the shorter string."""
@@ -89,69 +76,20 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 def fold_letters(text: str) -> str:
-    """Letters without accents, in lower case."""
+    """Letters of any script without accents, in lower case."""
     text = unicodedata.normalize("NFKD", text.translate(_LETTERS))
     return "".join(ch for ch in text if not unicodedata.combining(ch)).lower()
 
 
-_NEAR: dict[str, frozenset[str]] = {}
-
-
-def formal_names(token: str, slips: bool = True) -> frozenset[str]:
-    """The formal given names that a token may stand for; with ``slips`` also when it is misspelt."""
-    if token in _FORMAL:
-        return _FORMAL[token]
-    if not slips or len(token) < 4:
-        return frozenset()
-    if token not in _NEAR:
-        if len(_NEAR) > 200_000:
-            _NEAR.clear()
-        best, names = 0.79, frozenset()
-        for known, formal in _FORMAL.items():
-            if len(known) >= 4 and abs(len(known) - len(token)) <= 2:
-                ratio = lcs_ratio(known, token)
-                if ratio > best:
-                    best, names = ratio, formal
-                elif ratio == best:
-                    names = names | formal
-        _NEAR[token] = names
-    return _NEAR[token]
-
-
-def _split_login(token: str) -> list[tuple[str, frozenset[str], str]]:
-    """Readings ``(family, givens, initial)`` of one word such as ``kmiller``, ``millerk``, ``katemiller``."""
-    readings: list[tuple[str, frozenset[str], str]] = []
-    for given in _LONG_GIVEN:
-        if len(token) - len(given) >= 5:
-            if token.startswith(given):
-                readings.append((token[len(given) :], _FORMAL[given], ""))
-            if token.endswith(given):
-                readings.append((token[: -len(given)], _FORMAL[given], ""))
-    if len(token) >= 6:
-        readings += [(token[1:], frozenset(), token[0]), (token[:-1], frozenset(), token[-1])]
-    return readings
+def name_words(name: str | None) -> tuple[list[str], bool]:
+    """The words of a typed name that are read, given name first where a comma says so, and whether it does.
 
-
-def _read_two(a: str, b: str) -> list[tuple[str, frozenset[str], str]]:
-    """Readings of two words of which one is the family name."""
-    if len(a) == 1 or len(b) == 1:
-        initial, family = (a, b) if len(a) == 1 else (b, a)
-        return [(family, frozenset(), initial)] if len(family) > 1 else []
-    for slips in (False, True):
-        first, second = formal_names(a, slips), formal_names(b, slips)
-        if first and not second:
-            return [(b, first, "")]
-        if second and not first:
-            return [(a, second, "")]
-        if first and second:
-            return [(b, first, "")]
-    return [(b, frozenset([a]), "")]
-
-
-def read_name(name: str | None) -> list[tuple[str, frozenset[str], str]]:
-    """Readings ``(family, givens, initial)`` of a typed name; the family name may be empty."""
+    Of more than two words, the first and the last that are no initials are read; those between are further
+    given names or initials.
+    """
     plain = _BRACKETS.sub(" ", name or "").strip()
-    if "," in plain:
+    comma = "," in plain
+    if comma:
         family, given = plain.split(",", 1)
         plain = f"{given} {family}"
     elif " " not in plain:
@@ -160,38 +98,104 @@ def read_name(name: str | None) -> list[tuple[str, frozenset[str], str]]:
     if len(words) > 2:
         long_words = [w for w in words if len(w) > 1]
         words = [long_words[0], long_words[-1]] if len(long_words) > 1 else words[:2]
-    if not words:
-        return []
-    if len(words) == 2:
-        return _read_two(*words)
-    if formal_names(words[0], slips=False):
-        return [("", formal_names(words[0]), "")]
-    return _split_login(words[0]) or ([("", formal_names(words[0]), "")] if formal_names(words[0]) else [])
+    return words, comma and len(words) == 2
 
 
-def read_address(address: str | None) -> tuple[str, str, list[tuple[str, frozenset[str], str]]]:
-    """``(mailbox, local part, readings)``; empty for a role mailbox or a reserved domain."""
+def address_words(address: str | None) -> tuple[str, str, list[str]]:
+    """``(mailbox, local part, its words)``; empty for a role mailbox or a reserved domain, no words with digits."""
     local, at, domain = fold_letters((address or "").strip()).partition("@")
     local = local.split("+", 1)[0]
     if not at or not local or local in _ROLES or domain.endswith((".invalid", "localhost")):
         return "", "", []
-    mailbox = f"{local}@{domain}"
     if _DIGIT.search(local):
-        return mailbox, local, []
-    words = [w for w in regex.split(r"[^a-z]+", local) if w]
+        return f"{local}@{domain}", local, []
+    return f"{local}@{domain}", local, _WORD.findall(local)
+
+
+def login_parts(word: str) -> list[str]:
+    """The beginnings and ends of a word that may be a given name beside a family name of five letters."""
+    return [part for k in range(3, len(word) - 4) for part in (word[:k], word[len(word) - k :])]
+
+
+def formal_names(word: str, known: Known, slips: bool = True) -> frozenset[str]:
+    """The formal given names that a word may stand for; with ``slips`` also when it is misspelt."""
+    _, exact, near = known.get(word, (0.0, frozenset(), frozenset()))
+    return exact or (near if slips else frozenset())
+
+
+Reading = tuple[str, frozenset[str], str]
+"""``(family, givens, initial)``; the family name may be empty."""
+
+
+def _split_login(word: str, known: Known) -> list[Reading]:
+    """Readings of one word such as ``kmiller``, ``millerk``, ``katemiller``."""
+    readings: list[Reading] = []
+    for k in range(len(word) - 5, 2, -1):
+        for given, family in ((word[:k], word[k:]), (word[len(word) - k :], word[: len(word) - k])):
+            formal = formal_names(given, known, slips=False)
+            if formal and (k >= 6 or (k >= 4 and given in formal)):
+                readings.append((family, formal, ""))
+    if len(word) >= 6:
+        readings += [(word[1:], frozenset(), word[0]), (word[:-1], frozenset(), word[-1])]
+    return readings
+
+
+def _turned(a: str, b: str, known: Known) -> bool:
+    """Whether the second word is the given name, by how both are used."""
+    return known.get(b, (0.0,))[0] - known.get(a, (0.0,))[0] > TURN
+
+
+def _read_two(a: str, b: str, known: Known, comma: bool = False) -> list[Reading]:
+    """Readings of two words of which one is the family name."""
+    if len(a) == 1 or len(b) == 1:
+        initial, family = (a, b) if len(a) == 1 else (b, a)
+        return [(family, frozenset(), initial)] if len(family) > 1 else []
+    if not comma:
+        for slips in (False, True):
+            first, second = formal_names(a, known, slips), formal_names(b, known, slips)
+            if first and second:
+                break
+            if first:
+                return [(b, first, "")]
+            if second:
+                return [(a, second, "")]
+        if _turned(a, b, known):
+            a, b = b, a
+    return [(b, formal_names(a, known) or frozenset([a]), "")]
+
+
+def read_name(name: str | None, known: Known) -> list[Reading]:
+    """Readings of a typed name."""
+    words, comma = name_words(name)
+    if not words:
+        return []
     if len(words) == 2:
-        return mailbox, local, _read_two(*words)
-    return mailbox, local, _split_login(words[0]) if len(words) == 1 else []
+        return _read_two(*words, known, comma)
+    if formal_names(words[0], known, slips=False):
+        return [("", formal_names(words[0], known), "")]
+    if (name or "").strip()[:1].isupper():  # a name, no login
+        return [("", formal_names(words[0], known) or frozenset(words[:1]), "")]
+    return _split_login(words[0], known) or ([("", formal_names(words[0], known), "")] if formal_names(words[0], known) else [])
 
 
-def read_person(name: str | None, address: str | None) -> tuple[str, str, bool, list[tuple[str, list[str], str]]]:
+def read_address(address: str | None, known: Known) -> tuple[str, str, list[Reading]]:
+    """``(mailbox, local part, readings)``."""
+    mailbox, local, words = address_words(address)
+    if len(words) == 2:
+        return mailbox, local, _read_two(*words, known)
+    return mailbox, local, _split_login(words[0], known) if len(words) == 1 else []
+
+
+def read_person(name: str | None, address: str | None, known: Known) -> tuple[str, str, bool, list[tuple[str, list[str], str]]]:
     """``(mailbox, local part, sure, readings)`` of one raw identity.
 
     Addresses are spelt with more care than names, so their spelling is preferred where both tell the same.
-    ``sure`` says that the family name was seen as a word of its own.
+    A word that both spell alike is no slip. ``sure`` says that the family name was seen as a word of its own.
     """
-    mailbox, local, by_address = read_address(address)
-    by_name = read_name(name)
+    for word in set(name_words(name)[0]) & set(address_words(address)[2]) & known.keys():
+        known = {**known, word: (*known[word][:2], frozenset())}
+    mailbox, local, by_address = read_address(address, known)
+    by_name = read_name(name, known)
     best: list[tuple[float, str, frozenset[str], str]] = []
     for family, givens, initial in by_name:
         for a_family, a_givens, a_initial in by_address:
@@ -237,9 +241,47 @@ _READING = T.StructType(
 )
 
 
+_TEXTS = T.ArrayType(T.StringType())
+_WORDS = T.StructType([T.StructField("words", _TEXTS), T.StructField("comma", T.BooleanType()), T.StructField("box", _TEXTS), T.StructField("asked", _TEXTS)])
+_USE = T.ArrayType(T.StructType([T.StructField("given", T.StringType()), T.StructField("family", T.StringType()), T.StructField("boxed", T.BooleanType())]))
+
+
+@F.pandas_udf(_WORDS)
+def _cut(names: pd.Series, addresses: pd.Series) -> pd.DataFrame:
+    rows = []
+    for name, address in zip(names, addresses, strict=True):
+        words, comma = name_words(name)
+        box = address_words(address)[2]
+        asked = {*words, *box, *(p for w in (words, box) if len(w) == 1 for p in login_parts(w[0]))}
+        rows.append((words, comma, box, sorted(asked)))
+    return pd.DataFrame(rows, columns=["words", "comma", "box", "asked"])
+
+
+def _known(entries) -> Known:
+    return {e["word"]: (e["score"], frozenset(e["formal"]), frozenset(e["near"])) for e in (entries if entries is not None else ())}
+
+
+@F.pandas_udf(_USE)
+def _uses(words: pd.Series, commas: pd.Series, boxes: pd.Series, known: pd.Series) -> pd.Series:
+    """Given and family name of a row's name and of its address, as far as both are words of their own."""
+    out = []
+    for name, comma, box, entries in zip(words, commas, boxes, known, strict=True):
+        about, uses = _known(entries), []
+        if len(name) == 2 and min(map(len, name)) > 1:
+            a, b = name if comma or not _turned(*name, about) else (name[1], name[0])
+            uses.append((a, b, False))
+        if len(box) == 2 and min(map(len, box)) > 1:
+            a, b = (box[1], box[0]) if _turned(*box, about) else box
+            if uses and lcs_ratio(uses[0][1], b) < FAMILY_RATIO <= lcs_ratio(uses[0][1], a):
+                a, b = b, a
+            uses.append((a, b, True))
+        out.append([{"given": g, "family": f, "boxed": x} for g, f, x in uses])
+    return pd.Series(out)
+
+
 @F.pandas_udf(_READING)
-def _read(names: pd.Series, addresses: pd.Series) -> pd.DataFrame:
-    rows = [read_person(n, a) for n, a in zip(names, addresses, strict=True)]
+def _read(names: pd.Series, addresses: pd.Series, known: pd.Series) -> pd.DataFrame:
+    rows = [read_person(n, a, _known(k)) for n, a, k in zip(names, addresses, known, strict=True)]
     return pd.DataFrame(
         [(m, loc, s, [{"family": f, "givens": g, "initial": i} for f, g, i in r]) for m, loc, s, r in rows],
         columns=["mailbox", "local", "sure", "readings"],
@@ -249,7 +291,113 @@ def _read(names: pd.Series, addresses: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.DoubleType())
 def lcs_ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
     """Vectorised :func:`lcs_ratio`."""
-    return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _about(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with what is known of each one's own words: ``known``, at most a few dozen entries."""
+    asked = rows.select("id", F.explode("asked").alias("word")).join(words, "word")
+    known = asked.groupBy("id").agg(F.collect_list(F.struct("word", "score", "formal", "near")).alias("known"))
+    return rows.join(known, "id", "left")
+
+
+def word_scores(rows: DataFrame) -> DataFrame:
+    """How much each word of two-word names looks like a given name: ``word``, ``score``.
+
+    It grows with the share of first places (a comma counts three times) and with the number of other words
+    it stands beside, as few given names serve very many families. A word beside an initial is a family name.
+    """
+    two = rows.where(F.size("words") == 2).select("value", F.col("words")[0].alias("a"), F.col("words")[1].alias("b"), "comma").distinct()
+    weight = F.when(F.col("comma"), 3).otherwise(1)
+    lone = (F.length("a") == 1) | (F.length("b") == 1)
+    places = two.select(
+        F.explode(
+            F.when(lone, F.array(F.struct(F.when(F.length("a") == 1, F.col("b")).otherwise(F.col("a")).alias("word"), F.lit("").alias("beside"), F.lit(0).alias("first"), F.lit(1).alias("last")))).otherwise(
+                F.array(
+                    F.struct(F.col("a").alias("word"), F.col("b").alias("beside"), weight.alias("first"), F.lit(0).alias("last")),
+                    F.struct(F.col("b").alias("word"), F.col("a").alias("beside"), F.lit(0).alias("first"), weight.alias("last")),
+                )
+            )
+        ).alias("p")
+    ).select("p.*")
+    per = places.where("length(word) > 1").groupBy("word", "beside").agg(F.sum("first").alias("first"), F.sum("last").alias("last"))
+    total = per.groupBy("word").agg(F.sum("first").alias("first"), F.sum("last").alias("last"), F.count_if(F.col("beside") != "").alias("beside"))
+    return total.select("word", (F.log((F.col("first") + 0.5) / (F.col("last") + 0.5)) + 0.5 * F.log(1.0 + F.col("beside"))).alias("score"))
+
+
+def learned_forms(uses: DataFrame) -> DataFrame:
+    """The formal given names each given name stands for: ``word``, ``formal`` (array).
+
+    ``uses``: ``value``, ``row``, ``given``, ``family``, ``boxed``. Two given names are evidence for each other in
+    the name and the address of one row, and in any row against the first full name of its value, if the
+    families are near. Linear in the rows, as every row meets two others at most.
+    """
+    plain = uses.where("not boxed").select("value", "row", "given", "family")
+    boxed = uses.where("boxed").select("row", F.col("given").alias("other"), F.col("family").alias("its"))
+    lead = plain.groupBy("value").agg(F.min(F.struct("given", "family")).alias("l")).select("value", F.col("l.given").alias("other"), F.col("l.family").alias("its"))
+    met = plain.join(boxed, "row").select("given", "family", "other", "its").unionByName(uses.join(lead, "value").select("given", "family", "other", "its"))
+    near = met.where("given <> other").distinct().where(lcs_ratio_of("family", "its") >= FAMILY_RATIO)
+    pairs = near.select(F.least("given", "other").alias("a"), F.greatest("given", "other").alias("b"), "its").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= FAMILIES)
+    counts = stage_table(
+        uses.select("value", "given", "family", "boxed").distinct().groupBy("given").agg(F.count_distinct("value").alias("n"), F.count_distinct(F.when(F.col("boxed"), F.col("family"))).alias("boxes"), F.count_distinct("family").alias("families"))
+    )
+    known = counts.where((F.col("families") >= 3) & ((F.col("n") >= FORMAL_USES) | (F.col("boxes") >= FORMAL_BOXES)))
+    a = counts.select(F.col("given").alias("a"), F.col("n").alias("na"), F.col("boxes").alias("xa"))
+    b = counts.select(F.col("given").alias("b"), F.col("n").alias("nb"), F.col("boxes").alias("xb"))
+    often = lambda n, x: (F.col(n) >= FORMAL_USES) | (F.col(x) >= FORMAL_BOXES)
+    sized = pairs.join(a, "a").join(b, "b").where((often("na", "xa") & often("nb", "xb")) | (lcs_ratio_of("a", "b") < FAMILY_RATIO))
+    less = F.struct("xa", "na", "a") < F.struct(F.col("xb").alias("xa"), F.col("nb").alias("na"), F.col("b").alias("a"))
+    step = stage_table(sized.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("long")))
+    # a long form may itself stand for another one
+    onward = step.join(step.select(F.col("short").alias("long"), F.col("long").alias("longer")), "long", "left").select(F.col("short").alias("word"), F.coalesce("longer", "long").alias("formal"))
+    alone = known.select(F.col("given").alias("word"), F.col("given").alias("formal")).join(step.select(F.col("short").alias("word")), "word", "left_anti")
+    reached = step.select(F.col("long").alias("word"), F.col("long").alias("formal")).join(step.select(F.col("short").alias("word")), "word", "left_anti")
+    out = stage_table(onward.unionByName(alone).unionByName(reached).distinct().groupBy("word").agg(F.sort_array(F.collect_set("formal")).alias("formal")))  # a few names
+    drop_staged(counts)
+    drop_staged(step)
+    return out
+
+
+def near_names(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """The formal names that unknown words are slips of: ``word``, ``near`` (array).
+
+    Words of four letters and more meet known ones by the first or last three letters, or by the first and
+    the last letter and a length that differs by one at most; the greatest ratio decides.
+    """
+    def keyed(df: DataFrame, name: str, reach: int) -> DataFrame:
+        w = F.col(name)
+        ends = F.concat_ws("|", w.substr(1, 1), F.substring(w, -1, 1))
+        keys = [F.concat(F.lit("<"), w.substr(1, 3)), F.concat(F.lit(">"), F.substring(w, -3, 3)), *[F.concat_ws("|", ends, (F.length(w) + k).cast("string")) for k in range(-reach, reach + 1)]]
+        return df.where(F.length(w) >= 4).select("*", F.explode(F.array(*keys)).alias("key"))
+
+    unknown = keyed(words.join(forms.select("word"), "word", "left_anti"), "word", 0)
+    named = keyed(forms.select(F.col("word").alias("name"), "formal"), "name", 1)
+    met = unknown.join(named, "key").where(F.abs(F.length("word") - F.length("name")) <= 2).select("word", "name", "formal").distinct()
+    rated = met.withColumn("ratio", lcs_ratio_of("word", "name")).where(F.col("ratio") >= GIVEN_RATIO)
+    best = rated.groupBy("word").agg(F.max("ratio").alias("ratio"))
+    return rated.join(best, ["word", "ratio"]).select("word", F.explode("formal").alias("formal")).groupBy("word").agg(F.sort_array(F.collect_set("formal")).alias("near"))
+
+
+@F.pandas_udf(_TEXTS)
+def _deleted(tokens: pd.Series, most: pd.Series) -> pd.Series:
+    def forms(token: str, k: int) -> list[str]:
+        found = last = {token}
+        for _ in range(k):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            found = found | last
+        return sorted(found)
+
+    return pd.Series([forms(t, k) for t, k in zip(tokens, most, strict=True)])
+
+
+def _deletions(token, min_ratio: float):
+    """The token and its forms with as many letters left out as a pair within the ratio may leave unmatched.
+
+    Of a pair with lengths ``a <= b`` and ratio ``r``, ``b`` leaves at most ``b - r (a + b) / 2`` letters and ``a``
+    fewer; with ``a >= b r / (2 - r)`` that is at most ``2 b (1 - r) / (2 - r)``.
+    """
+    most = F.floor(2 * F.length(token) * (1 - min_ratio) / (2 - min_ratio) + 1e-9).cast("int")
+    return _deleted(token, most)
 
 
 def token_roots(tokens: DataFrame, min_suffix: int = 4, min_ratio: float = 0.86, common: int = 100) -> DataFrame:
@@ -287,7 +435,17 @@ def token_roots(tokens: DataFrame, min_suffix: int = 4, min_ratio: float = 0.86,
         .select("token", "support", "key", F.explode(F.array(*[F.length("token") + k for k in range(3)])).alias("size"))
         .select("token", "support", F.concat_ws("|", "key", F.col("size").cast("string")).alias("key"))
     )
-    blocks = plain.unionByName(fine_counted.where(F.col("n") <= common).select("token", "support", "key")).unionByName(finer)
+    finer_sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    finer_counted = stage_table(finer.join(finer_sizes, "key"))
+    # what is still too common is discarded; its tokens meet by their forms with letters left out: a ratio of
+    # `min_ratio` leaves at most so many letters of either token unmatched
+    dropped = finer_counted.where(F.col("n") > common).select("token", "support").distinct()
+    left_out = dropped.select("token", "support", F.explode(_deletions(F.col("token"), min_ratio)).alias("key")).select("token", "support", F.concat(F.lit("-"), "key").alias("key"))
+    blocks = (
+        plain.unionByName(fine_counted.where(F.col("n") <= common).select("token", "support", "key"))
+        .unionByName(finer_counted.where(F.col("n") <= common).select("token", "support", "key"))
+        .unionByName(left_out)
+    )
     blocks = stage_table(blocks)
     a, b = blocks.alias("a"), blocks.alias("b")
     reach = F.floor((F.length("x") + F.length("y")) * (1 - min_ratio)).cast("int")
@@ -312,7 +470,10 @@ def token_roots(tokens: DataFrame, min_suffix: int = 4, min_ratio: float = 0.86,
     )
     rooted = resolve_hierarchy(links, "token", "up").select(F.col("node").alias("token"), "root")
     support = tokens.select(F.col("token").alias("root"), "support")
-    return tokens.select("token").join(rooted, "token", "left").withColumn("root", F.coalesce("root", "token")).join(support, "root").select("token", "root", "support")
+    out = stage_table(tokens.select("token").join(rooted, "token", "left").withColumn("root", F.coalesce("root", "token")).join(support, "root").select("token", "root", "support"))
+    for table in (tokens, finer_counted, blocks):
+        drop_staged(table)
+    return out
 
 
 def link_people(identities: DataFrame, value: str, name: str, address: str, machine: str | None = None) -> DataFrame:
@@ -334,9 +495,22 @@ def link_people(identities: DataFrame, value: str, name: str, address: str, mach
     ).where("value is not null")
     raw = stage_table(flagged.groupBy("value", "name", "address").agg(F.bool_or("machine").alias("machine")))
     bots = raw.groupBy("value").agg(F.bool_or("machine").alias("machine")).where("machine").select("value")
+    human = stage_table(raw.join(bots, "value", "left_anti").select("value", "name", "address", _cut("name", "address").alias("c")).select(F.monotonically_increasing_id().alias("id"), "value", "name", "address", "c.*"))
+    scores = stage_table(word_scores(human).select("word", "score", F.array().cast("array<string>").alias("formal"), F.array().cast("array<string>").alias("near")))
+    both = F.size("words") + F.size("box") > 1
+    uses = stage_table(_about(human.where(both), scores).select("value", F.col("id").alias("row"), F.explode(_uses("words", "comma", "box", "known")).alias("u")).select("value", "row", "u.*"))
+    forms = learned_forms(uses)
+    known_word = forms.select("word", F.lit(True).alias("known"))
+    # slips are looked for where none of a row's words is known
+    bare = human.select("id", F.explode(F.array_union("words", "box")).alias("word")).where("length(word) > 1")
+    strange = bare.join(known_word, "word", "left").groupBy("id").agg(F.count("known").alias("n")).where("n = 0").select("id")
+    near = near_names(bare.join(strange, "id", "left_semi").select("word").distinct(), forms)
+    words = stage_table(
+        scores.select("word", "score").join(forms, "word", "full").join(near, "word", "full").select("word", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("formal", F.array().cast("array<string>")).alias("formal"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    )
     read = (
-        raw.join(bots, "value", "left_anti")
-        .select("value", _read("name", "address").alias("r"))
+        _about(human, words)
+        .select("value", _read("name", "address", "known").alias("r"))
         .select("value", "r.mailbox", "r.local", "r.sure", F.explode_outer("r.readings").alias("reading"))
         .select("value", "mailbox", "local", "sure", "reading.family", "reading.givens", "reading.initial")
     )
@@ -370,23 +544,34 @@ def link_people(identities: DataFrame, value: str, name: str, address: str, mach
     choice = own.groupBy("value").agg(F.max(F.struct("n", "root", "given")).alias("c")).select("value", F.col("c.root").alias("root"), F.col("c.given").alias("given"))
     people = choice.select("root", "given").distinct()
     unsure = kept.join(choice.select("value"), "value", "left_anti")
-    fits = (
-        (F.size("givens") > 0) & F.array_contains("givens", F.col("given"))
-    ) | ((F.size("givens") == 0) & ((F.col("initial") == "") | (F.col("initial") == F.substring("given", 1, 1))))
-    options = unsure.join(people, "root").where(fits).select("value", "root", "given").distinct()
-    counted = options.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("root", "given")).alias("c"))
-    single = counted.where("n = 1").select("value", "c.root", "c.given")
+    people = stage_table(people)
+    # how many people of a family root fit: by given name, by initial, or all; one row for each, so that a
+    # family name that very many bear is never joined with all its people
+    of_letter = people.groupBy("root", F.substring("given", 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("n"), F.max("given").alias("given"))
+    of_root = people.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("given").alias("given"))
+    asks = unsure.select("value", "root", "givens", "initial").distinct()
+    by_given = asks.where(F.size("givens") > 0).select("value", "root", F.explode("givens").alias("given")).distinct().join(people, ["root", "given"]).select("value", "root", "given", F.lit(1).cast("long").alias("n"))
+    by_letter = asks.where((F.size("givens") == 0) & (F.col("initial") != "")).select("value", "root", "initial").distinct().join(of_letter, ["root", "initial"]).select("value", "root", "given", "n")
+    by_root = asks.where((F.size("givens") == 0) & (F.col("initial") == "")).select("value", "root").distinct().join(of_root, "root").select("value", "root", "given", "n")
+    options = stage_table(by_given.unionByName(by_letter).unionByName(by_root))
+    chosen = F.struct("root", "given")
+    counted = options.groupBy("value").agg(F.max("n").alias("most"), F.max(chosen).alias("c"), F.min(chosen).alias("least"))
+    one = (F.col("most") == 1) & (F.col("c") == F.col("least"))
+    single = counted.where(one).select("value", "c.root", "c.given")
     # several fit: the one that uses the same mailbox name elsewhere
     locals_of = full.where("local <> ''").select("root", "given", "local").distinct()
+    fits = ((F.size("givens") > 0) & F.array_contains("givens", F.col("given"))) | ((F.size("givens") == 0) & ((F.col("initial") == "") | (F.col("initial") == F.substring("given", 1, 1))))
     same_local = (
-        options.join(counted.where("n > 1").select("value"), "value")
-        .join(unsure.where("local <> ''").select("value", "local").distinct(), "value")
-        .join(locals_of, ["root", "given", "local"])
-        .select("value", "root", "given")
+        unsure.join(counted.where(~one).select("value"), "value", "left_semi")
+        .where("local <> ''")
+        .select("value", "root", "local", "givens", "initial")
         .distinct()
+        .join(locals_of, ["root", "local"])
+        .where(fits)
+        .join(people, ["root", "given"], "left_semi")
         .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("root", "given")).alias("c"))
-        .where("n = 1")
+        .agg(F.min(chosen).alias("least"), F.max(chosen).alias("c"))
+        .where("c = least")
         .select("value", "c.root", "c.given")
     )
     found = choice.unionByName(single).unionByName(same_local).select("value", F.concat_ws(" ", "given", "root").alias("person"))
@@ -417,7 +602,10 @@ def link_people(identities: DataFrame, value: str, name: str, address: str, mach
         .agg(F.max("person").alias("person"))
     )
     everyone = raw.select("value").distinct()
-    return everyone.join(found.unionByName(by_box), "value", "left").select("value", "person")
+    out = stage_table(everyone.join(found.unionByName(by_box), "value", "left").select("value", "person"))
+    for table in (raw, human, scores, uses, forms, words, read, roots, kept, people, options, found):
+        drop_staged(table)
+    return out
 
 
 def same_person_pairs(people: DataFrame) -> DataFrame:
