@@ -12,12 +12,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+#: Folders of staged tables that exist, in the order they were made.
+_STAGED: dict[str, DataFrame] = {}
+Made = TypeVar("Made", bound=Callable[..., DataFrame])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,15 +52,44 @@ def stage_table(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
+    _STAGED[path] = staged
     return staged
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`stage_table` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(df.staged_path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove the files of tables made by :func:`stage_table` that nothing reads any more; once is enough."""
+    for df in tables:
+        if _STAGED.pop(df.staged_path, None) is None:
+            continue
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged_tables() -> list[DataFrame]:
+    """The staged tables that exist."""
+    return list(_STAGED.values())
+
+
+def settled(operator: Made) -> Made:
+    """An operator that leaves one staged table, its result, in place of those it made on its way.
+
+    Tables that the operator got, or that a fact store keeps for repeated use, stay. An operator that
+    staged nothing returns its plan as it is. Not for use from several threads at once.
+    """
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        before = set(_STAGED)
+        out = operator(*args, **kwargs)
+        made = [t for path, t in _STAGED.items() if path not in before and not getattr(t, "is_kept", False)]
+        if not made or [t.staged_path for t in made] == [getattr(out, "staged_path", None)]:
+            return out
+        result = out if hasattr(out, "staged_path") else stage_table(out)
+        drop_staged(*[t for t in made if t is not result])
+        return result
+
+    return run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import read_table
+from tidemark.session import drop_staged, read_table, staged_tables
 from tidemark.sources.options import QueryOptions
 
 BRANCH_WORDS = r"\b(if|for|while|case|match|catch|except|elif|switch)\b"
@@ -43,6 +43,7 @@ class FactStore:
         self.spark, self.sf_dir, self.options = spark, sf_dir, options or QueryOptions()
         self._tables = tables
         self._memo: dict[object, DataFrame] = {}
+        self._kept: list[DataFrame] = []
 
     def table(self, name: str) -> DataFrame:
         """A table given to the store, or else one of its directory."""
@@ -53,11 +54,22 @@ class FactStore:
         return FactStore(self.spark, self.sf_dir, options or self.options, **{**self._tables, **tables})
 
     def once(self, key: object, make: Callable[[], DataFrame]) -> DataFrame:
-        """The same plan object for repeated use, so that Spark can reuse its exchanges."""
+        """The same plan object for repeated use, so that Spark can reuse its exchanges; staged tables are kept."""
         if key not in self._memo:
+            before = set(map(id, staged_tables()))
             self._memo[key] = make()
+            for table in staged_tables():
+                if id(table) not in before:
+                    table.is_kept = True
+                    self._kept.append(table)
         return self._memo[key]
 
+    def close(self) -> None:
+        """Remove the staged tables that were kept for repeated use."""
+        drop_staged(*self._kept)
+        self._kept.clear()
+        self._memo.clear()
+
     def with_options(self, **changes) -> FactStore:
         """The same tables under other options."""
         return FactStore(self.spark, self.sf_dir, self.options.but(**changes), **self._tables)
