@@ -1,11 +1,11 @@
 """The N best items of every group, by a loser-tree merge of sorted runs.
 
-Every partition of the deduplicated rows is one run: sorted by group and score and read with a seek to
-the next group after N rows, as a run's later rows of a group cannot be among the group's first N. The
-runs are stored in the shared folder with the bucket of their group; buckets are sized from the counted
-rows. Each bucket then merges its runs with a loser tree, which again seeks to the next group after N
-outputs. A group with millions of items is spread over all runs and reaches its bucket with at most N
-rows of each run.
+Every partition of the deduplicated rows is one run, ordered by bucket, group and score and read with a
+seek to the next group after N rows, as a run's later rows of a group cannot be among the group's first N.
+Runs are stored in the shared folder cut by bucket: one row holds the stretch of a run that falls into a
+bucket (or a part of it of bounded length), still in order. Each bucket then merges its stretches with a
+loser tree, which again seeks to the next group after N outputs; no row is sorted twice. A group with
+millions of items is spread over all runs and reaches its bucket with at most N rows of each run.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import is_number, stage_table
+from tidemark.session import is_number, settled, stage_table
 
 _END = (1,)
 
@@ -93,9 +93,18 @@ def merge_runs(runs: Iterable[tuple[list, list, list]], n: int) -> Iterator[tupl
         tree.replace(run.head())
 
 
-def _head_of_run(n: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, taken = None, 0
+_STRETCH = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("part", pa.int32()), ("g", pa.list_(pa.string())), ("i", pa.list_(pa.string())), ("s", pa.list_(pa.float64()))])
+_STRETCH_ROWS = 50_000
+
+
+def _cut_runs(n: int):
+    """Rows in the order of bucket, group, score and item to stretches that keep the first ``n`` of each group."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        run = TaskContext.get().partitionId()
+        last, taken, part = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -109,45 +118,54 @@ def _head_of_run(n: int):
                 place[:head] += taken
             last = codes.dictionary[int(index[-1])].as_py()
             taken = int(place[-1]) + 1
-            yield batch.filter(pa.array(place < n))
-
-    return keep
+            kept = batch.filter(pa.array(place < n))
+            if not kept.num_rows:
+                continue
+            bucket = kept.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            cuts = [(a + k, min(a + k + _STRETCH_ROWS, b)) for a, b in zip(edges, edges[1:], strict=False) for k in range(0, b - a, _STRETCH_ROWS)]
+            offsets = pa.array([a for a, _ in cuts] + [len(bucket)], pa.int32())
+            columns = [
+                pa.array([int(bucket[a]) for a, _ in cuts], pa.int32()),
+                pa.array([run] * len(cuts), pa.int32()),
+                pa.array(range(part, part + len(cuts)), pa.int32()),
+                *(pa.ListArray.from_arrays(offsets, kept.column(c)) for c in ("g", "i", "s")),
+            ]
+            part += len(cuts)
+            yield pa.RecordBatch.from_arrays(columns, schema=_STRETCH)
+
+    return cut
 
 
 def _merge_buckets(n: int, schema: pa.Schema):
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            run = table.column("run").to_numpy()
-            edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
-            parts = [table.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-            rows = merge_runs(((p.column("g").to_pylist(), p.column("i").to_pylist(), p.column("s").to_pylist()) for p in parts), n)
-            out: list[tuple] = []
-            for row in rows:
-                out.append(row)
-                if len(out) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    """Stretches in the order of bucket, run and part to the first ``n`` of every group."""
 
+    def rows_of(held: list[tuple[int, list, list, list]]) -> Iterator[tuple]:
+        runs: dict[int, tuple[list, list, list]] = {}
+        for run, *columns in held:
+            mine = runs.setdefault(run, ([], [], []))
+            for own, more in zip(mine, columns, strict=True):
+                own.extend(more)
+        return merge_runs(runs.values(), n)
+
+    def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        while out := [row for _, row in zip(range(20_000), rows, strict=False)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            while batch.num_rows:
-                bucket = batch.column("bucket").to_numpy()
-                if held and held[-1].column("bucket")[0].as_py() != bucket[0]:
-                    yield from flush()
-                end = int(np.searchsorted(bucket, bucket[0], side="right"))
-                held.append(batch.slice(0, end))
-                batch = batch.slice(end)
-        if held:
-            yield from flush()
+            for bucket, run, *columns in zip(*(batch.column(c).to_pylist() for c in ("bucket", "run", "g", "i", "s")), strict=True):
+                if bucket != at:
+                    yield from batches_of(rows_of(held))
+                    at, held = bucket, []
+                held.append((run, *columns))
+        yield from batches_of(rows_of(held))
 
     return merge
 
 
+@settled
 def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 3, bucket_rows: int = 400_000) -> DataFrame:
     """The ``n`` items of every group with the greatest score; equal scores go by item ascending.
 
@@ -165,19 +183,16 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 3
         .groupBy("g", "i")
         .agg(F.max("s").alias("s"))
     )
-    runs = stage_table(
-        best.sortWithinPartitions("g", F.desc("s"), "i")
-        .mapInArrow(_head_of_run(n), "g string, i string, s double")
-        .withColumn("run", F.spark_partition_id())
-    )
-    # a bucket is what one task holds in memory: its number of rows is bounded by the number of buckets
-    buckets = max(1, -(-runs.count() // bucket_rows))
     spark = df.sparkSession
-    parallel = max(buckets, spark.sparkContext.defaultParallelism)
-    bucketed = (
-        runs.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(parallel)).cast("int"))
-        .repartition(parallel, "bucket")
-        .sortWithinPartitions("bucket", "run", "g", F.desc("s"), "i")
+    # a bucket is what one task merges in memory
+    found = df.agg(F.count(group).alias("n")).first()["n"]
+    buckets = max(1, -(-found // bucket_rows), spark.sparkContext.defaultParallelism)
+    runs = stage_table(
+        best.select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("bucket"), "g", "i", "s")
+        .sortWithinPartitions("bucket", "g", F.desc("s"), "i")
+        .mapInArrow(_cut_runs(n), "bucket int, run int, part int, g array<string>, i array<string>, s array<double>")
     )
+    # stretches are few: ordering them by number moves no item out of its place
+    bucketed = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "part").drop("part")
     schema = pa.schema([("group", pa.string()), ("item", pa.string()), ("score", pa.float64()), ("pos", pa.int64())])
     return bucketed.mapInArrow(_merge_buckets(n, schema), "group string, item string, score double, pos long")
