@@ -11,7 +11,7 @@ def brute(rows, winsor=(1, 99)):
     best = {}
     for key, *s in rows:
         if key is not None:
-            v = tuple(round(x * 1e6) if x is not None and x == x and abs(x) < 1e12 else None for x in s)
+            v = tuple(round(max(-9e12, min(9e12, x)) * 1e6) if x is not None and x == x and abs(x) != float("inf") else None for x in s)
             old = best.get(key)
             order = lambda t: tuple(-(10**30) if x is None else x for x in t)
             best[key] = v if old is None or order(v) > order(old) else old
@@ -42,7 +42,7 @@ def ranked(spark, rows):
 def test_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(f"r{k:03d}", float(int(rng.expovariate(0.001))), float(rng.randrange(9)), rng.random() * 3) for k in range(400)]
-    rows += [("big", 1e9, 1.0, 0.1), ("nan", float("nan"), 2.0, 0.2), ("null", None, None, None), ("inf", float("inf"), 1.0, 1.0), (None, 1.0, 1.0, 1.0)]
+    rows += [("big", 1e9, 1.0, 0.1), ("huge", 3e12, 8.0, 2.0), ("huger", 1e300, 8.0, 2.9), ("least", -1e13, 0.0, 0.0), ("nan", float("nan"), 2.0, 0.2), ("null", None, None, None), ("inf", float("inf"), 1.0, 1.0), (None, 1.0, 1.0, 1.0)]
     rows += [("tie_b", 5.0, 5.0, 1.0), ("tie_a", 5.0, 5.0, 1.0)] + rows[:50]
     assert ranked(spark, rows) == brute(rows)
 
@@ -53,6 +53,11 @@ def test_no_scale_prevails(spark):
     assert {k: v[0] for k, v in ranked(spark, base).items()} == {k: v[0] for k, v in ranked(spark, scaled).items()}
 
 
+def test_very_large_scores_are_no_missing_ones(spark):
+    rows = [(f"r{k}", 2e12 + k * 1e12, 1.0, 1.0) for k in range(10)]
+    assert {k: v[0] for k, v in ranked(spark, rows).items()} == {f"r{k}": max(1, 10 - k) if k < 7 else k - 6 for k in range(10)}
+
+
 def test_degenerate(spark):
     assert ranked(spark, []) == {}
     assert ranked(spark, [("b", 1.0, None, 2.0), ("a", 1.0, None, 2.0)]) == {"a": (1, 0.0), "b": (2, 0.0)}

@@ -205,7 +205,7 @@ WHERE upto >= greatest(1, (total * percent + 99) // 100) GROUP BY ALL
 _LA = "SELECT DISTINCT rev, canonical_author, la FROM commits WHERE la IS NOT NULL"
 
 _PLACES = f"""
-WITH raw AS (SELECT rev, {", ".join(f"CASE WHEN isfinite({c}::DOUBLE) AND abs({c}::DOUBLE) < 1e12 THEN round_even({c}::DOUBLE * 1000000, 0)::BIGINT END AS {c}" for c in ("la", "ndev", "entropy"))} FROM commits WHERE rev IS NOT NULL),
+WITH raw AS (SELECT rev, {", ".join(f"CASE WHEN isfinite({c}::DOUBLE) THEN round_even(greatest(-9e12, least(9e12, {c}::DOUBLE)) * 1000000, 0)::BIGINT END AS {c}" for c in ("la", "ndev", "entropy"))} FROM commits WHERE rev IS NOT NULL),
 it AS MATERIALIZED (SELECT rev, la, ndev, entropy FROM (SELECT *, row_number() OVER (PARTITION BY rev ORDER BY la DESC NULLS LAST, ndev DESC NULLS LAST, entropy DESC NULLS LAST) AS k FROM raw) WHERE k = 1),
 {", ".join(f"q_{c} AS (SELECT min(v) FILTER (k * 100 >= n) AS lo, min(v) FILTER (k * 100 >= 50 * n) AS mid, min(v) FILTER (k * 100 >= 99 * n) AS hi FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS k, count(*) OVER () AS n FROM it WHERE {c} IS NOT NULL))" for c in ("la", "ndev", "entropy"))},
 cap AS MATERIALIZED (SELECT rev, {", ".join(f"greatest(q_{c}.lo, least(q_{c}.hi, coalesce(it.{c}, q_{c}.mid))) AS {c}" for c in ("la", "ndev", "entropy"))} FROM it, q_la, q_ndev, q_entropy),

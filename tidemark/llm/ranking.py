@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.quantiles import percentiles
-from tidemark.session import stage_table
+from tidemark.session import settled, stage_table
 
 _SCALE = 10**6
+_LARGEST = 9e12  # beyond it scores are equal: six decimals of it still fit a long
 _INSIDE = 33  # bits that monotonically_increasing_id() gives to the row inside its partition
 
 
@@ -41,13 +42,14 @@ def place_rows(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
+@settled
 def ideal_point_ranking(
     df: DataFrame, key: str, weights: Mapping[str, float], winsor: tuple[int, int] = (1, 99)
 ) -> DataFrame:
     """Rank the distinct keys by several scores, greatest first; equal closeness goes by key ascending.
 
     Result: ``key``, ``place``, ``closeness``. ``weights`` names the score columns; a greater score means a
-    higher rank. Scores are taken to six decimals.
+    higher rank. Scores are taken to six decimals and up to 9e12 in size, larger ones as that.
 
     Defined cases: a null key gets no place; of repeated keys the row with the greatest scores, compared in
     the order of ``weights``, counts; a null, NaN or infinite score takes the median of its column, so that
@@ -60,8 +62,8 @@ def ideal_point_ranking(
 
     def clean(name: str) -> Column:
         value = F.col(name).cast("double")
-        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e12)
-        return F.when(finite, F.rint(value * _SCALE).cast("long")).alias(name)
+        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+        return F.when(finite, F.rint(F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), value)) * _SCALE).cast("long")).alias(name)
 
     items = (
         df.select(F.col(key).alias("key"), *[clean(f) for f in fields])
@@ -83,9 +85,14 @@ def ideal_point_ranking(
             for f in live
         ],
     )
-    # sums of whole numbers do not depend on the order of adding
+    # sums of whole numbers do not depend on the order of adding; very large ones may leave the whole numbers
+    def square(f: str) -> Column:
+        if max(abs(known[f, low]), abs(known[f, high])) < 10**15:
+            return (F.col(f).cast("decimal(19,0)") * F.col(f).cast("decimal(19,0)")).cast("decimal(38,0)")
+        return F.col(f).cast("double") * F.col(f).cast("double")
+
     if live:
-        sums = capped.agg(*[F.sum((F.col(f).cast("decimal(19,0)") * F.col(f).cast("decimal(19,0)")).cast("decimal(38,0)")).alias(f) for f in live]).first()
+        sums = capped.agg(*[F.sum(square(f)).alias(f) for f in live]).first()
     toward, away = F.lit(0.0), F.lit(0.0)
     for f in live:
         length = float(sums[f] or 0) ** 0.5
