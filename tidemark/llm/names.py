@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.hierarchy import resolve_hierarchy
-from tidemark.session import drop_staged, stage_table
+from tidemark.session import drop_staged, settled, stage_table
 
 # Mailboxes of a role or a machine.
 _ROLES = frozenset("admin build builder ci contact dev devnull git hello info mail nobody no-reply noreply office root support team webmaster".split())
@@ -353,8 +353,7 @@ def learned_forms(uses: DataFrame) -> DataFrame:
     alone = known.select(F.col("given").alias("word"), F.col("given").alias("formal")).join(step.select(F.col("short").alias("word")), "word", "left_anti")
     reached = step.select(F.col("long").alias("word"), F.col("long").alias("formal")).join(step.select(F.col("short").alias("word")), "word", "left_anti")
     out = stage_table(onward.unionByName(alone).unionByName(reached).distinct().groupBy("word").agg(F.sort_array(F.collect_set("formal")).alias("formal")))  # a few names
-    drop_staged(counts)
-    drop_staged(step)
+    drop_staged(counts, step)
     return out
 
 
@@ -400,6 +399,7 @@ def _deletions(token, min_ratio: float):
     return _deleted(token, most)
 
 
+@settled
 def token_roots(tokens: DataFrame, min_suffix: int = 4, min_ratio: float = 0.86, common: int = 100) -> DataFrame:
     """The best supported spelling within reach of every token.
 
@@ -471,11 +471,10 @@ def token_roots(tokens: DataFrame, min_suffix: int = 4, min_ratio: float = 0.86,
     rooted = resolve_hierarchy(links, "token", "up").select(F.col("node").alias("token"), "root")
     support = tokens.select(F.col("token").alias("root"), "support")
     out = stage_table(tokens.select("token").join(rooted, "token", "left").withColumn("root", F.coalesce("root", "token")).join(support, "root").select("token", "root", "support"))
-    for table in (tokens, finer_counted, blocks):
-        drop_staged(table)
     return out
 
 
+@settled
 def link_people(identities: DataFrame, value: str, name: str, address: str, machine: str | None = None) -> DataFrame:
     """One row per value with the person it denotes: ``value``, ``person``.
 
@@ -603,8 +602,6 @@ def link_people(identities: DataFrame, value: str, name: str, address: str, mach
     )
     everyone = raw.select("value").distinct()
     out = stage_table(everyone.join(found.unionByName(by_box), "value", "left").select("value", "person"))
-    for table in (raw, human, scores, uses, forms, words, read, roots, kept, people, options, found):
-        drop_staged(table)
     return out
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stage_table
+from tidemark.session import settled, stage_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _LEFTOVERS_PER_TASK = 200_000
@@ -114,6 +114,7 @@ def _merge_leftovers(capacity: int):
     return merge
 
 
+@settled
 def pack_items(sizes: DataFrame, capacity: int = 2048, windows: int = 64) -> DataFrame:
     """``doc_id``, ``piece``, ``n_tokens``, ``container`` for items of known size.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import drop_staged, stage_table
+from tidemark.session import settled, stage_table
 
 BITS = 9
 #: Largest relative error of percentiles of merged partial counts of 9 bits.
@@ -70,6 +70,7 @@ def merge_partials(portions: Sequence[DataFrame], groups: Sequence[str]) -> Data
     return together.groupBy(*groups, "v").agg(F.sum("w").alias("w"))
 
 
+@settled
 def bisect_percentiles(counts: DataFrame, groups: Sequence[str], percents: Sequence[int], fanout: int = 16) -> DataFrame:
     """Exact percentiles of weighted values: the group columns, ``percent``, ``value``, ``weight`` (total).
 
@@ -148,4 +149,4 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Sequ
     return found.withColumnsRenamed(dict(zip(inner, groups, strict=True)))
 
 
-__all__ = ["BITS", "ERROR_BOUND", "bisect_percentiles", "drop_staged", "merge_partials", "partial_counts", "percentiles"]
+__all__ = ["BITS", "ERROR_BOUND", "bisect_percentiles", "merge_partials", "partial_counts", "percentiles"]
