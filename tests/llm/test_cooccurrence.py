@@ -32,7 +32,10 @@ def test_against_brute_force(spark, support, lift, block):
     rng = random.Random(support)
     rows = [(f"r{b}", f"p{int(rng.expovariate(0.12))}") for b in range(60) for _ in range(rng.choice([1, 2, 5, 9, 40]))]
     rows += rows[:40] + [(None, "p1"), ("r1", None), ("r2", ""), ("r3", ""), ("r4", "")]
-    assert found(spark, rows, support, lift, block_rows=block) == brute(rows, support, lift)
+    want = brute(rows, support, lift)
+    assert found(spark, rows, support, lift, block_rows=block) == want
+    # postings of more than five rows are dealt to salts
+    assert found(spark, rows, support, lift, block_rows=block, posting_rows=5) == want
 
 
 def test_hot_basket_holds_a_third(spark):

@@ -1,11 +1,14 @@
 """Items that appear together in baskets, with lift and pointwise mutual information.
 
 Method: items are deduplicated per basket, ordered pairs are emitted, counts are combined map-side and
-lift comes from the marginals. Three exact reductions keep the pairs few, none of which drops a result:
+lift comes from the marginals. The table is read twice: once for the rows of every basket and item, once
+for the postings (the baskets of each item), which are stored and serve everything after.
 
+* Postings of items with many rows are dealt to salts by basket, so that no task and no row holds a hot
+  item. At most ``_LARGE`` items have that many rows; they are broadcast.
 * An item in fewer than ``min_support`` baskets is in no frequent pair. Since n(a,b) <= min(n(a), n(b)),
   lift n(a,b)*N/(n(a)*n(b)) is at most N/max(n(a), n(b)), so an item in more than N/min_lift baskets is in
-  no pair that stands out. This alone removes the items that nearly every basket holds.
+  no pair that stands out. Both kinds leave before the postings are turned into baskets.
 * The ``min_support - 1`` largest baskets are set aside. A pair in ``min_support`` baskets is in at least
   one other basket, so emitting pairs from the others finds all candidates; each item carries a bit mask
   of the set-aside baskets it is in, and two masks give the missing part of the count.
@@ -18,15 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stage_table
+from tidemark.session import settled, stage_table
 
 _MAX_SET_ASIDE = 7
+_LARGE = 200_000
 
 
-def _fingerprint(column: Column) -> list[Column]:
-    """A value as two longs: 128 bits identify a basket in any shuffle instead of its text."""
+def _fingerprint(column: Column, one: str, two: str) -> list[Column]:
+    """A value as two longs: 128 bits identify it in any shuffle instead of its text."""
     text = column.cast("string")
-    return [F.xxhash64(text).alias("b1"), F.xxhash64(F.lit("basket"), text).alias("b2")]
+    return [F.xxhash64(text).alias(one), F.xxhash64(F.lit("basket"), text).alias(two)]
 
 
 def _pairs_within(blocks: DataFrame) -> DataFrame:
@@ -39,6 +43,7 @@ def _pairs_within(blocks: DataFrame) -> DataFrame:
     )
 
 
+@settled
 def cooccurrence(
     baskets: DataFrame,
     basket: str,
@@ -46,6 +51,7 @@ def cooccurrence(
     min_support: int = 8,
     min_lift: int = 5,
     block_rows: int = 512,
+    posting_rows: int = 200_000,
 ) -> DataFrame:
     """Pairs of items that share at least ``min_support`` baskets with a lift of at least ``min_lift``.
 
@@ -58,12 +64,18 @@ def cooccurrence(
     """
     if min_support < 1 or min_lift < 1 or block_rows < 2:
         raise ValueError("min_support and min_lift must be at least 1, block_rows at least 2")
-    rows = baskets.select(*_fingerprint(F.col(basket)), F.col(item).cast("string").alias("item")).where(
+    rows = baskets.select(*_fingerprint(F.col(basket), "b1", "b2"), F.col(item).cast("string").alias("item")).where(
         F.col(basket).isNotNull() & F.col(item).isNotNull()
     )
-    sizes = rows.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("rows"))
-    # one small stage table: large baskets only, and the number of all baskets
-    total = sizes.count()
+    # rows of each basket and each item in one pass
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_basket"), F.col("b1").alias("k1"), F.col("b2").alias("k2")),
+        F.struct(F.lit(False).alias("is_basket"), *_fingerprint(F.col("item"), "k1", "k2")),
+    )
+    tally = stage_table(rows.select(F.explode(sides).alias("s")).groupBy("s.is_basket", "s.k1", "s.k2").agg(F.count(F.lit(1)).alias("rows")))
+    sizes = tally.where("is_basket").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "rows")
+    known = sizes.agg(F.count(F.lit(1)).alias("baskets"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    total = known["baskets"]
     if not total:
         empty = "item_a string, item_b string, n_a long, n_b long, n_ab long, n long, lift double, pmi double"
         return baskets.sparkSession.createDataFrame([], empty)
@@ -72,30 +84,44 @@ def cooccurrence(
         for r in sizes.where(F.col("rows") > 1).orderBy(F.desc("rows"), "b1", "b2").limit(min(min_support - 1, _MAX_SET_ASIDE)).collect()
     ]
     bits = len(aside)
-    flag = F.lit(0)
-    for k, (b1, b2) in enumerate(aside):
-        flag = F.when((F.col("b1") == b1) & (F.col("b2") == b2), 1 << k).otherwise(flag)
-    set_aside = rows.withColumn("flag", flag.cast("long"))
-
-    # marginals of the items that can be in a result; ids are fixed by writing them
-    stats = (
-        set_aside.distinct()
-        .groupBy("item")
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_or("flag").alias("mask"))
-        .where((F.col("n") >= min_support) & (F.col("n") * min_lift <= total))
-        .withColumn("key", F.monotonically_increasing_id() * (1 << _MAX_SET_ASIDE) + F.col("mask"))
+
+    def flag_of(b1: Column, b2: Column) -> Column:
+        flag = F.lit(0)
+        for k, (one, two) in enumerate(aside):
+            flag = F.when((b1 == one) & (b2 == two), 1 << k).otherwise(flag)
+        return flag.cast("long")
+
+    # rows add up to `known["rows"]`, so at most _LARGE items have more than its _LARGE-th part
+    share = max(posting_rows, known["rows"] // _LARGE)
+    large = F.broadcast(tally.where(~F.col("is_basket") & (F.col("rows") > share)).select(F.col("k1").alias("i1"), F.col("k2").alias("i2"), F.ceil(F.col("rows") / share).alias("salts")))
+    dealt = (
+        rows.select("b1", "b2", "item", *_fingerprint(F.col("item"), "i1", "i2"))
+        .join(large, ["i1", "i2"], "left")
+        .select("b1", "b2", "item", F.col("salts").isNotNull().alias("dealt"), F.coalesce(F.pmod("b1", "salts"), F.lit(0)).alias("salt"))
+    )
+    gathered = dealt.groupBy("item", "dealt", "salt").agg(F.collect_set(F.struct("b1", "b2")).alias("posting"))
+    # ids are fixed by writing them
+    postings = stage_table(
+        gathered.select("item", "dealt", "posting", F.size("posting").cast("long").alias("n"), F.aggregate("posting", F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(flag_of(b["b1"], b["b2"]))).alias("mask"))
+        .where(F.col("dealt") | ((F.col("n") >= min_support) & (F.col("n") * min_lift <= total)))
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    coded = (F.col("id") * (1 << _MAX_SET_ASIDE) + F.col("mask")).alias("key")
+    small = postings.where("not dealt")
+    # an item that was dealt counts as a whole (at most _LARGE of them)
+    whole = (
+        postings.where("dealt").groupBy("item").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"), F.min("id").alias("id")).where((F.col("n") >= min_support) & (F.col("n") * min_lift <= total))
     )
-    stats = stage_table(stats)
+    stats = small.select("item", "n", coded).unionByName(whole.select("item", "n", coded))
+    placed = small.select(coded, "posting").unionByName(postings.where("dealt").select("item", "posting").join(F.broadcast(whole), "item").select(coded, "posting"))
+    at = F.col("b")
+    kept = placed.select("key", F.explode("posting").alias("b")).where(flag_of(at["b1"], at["b2"]) == 0).select("b.b1", "b.b2", "key")
 
     wide = sizes.where(F.col("rows") > block_rows).select(
         "b1", "b2", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
     )
     members = (
-        set_aside.where("flag = 0")
-        .drop("flag")
-        .join(stats.select("item", "key"), "item")
-        .select("b1", "b2", "key")
-        .join(wide, ["b1", "b2"], "left")
+        kept.join(wide, ["b1", "b2"], "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
         .groupBy("b1", "b2", "blocks", "block")
