@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from tidemark.llm.contamination import _fewest_hits, leaked_items, longest_passage, plain_words, without_leaks
+from tidemark.llm.contamination import gram_width, leaked_items, longest_passage, plain_words, without_leaks
 
 WORDS = [f"word{k}" for k in range(400)]
 
@@ -18,12 +18,31 @@ def test_plain_words():
 
 def test_bound_on_hits_is_exact():
     rng = random.Random(8)
-    for length in (24, 47, 80, 121):
+    for length in (1, 2, 3, 6, 7, 9, 12, 16, 18, 24, 47, 80, 121):
+        width, fewest = gram_width(length, 5, 0.5, 8)
+        assert fewest >= 1
         for k in range(-(-length // 2), length + 1):
-            for _ in range(20):
+            for _ in range(40):
                 altered = set(rng.sample(range(k), k // 8))
-                intact = sum(not altered & set(range(s, s + 5)) for s in range(k - 4))
-                assert intact >= _fewest_hits(length, 5, 0.5, 8) or _fewest_hits(length, 5, 0.5, 8) == 1
+                intact = sum(not altered & set(range(s, s + width)) for s in range(k - width + 1))
+                assert intact >= fewest
+
+
+def test_short_items_with_an_altered_word(spark):
+    rng = random.Random(21)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(6, 19)}
+    docs = {}
+    for n, words in items.items():
+        part = words[: -(-n // 2)]
+        if len(part) >= 8:
+            part = [*part[:4], "altered", *part[5:]]
+        docs[n] = " ".join([text_of(rng, 30), *part, text_of(rng, 30)])
+        docs[100 + n] = " ".join([text_of(rng, 30), *words[: n // 2 - 1], text_of(rng, 30)])
+    d = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    e = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaked_items(d, e).collect()}
+    assert {(n, n) for n in items} <= found
+    assert all(a == b or a - 100 == b for a, b in found)
 
 
 def test_longest_passage():

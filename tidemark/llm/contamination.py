@@ -3,17 +3,21 @@
 The held-out items are few and do not grow with the corpus: their normalised word n-grams form a hash set
 that is broadcast, in blocks of at most ``block_items`` items, so that its size is bounded whatever the
 number of items. Each document is scanned once, window by window, against the set; a document with enough
-hits of an item is verified by aligning the words of both. The bound on hits is exact: a passage of half
-an item with one word in eight altered keeps at least that many n-grams intact.
+hits of an item is verified by aligning the words of both. The bound on hits is exact: the length of the
+grams is chosen per item, so that a passage of half of it with one word in eight altered keeps at least
+one gram, and usually many, intact; items of very few words are searched by single words.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.visual import _ALIKE, _IGNORABLE
 
 _TAG = regex.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--.*?-->", regex.DOTALL)
-_DROP = regex.compile(r"[\W_]+")
+_DROP = re.compile(r"[^\w\s]+|_+")
+_ALIKE_LETTER = re.compile("[" + "".join(map(chr, _ALIKE)) + "]")
+_SCANNED = 4_000_000  # letters that are looked up at once
 _ENTITY = regex.compile(r"&(?:[A-Za-z]{2,8}|#\d{1,7}|#x[0-9A-Fa-f]{1,6});")
 
 
@@ -42,14 +48,24 @@ def plain_words(text: str | None) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text)).translate(_ALIKE)
-    return [w for w in (_DROP.sub("", x) for x in text.casefold().split()) if w]
+        text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text))
+        text = _ALIKE_LETTER.sub(lambda m: _ALIKE[ord(m[0])], text)
+    return _DROP.sub("", text.casefold()).split()
 
 
 def _fewest_hits(length: int, n: int, share: float, altered: int) -> int:
-    """The least number of intact n-grams in a passage of at least ``share`` of an item."""
+    """The least number of intact n-grams in a passage of at least ``share`` of an item; 0 or less if none is sure."""
     shortest = max(1, math.ceil(length * share))
-    return max(1, min(k - (n - 1) - n * (k // altered) for k in range(shortest, length + 1)))
+    return min(k - (n - 1) - n * (k // altered) for k in range(shortest, length + 1))
+
+
+def gram_width(length: int, n: int, share: float, altered: int) -> tuple[int, int]:
+    """The longest grams, up to ``n`` words, of which a passage is sure to keep one, and how many it keeps."""
+    for width in range(min(n, length), 1, -1):
+        fewest = _fewest_hits(length, width, share, altered)
+        if fewest >= 1:
+            return width, fewest
+    return 1, max(1, _fewest_hits(length, 1, share, altered))
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -93,29 +109,63 @@ def longest_passage(item: list[str], words: list[str], altered: int = 8) -> tupl
 
 
 class _Index:
-    """Word n-grams of the held-out items with their items and positions."""
+    """Word n-grams of the held-out items with their items and positions.
+
+    Words of the items are numbered; a document becomes an array of numbers, and all its grams are looked up
+    at once by a hash, which is then checked against the gram itself.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]], n: int, share: float, altered: int) -> None:
-        self.n, self.share, self.altered = n, share, altered
+        self.share, self.altered = share, altered
         self.items = {i: w for i, w in items if w}
-        self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-        self.width: dict[int, int] = {}
+        self.numbers: dict[str, int] = {}
         self.fewest: dict[int, int] = {}
+        grams: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
         for i, words in self.items.items():
-            width = min(n, len(words))
-            self.width[i] = width
-            self.fewest[i] = _fewest_hits(len(words), width, share, altered)
+            numbered = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+            width, self.fewest[i] = gram_width(len(words), n, share, altered)
             for k in range(len(words) - width + 1):
-                self.grams.setdefault(tuple(words[k : k + width]), []).append((i, k))
-        self.widths = sorted(set(self.width.values()))
+                grams.setdefault(width, {}).setdefault(tuple(numbered[k : k + width]), []).append((i, k))
+        self.grams = grams
+        self.hashes = {width: np.sort(self._hash(np.array(list(table), dtype=np.uint64).T)) for width, table in grams.items()}
+
+    @staticmethod
+    def _hash(columns) -> np.ndarray:
+        out = np.zeros(len(columns[0]), dtype=np.uint64)
+        for column in columns:
+            out = (out ^ (column + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def hits(self, texts: Sequence[list[str]]) -> list[dict[int, dict[int, set[int]]]]:
+        """Per text the grams found: item to place in the text to places in the item. All texts are looked up at once."""
+        ends = np.cumsum([len(words) + 1 for words in texts])
+        # a word that no item has parts the texts
+        numbered = np.array([*map(self.numbers.get, chain.from_iterable((*words, None) for words in texts), repeat(-1))], dtype=np.int64)
+        sure = numbered >= 0
+        out: list[dict[int, dict[int, set[int]]]] = [{} for _ in texts]
+        for width, table in self.grams.items():
+            size = len(numbered) - width + 1
+            if size < 1:
+                continue
+            run = sure[:size].copy()
+            for s in range(1, width):
+                run &= sure[s : s + size]
+            places = np.flatnonzero(run)
+            if not len(places):
+                continue
+            hashed = self._hash([numbered[places + s].astype(np.uint64) for s in range(width)])
+            known = self.hashes[width]
+            at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+            found = places[known[at] == hashed]
+            for k, text in zip(found.tolist(), np.searchsorted(ends, found, side="right").tolist(), strict=True):
+                first = int(ends[text]) - len(texts[text]) - 1
+                for item, place in table.get(tuple(numbered[k : k + width].tolist()), ()):
+                    out[text].setdefault(item, {}).setdefault(k - first, set()).add(place)
+        return out
 
-    def search(self, words: list[str]) -> list[tuple[int, int, int, float]]:
+    def search(self, words: list[str], hits: dict[int, dict[int, set[int]]]) -> list[tuple[int, int, int, float]]:
         """``(item, first word, last word, share of the item)`` of every item that ``words`` give away."""
-        hits: dict[int, dict[int, set[int]]] = {}
-        for width in self.widths:
-            for k, gram in enumerate(zip(*(words[s:] for s in range(width)), strict=False)):
-                for item, at in self.grams.get(gram, ()):
-                    hits.setdefault(item, {}).setdefault(k, set()).add(at)
         out = []
         for item, places in hits.items():
             wanted = self.items[item]
@@ -134,8 +184,14 @@ class _Index:
             for group in groups:
                 if len(set().union(*(places[k] for k in group))) < self.fewest[item]:
                     continue
-                for start in range(group[0], group[-1] + 1, 4 * length):
-                    low, high = max(0, start - length), start + 6 * length
+                first = group[0] - min(places[group[0]])
+                if first >= 0 and words[first : first + length] == wanted:
+                    best = (length, first, first + length - 1)
+                    break
+                # windows overlap by more than a passage can be long
+                for start in range(group[0], group[-1] + 1, 3 * length):
+                    end = min(start + 3 * length, group[-1])
+                    low, high = max(0, start - 2 * length), end + 2 * length
                     span, first, last = longest_passage(wanted, words[low:high], self.altered)
                     if span > best[0]:
                         best = (span, low + first, low + last)
@@ -163,8 +219,8 @@ def leaked_items(
     document) and ``share`` of the item's words it spans. A document leaks an item if it contains, in order,
     at least ``share`` of its words with at most one in ``altered`` changed.
 
-    Defined cases: null ids and texts, and items without any word, give no rows; items shorter than ``n``
-    words are searched as a whole; repeated documents and items count once; whole texts are searched,
+    Defined cases: null ids and texts, and items without any word, give no rows; short items are
+    searched by shorter grams, see :func:`gram_width`; repeated documents and items count once; whole texts are searched,
     whatever their length; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -182,13 +238,19 @@ def leaked_items(
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = _Index(shared.value, n, share, altered)
-            known: dict[str, list] = {}
             for batch in batches:
                 rows = []
-                known.clear()
+                bodies = list(dict.fromkeys(batch["text"]))
+                known: dict[str, list] = {}
+                while bodies:
+                    texts, words = [], []
+                    letters = 0
+                    while bodies and letters < _SCANNED:
+                        texts.append(bodies.pop())
+                        words.append(plain_words(texts[-1]))
+                        letters += len(texts[-1])
+                    known.update({t: index.search(w, h) for t, w, h in zip(texts, words, index.hits(words), strict=True)})
                 for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
-                    if body not in known:
-                        known[body] = index.search(plain_words(body))
                     rows.extend((doc, *hit) for hit in known[body])
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word", "share"])
 
