@@ -8,20 +8,21 @@ Two forms of a text are made, once per distinct value of an Arrow batch:
   superscript and a digit, but equates what looks alike: full-width forms, composed and combining
   accents, ligatures and their letters, look-alike letters, kinds of spaces, hyphens and line breaks.
 
-``fold`` finds the candidates, ``display`` decides.
+``fold`` is made from ``display`` and finds the candidates, ``display`` decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import stage_table
+from tidemark.session import settled, stage_table
 
 # Letters of other scripts whose usual glyph is that of a Latin letter.
 _CYRILLIC = "А В Е К М Н О Р С Т Х Ѕ І Ј Ү Ԛ Ԝ а е о р с у х ѕ і ј һ ԁ ԛ ԝ"
@@ -55,32 +56,44 @@ _IGNORABLE_RANGES = (
 )
 _IGNORABLE = re.compile("[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in _IGNORABLE_RANGES.split()) + "]+")
 _WIDTH = re.compile(r"[！-￮]+")
-_LINE_END = re.compile(r"\r\n?")
+_BREAKS = {0x0D: "\n", 0x0B: "\n", 0x0C: "\n"}
+
+
+_MAPPED = re.compile("[" + "".join(re.escape(chr(c)) for c in _SAME_GLYPH) + "]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+
+
+def _mapped(text: str) -> str:
+    return _MAPPED.sub(lambda m: _SAME_GLYPH[ord(m[0])], text) if _MAPPED.search(text) else text
 
 
 def display_form(text: str | None) -> str | None:
     """What a text shows on screen; ``None`` stays ``None``."""
     if text is None:
         return None
+    if not text.isascii():
+        text = _IGNORABLE.sub("", text)
+        text = _WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+    text = text.replace("\r\n", "\n").translate(_BREAKS) if "\r" in text or "\x0b" in text or "\x0c" in text else text
     if text.isascii():
-        return _LINE_END.sub("\n", text).replace("\x0b", "\n").replace("\x0c", "\n") if "\r" in text or "\x0b" in text or "\x0c" in text else text
-    text = _IGNORABLE.sub("", text)
-    text = _WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
-    text = _LINE_END.sub("\n", text).translate(_SAME_GLYPH)
-    # accents are composed after letters were mapped, so that a mapped letter takes its accent along
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_ALIKE))
+        return text
+    text = _mapped(text)
+    if _OTHER_SCRIPT.search(text):
+        # accents are composed after letters were mapped, so that a mapped letter takes its accent along
+        text = _mapped(unicodedata.normalize("NFD", text))
+    return unicodedata.normalize("NFC", text)
+
+
+def _folded(shown: str) -> str:
+    if not shown.isascii():
+        shown = unicodedata.normalize("NFKC", shown)
+    folded = shown.casefold()
+    return " ".join((folded if folded.isascii() else unicodedata.normalize("NFKC", folded)).split())
 
 
 def fold_form(text: str | None) -> str | None:
     """The comparison form of a text; ``None`` stays ``None``."""
-    if text is None:
-        return None
-    if text.isascii():
-        return " ".join(text.casefold().split())
-    text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text)).translate(_SAME_GLYPH)
-    text = unicodedata.normalize("NFD", text).translate(_ALIKE)
-    text = unicodedata.normalize("NFKC", text.casefold())
-    return " ".join(text.split())
+    return None if text is None else _folded(display_form(text))
 
 
 def _per_distinct(values: pd.Series, form) -> pd.Series:
@@ -105,44 +118,43 @@ def display_text(values: pd.Series) -> pd.Series:
     return _per_distinct(values, display_form)
 
 
-_DIGESTS = T.StructType(
-    [T.StructField("fold", T.BinaryType()), T.StructField("shown", T.BinaryType()), T.StructField("blank", T.BooleanType()), T.StructField("raw", T.BinaryType())]
-)
+_DIGESTS = T.StructType([T.StructField("fold", T.BinaryType()), T.StructField("shown", T.BinaryType()), T.StructField("blank", T.BooleanType())])
 
 
 @F.pandas_udf(_DIGESTS)
 def _digests(values: pd.Series) -> pd.DataFrame:
-    """128-bit digests of the two forms and of the text itself, once per distinct value."""
-    import xxhash
-
-    known: dict = {}
-    out = []
+    """128-bit digests of the two forms, once per distinct value of a batch; null for null."""
+    known: dict = {None: (None, None, None)}
     for value in values:
         if value not in known:
-            if value is None:
-                known[value] = (None, None, True, None)
-            else:
-                shown = display_form(value)
-                known[value] = (
-                    xxhash.xxh3_128_digest(fold_form(value).encode("utf-8", "surrogatepass")),
-                    xxhash.xxh3_128_digest(shown.encode("utf-8", "surrogatepass")),
-                    not shown.strip(),
-                    xxhash.xxh3_128_digest(value.encode("utf-8", "surrogatepass")),
-                )
-        out.append(known[value])
-    return pd.DataFrame(out, columns=["fold", "shown", "blank", "raw"])
+            shown = display_form(value)
+            known[value] = (*(hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in (_folded(shown), shown)), not shown.strip())
+    return pd.DataFrame([known[v] for v in values], columns=["fold", "shown", "blank"])
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def visual_digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``fold``, ``shown`` and ``raw`` digests of every document that is not blank.
 
-    Whole texts are read; only 48 bytes per document travel on.
+    Whole texts are read; only 48 bytes per document travel on. Plain texts, which have as many bytes as
+    characters, are formed in the JVM; only the others reach Python.
     """
     made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    plain = F.octet_length("text") == F.length("text")
+    own = F.when(plain, F.translate(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\r\x0b\x0c", "\n\n\n"))
+    folded = F.trim(F.regexp_replace(F.lower(own), r"[\s\x1c-\x1f]+", " "))
+    formed = made.select("doc_id", "text", own.alias("own"), folded.alias("folded"), _digests(F.when(~plain, F.col("text"))).alias("d"))
+    kept = formed.where(F.coalesce(~F.col("d.blank"), F.col("folded") != ""))
     # stored, as classes and pairs read it several times and every reading would form all texts again
-    return stage_table(made.select("doc_id", _digests("text").alias("d")).where("not d.blank").select("doc_id", "d.fold", "d.shown", "d.raw").distinct())
+    return stage_table(
+        kept.select("doc_id", F.coalesce("d.fold", _digest(F.col("folded"))).alias("fold"), F.coalesce("d.shown", _digest(F.col("own"))).alias("shown"), _digest(F.col("text")).alias("raw")).distinct()
+    )
 
 
+@settled
 def visual_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document with its class: documents of a class show the same.
 
@@ -151,10 +163,11 @@ def visual_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     appearance) are left out; repeated rows count once.
     """
     digests = visual_digests(docs, doc_id, text)
-    per_class = digests.groupBy("fold", "shown").agg(F.count_distinct("raw").alias("variants"))
+    per_class = digests.select("fold", "shown", "raw").distinct().groupBy("fold", "shown").agg(F.count(F.lit(1)).alias("variants"))
     return digests.join(per_class, ["fold", "shown"])
 
 
+@settled
 def visual_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs ``doc_a`` < ``doc_b`` of documents with different text that show the same.
 
