@@ -57,15 +57,37 @@ def fisher_p(shared: pd.Series, revs_a: pd.Series, revs_b: pd.Series, n: pd.Seri
     return pd.Series(out, dtype="float64")
 
 
+def magnitude_bucket(value: Column) -> Column:
+    """A whole number that never falls while the value grows: 256 steps for each doubling, on either side of 0."""
+    size = F.abs(value.cast("double"))
+    return F.when(size == 0, 0).otherwise(F.signum(value.cast("double")) * (F.floor((F.log2(size) + 1100) * 256) + 1)).cast("long")
+
+
+def count_below(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """``counts`` (one row for each value, weighted ``n``) with ``_less``, the weight of smaller values, and ``_total``.
+
+    Values are put in order within buckets of nearly equal magnitude, and only the buckets, of which there are
+    some thousand at most whatever the number of values, in one row of their own. No task sorts all values.
+    """
+    placed = counts.withColumn("_bucket", magnitude_bucket(F.col(value)))
+    sums = placed.groupBy(*by, "_bucket").agg(F.sum(n).alias("_in"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_in").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*by, "_bucket", before.alias("_before"), F.sum("_in").over(whole).alias("_total"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return ranked.join(offsets, [*by, "_bucket"]).withColumn("_less", F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float) -> DataFrame:
     """The rows whose p is at most the largest p(k) <= k/m * alpha. Null p counts as not significant.
 
-    Equal p values are counted together first, so that ranks need no global sort of the rows.
+    Equal p values are counted together first, and ranked by :func:`count_below`.
     """
     counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_m"))
     # candidates only: a p above alpha is never at or below its threshold
-    ranked = counts.where(F.col("_p") <= alpha).withColumn("_k", F.sum("_n").over(Window.orderBy("_p")))
+    ranked = count_below(counts.where(F.col("_p") <= alpha), "_p", "_n").withColumn("_k", F.col("_less") + F.col("_n"))
     cut = ranked.join(F.broadcast(total)).where(F.col("_p") <= F.col("_k") / F.col("_m") * alpha).agg(F.max("_p").alias("_cut"))
     return df.join(F.broadcast(cut), F.col(p) <= F.col("_cut")).drop("_cut")
 
@@ -86,8 +108,8 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     Scores are counted per distinct value before they are ranked.
     """
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    below = per.withColumn("less", F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2.0))
+    below = count_below(per, "s", "neg")
+    wins = F.sum(F.col("pos") * (F.col("_less") + F.col("neg") / 2.0))
     return below.agg((wins / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 

@@ -59,7 +59,7 @@ def authors(fs: FactStore) -> DataFrame:
 
 def top_committers(fs: FactStore) -> DataFrame:
     """Commits and lines of every author, with first and last day; commits without changes count."""
-    lines = fs.changes.groupBy("rev").agg(F.sum("loc_added").alias("added"), F.sum("loc_deleted").alias("deleted"))
+    lines = fs.raw_changes.groupBy("rev").agg(F.sum("loc_added").alias("added"), F.sum("loc_deleted").alias("deleted"))
     humans = fs.human_commits.select("canonical_author").distinct().withColumn("human", F.lit(True))
     return (
         fs.commits.select("rev", "canonical_author", "date")

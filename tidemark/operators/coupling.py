@@ -119,10 +119,16 @@ def coupling_degree(fs: FactStore) -> DataFrame:
 def clone_coupling(fs: FactStore) -> DataFrame:
     """Duplicated fragments whose files also change together.
 
-    Fragments pair up by path within a family, each pair of files once per family.
+    Fragments pair up by path within a family, each pair of files once per family. A pair is at risk if the
+    main author of either file has left.
     """
+    from tidemark.operators.ownership import knowledge_islands
+
     o = fs.options
-    members = fs.clones.where(F.col("node_count") >= o.min_clone_node_count).groupBy("fingerprint", "path").agg(F.max("node_count").alias("node_count"), F.min("start_line").alias("start_line"))
+    kept = fs.clones.where(F.col("node_count") >= o.min_clone_node_count)
+    if "similarity" in kept.columns:
+        kept = kept.where(F.col("similarity") >= o.clone_similarity_floor)
+    members = kept.groupBy("fingerprint", "path").agg(F.max("node_count").alias("node_count"), F.min("start_line").alias("start_line"))
     pairs = fs.with_options(min_shared_revs=o.min_clone_shared_revs)
     coupled = coupling(pairs)
     # coupled pairs are few: each brings its own families instead of pairing whole families
@@ -131,10 +137,14 @@ def clone_coupling(fs: FactStore) -> DataFrame:
     joined = coupled.withColumnsRenamed({"entity_a": "file_a", "entity_b": "file_b"}).join(left, "file_a").join(right, ["fingerprint", "file_b"])
     if o.clone_skip_same_dir:
         joined = joined.where(folder_of("file_a") != folder_of("file_b"))
-    return joined.select(
+    islands = knowledge_islands(fs).select("entity", F.lit(True).alias("island"))
+    left, right = islands.select(F.col("entity").alias("file_a"), F.col("island").alias("island_a")), islands.select(F.col("entity").alias("file_b"), F.col("island").alias("island_b"))
+    return joined.join(left, "file_a", "left").join(right, "file_b", "left").select(
         "fingerprint",
         "file_a",
         "file_b",
+        (F.coalesce("island_a", F.lit(False)) | F.coalesce("island_b", F.lit(False))).alias("at_risk"),
+        F.round("fisher_p", 7).alias("p_value"),
         "node_count",
         F.lit(1.0).alias("similarity"),
         F.col("shared").alias("shared_revs"),

@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import stage_table
+from tidemark.session import drop_staged, stage_table
 from tidemark.sources.facts import FactStore
+from tidemark.sources.readers import attribution
 
 BRANCH_DEPTH = 200
 BRANCH_DAYS = 90
+CAVEATS = {
+    "needs merges; squashed branches are not seen": ("batch_size_files", "batch_size_loc", "branch_duration_hours"),
+    "from writing to landing, not to release": ("lead_proxy_hours",),
+    "lines that moved between commits are not followed": ("rework_pct",),
+    "different addresses; a stand-in for patches that others apply": ("landed_by_other_pct",),
+}
 
 
 def lead_time(fs: FactStore) -> DataFrame:
@@ -30,41 +37,45 @@ def mainline(fs: FactStore) -> DataFrame:
     known = 1
     while True:
         # everything within 2^k steps, then within 2^(k+1)
-        line = stage_table(line.unionByName(line.join(step, "rev").select(F.col("ptr").alias("rev"))).distinct())
-        count = line.count()
+        longer = stage_table(line.unionByName(line.join(step, "rev").select(F.col("ptr").alias("rev"))).distinct())
+        drop_staged(line)
+        line, count = longer, longer.count()
         if count == known:
+            drop_staged(step)
             return line
         known = count
         far = step.select(F.col("rev").alias("ptr"), F.col("ptr").alias("far"))
-        step = stage_table(step.join(far, "ptr").select("rev", F.col("far").alias("ptr")))
+        doubled = stage_table(step.join(far, "ptr").select("rev", F.col("far").alias("ptr")))
+        drop_staged(step)
+        step = doubled
 
 
 def branch_commits(fs: FactStore) -> DataFrame:
     """Commits that each merge brought in: ``merge``, ``rev``.
 
     From the merge's second parent first parents are followed until the main line, at most 200 steps and
-    90 days back. All merges advance together, one join a step.
+    90 days back. Jumps double their length in every round, so that eight rounds go all the way for all
+    merges together.
     """
     c = fs.commits.select("rev", "date")
-    line = stage_table(mainline(fs))
+    line = mainline(fs)
     first = fs.parents.where("position = 0").select("rev", F.col("parent_rev").alias("next"))
     merges = fs.parents.where("position = 1").select(F.col("rev").alias("merge"), F.col("parent_rev").alias("rev"))
     floor = c.select(F.col("rev").alias("merge"), (F.col("date") - F.expr(f"INTERVAL {BRANCH_DAYS} DAYS")).alias("floor"))
-    onward = stage_table(first.join(c, "rev").join(line, "rev", "left_anti").select("rev", "next", "date"))
-    at = stage_table(merges.join(floor, "merge"))
-    parts = []
-    for _ in range(BRANCH_DEPTH):
-        here = stage_table(at.join(onward, "rev").where("date >= floor").select("merge", "rev", "next", "floor"))
-        if not here.take(1):
-            break
-        parts.append(here.select("merge", "rev"))
-        at = here.select("merge", F.col("next").alias("rev"), "floor")
-    if not parts:
-        return merges.where("false")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    off = stage_table(c.join(line, "rev", "left_anti").select("rev"))
+    jump = stage_table(first.join(off, "rev").join(off.withColumnRenamed("rev", "next"), "next").select("rev", F.col("next").alias("far")))
+    at = stage_table(merges.join(off, "rev").select("merge", "rev", F.lit(0).alias("depth")))
+    length = 1
+    while length < BRANCH_DEPTH:
+        onward = at.join(jump, "rev").select("merge", F.col("far").alias("rev"), (F.col("depth") + length).alias("depth")).where(F.col("depth") < BRANCH_DEPTH)
+        reached = stage_table(at.unionByName(onward))
+        doubled = stage_table(jump.join(jump.select(F.col("rev").alias("far"), F.col("far").alias("farther")), "far").select("rev", F.col("farther").alias("far")))
+        drop_staged(at, jump)
+        at, jump, length = reached, doubled, length * 2
+    # a walk ends at its first commit before the floor
+    dated = at.join(c, "rev").join(floor, "merge")
+    ends = dated.where("date < floor or date is null or floor is null").groupBy("merge").agg(F.min("depth").alias("end"))
+    return dated.join(ends, "merge", "left").where("end is null or depth < end").select("merge", "rev")
 
 
 def _spread(df: DataFrame, metric: str, value: str) -> DataFrame:
@@ -115,7 +126,8 @@ def delivery_metrics(fs: FactStore) -> DataFrame:
     other = fs.commits.where("not is_merge and author_email is not null and committer_email is not null").agg(F.count_if(F.lower("author_email") != F.lower("committer_email")).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 0")
     landed = other.select(F.lit("landed_by_other_pct").alias("metric"), F.round(100.0 * F.col("k") / F.col("n"), 6).alias("p50"), "n")
     out = _spread(size, "batch_size_files", "files").unionByName(_spread(size, "batch_size_loc", "loc")).unionByName(_spread(span, "branch_duration_hours", "hours")).unionByName(_spread(lead, "lead_proxy_hours", "hours"))
-    return out.unionByName(again, allowMissingColumns=True).unionByName(landed, allowMissingColumns=True)
+    every = out.unionByName(again, allowMissingColumns=True).unionByName(landed, allowMissingColumns=True)
+    return every.withColumn("caveat", F.coalesce(*[F.when(F.col("metric").isin(*names), F.lit(text)) for text, names in CAVEATS.items()]))
 
 
 def tags_of(fs: FactStore) -> DataFrame:
@@ -261,12 +273,12 @@ def monthly_trends(fs: FactStore) -> DataFrame:
     )
 
 
-def control_charts(fs: FactStore, months: int = 24) -> DataFrame:
+def control_charts(fs: FactStore) -> DataFrame:
     """Monthly commits as a control chart: attention where the last value or the last eight stand out. One row.
 
-    Only whole months before the anchor are read, at most the last two years, as moving ranges need order.
+    Only whole months before the anchor are read. Months are few: one row for each is put in order.
     """
-    series = monthly_trends(fs).where(F.col("month") < F.date_format(fs.anchor, "yyyy-MM")).orderBy(F.desc("month")).limit(months)
+    series = monthly_trends(fs).where(F.col("month") < F.date_format(fs.anchor, "yyyy-MM"))
     order = Window.orderBy("month")
     moved = series.withColumn("range", F.abs(F.col("commits") - F.lag("commits").over(order))).withColumn("age", F.row_number().over(Window.orderBy(F.desc("month"))))
     mean = moved.agg(F.avg("commits").alias("mean"), F.avg("range").alias("moving_range"), F.max_by("commits", "month").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -322,17 +334,9 @@ def delta_of_halves(fs: FactStore) -> DataFrame:
 
 
 def ai_classes(fs: FactStore) -> DataFrame:
-    """How commits were written, read from identity and message: machine, assisted or human.
-
-    A bot's name or address makes a commit machine-written; a co-author line of an assistant, or the mark of
-    one, makes it assisted.
-    """
-    bots = r"(?i)\[bot\]|\bbot\b|-bot@|@bots\.|courier|dependabot|renovate"
-    assistant = r"(?im)^\s*co-authored-by:.*(assistant|copilot|\[bot\]|@bots\.)"
-    kind = F.when(F.coalesce(F.concat_ws(" ", "author_name", "author_email").rlike(bots), F.lit(False)), "ai-authored").when(
-        F.coalesce(F.col("message").rlike(assistant) | F.lower("message").contains("(aider)"), F.lit(False)), "ai-assisted"
-    )
-    return fs.commits.select("rev", kind.alias("kind")).groupBy(F.coalesce("kind", F.lit("human")).alias("kind")).agg(F.count(F.lit(1)).alias("commits"))
+    """How commits were written, read from identity and message: machine, assisted or human."""
+    kind = attribution(F.col("author_name"), F.col("author_email"), F.col("message"))
+    return fs.commits.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("commits"))
 
 
 def scan_coverage(fs: FactStore) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import ownership, rankings, structure
+from tidemark.operators import delivery, ownership, rankings, structure
 from tidemark.session import stage_table
 from tidemark.sources.facts import FactStore
 
@@ -26,13 +26,14 @@ def evaluate_gates(fs: FactStore, limits: dict[str, float]) -> DataFrame:
 
     Known gates: cognitive_max, hotspot_score_max, hotspot_anchored_max, code_health_min,
     corpus_percentile_max, max_dependency_cycles, max_propagation_cost, max_red_effort_pct,
-    code_familiarity_min, max_findings_in_hot_files, max_clone_family. Each analysis runs once,
-    whatever the number of its gates.
+    code_familiarity_min, max_findings_in_hot_files, max_clone_family, disallow_clone_type_1 (1 to demand that
+    there is no exact copy) and born_health_min (health of files born in the window). Each analysis runs
+    once, whatever the number of its gates.
     """
     none = F.lit(None).cast("string")
     found: list[DataFrame] = []
     wanted = set(limits)
-    known = {"cognitive_max", "hotspot_score_max", "hotspot_anchored_max", "code_health_min", "corpus_percentile_max", "max_dependency_cycles", "max_propagation_cost", "max_red_effort_pct", "code_familiarity_min", "max_findings_in_hot_files", "max_clone_family"}
+    known = {"cognitive_max", "hotspot_score_max", "hotspot_anchored_max", "code_health_min", "corpus_percentile_max", "max_dependency_cycles", "max_propagation_cost", "max_red_effort_pct", "code_familiarity_min", "max_findings_in_hot_files", "max_clone_family", "disallow_clone_type_1", "born_health_min"}
     if unknown := wanted - known:
         raise ValueError(f"unknown gates {sorted(unknown)}")
 
@@ -64,6 +65,12 @@ def evaluate_gates(fs: FactStore, limits: dict[str, float]) -> DataFrame:
         gate(hot_findings, "max_findings_in_hot_files", "v", path=none)
     if "max_clone_family" in wanted:
         gate(rankings.clones(fs).withColumnRenamed("entity", "path").groupBy("path").agg(F.max("family_size").alias("v")), "max_clone_family", "v")
+    if limits.get("disallow_clone_type_1"):
+        families = rankings.clones(fs).where("similarity >= 1").agg(F.count_distinct("fingerprint").alias("v"))
+        found.append(violations(families, "disallow_clone_type_1", "v", 0, above=True, path=none))
+    if "born_health_min" in wanted:
+        born = delivery.new_code(fs).where("scope = 'born'").select("path")
+        gate(rankings.code_health(fs).join(born, "path", "left_semi"), "born_health_min", "score", above=False)
     return reduce(DataFrame.unionByName, found) if found else fs.spark.createDataFrame([], VIOLATION)
 
 

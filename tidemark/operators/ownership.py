@@ -272,7 +272,9 @@ def team_composition(fs: FactStore) -> DataFrame:
 
 
 def bus_factor(fs: FactStore) -> DataFrame:
-    """Fewest authors who made 80 % of a module's commits; the module is the first folder."""
+    """Fewest authors who made 80 % of a module's commits; the module is the first folder. See also :func:`bus_factor_doe`."""
+    if fs.options.knowledge_model == "doe":
+        return bus_factor_doe(fs)
     module = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(F.lit("<root>"))
     humans = fs.human_commits.where("not is_merge").select("rev", "canonical_author")
     per = fs.changes.select("rev", module.alias("module")).distinct().join(humans, "rev").groupBy("module", "canonical_author").agg(F.count(F.lit(1)).alias("n"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.stats import wilson_interval
+from tidemark.functions.stats import count_below, wilson_interval
 from tidemark.operators import churn, coupling, ownership
+from tidemark.operators.places import place_rows
 from tidemark.sources.facts import FactStore
 
 #: Weights of the smells in structural risk.
@@ -18,20 +19,19 @@ RED, YELLOW = 0.55, 0.28
 COHORT = 10
 CORPUS_METRICS = ("cyclomatic", "cognitive", "sloc", "nargs", "max_nesting")
 LANGUAGE_SAMPLES = 500
+OWNER_NOTE = "unhealthy code without an active owner tends to change more slowly; a correlation, not a cause"
 
 
 def percent_ranked(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with the percent rank of a value; null where the value is null.
 
-    Rows are counted per distinct value first, so that only distinct values are put in order, and no task
-    sorts all rows of a hot group.
+    Rows are counted per distinct value first, and values are ranked by :func:`count_below`, so that no task
+    sorts all values of a hot group or of the whole.
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*by)
-    less = F.coalesce(F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(whole)
-    ranks = counts.select(*by, value, F.when(total > 1, less / (total - 1)).otherwise(F.lit(0.0)).alias(out))
+    rank = F.when(F.col("_total") > 1, F.col("_less") / (F.col("_total") - 1)).otherwise(F.lit(0.0))
+    ranks = count_below(counts, value, "_n", by).select(*by, value, rank.alias(out))
     return df.join(ranks, [*by, value], "left")
 
 
@@ -190,7 +190,10 @@ def band_of(risk: Column) -> Column:
 
 
 def code_health(fs: FactStore, clones: bool = True) -> DataFrame:
-    """Health of every readable file: structure, churn and ownership together, with band and cohort percentile."""
+    """Health of every readable file: structure, churn and ownership together, with band and cohort percentile.
+
+    The corpus percentile with its bounds is null for a language or size that the corpus does not know.
+    """
     lines = fs.changes.groupBy("path").agg(F.sum(F.col("loc_added") + F.col("loc_deleted")).alias("churn"))
     scattered = ownership.ownership(fs.with_options(min_revs=1)).select("path", "fractal_value")
     risk = percent_ranked(structural_risk(fs, clones), "structural_risk", "percentile", by=["lang"])
@@ -199,9 +202,10 @@ def code_health(fs: FactStore, clones: bool = True) -> DataFrame:
     peak = lines.join(risk.select("path"), "path", "left_semi").agg(F.max("churn").alias("peak"))
     share = F.coalesce(F.col("churn") / F.nullif("peak", F.lit(0)), F.lit(0.0))
     score = _clamped(100 * (1 - 0.5 * F.col("structural_risk") - 0.3 * share - 0.2 * F.col("fractal_value")))
-    return joined.join(F.broadcast(peak)).select(
-        "path", "lang", "cognitive", F.round(score, 6).alias("score"), "structural_risk", F.round("percentile", 9).alias("percentile"), band_of(F.col("structural_risk")).alias("band"), "dominant_type"
-    )
+    return joined.join(F.broadcast(peak)).join(corpus_lens(fs), "path", "left").select(
+        "path", "lang", "cognitive", F.round(score, 6).alias("score"), "structural_risk", F.round("percentile", 9).alias("percentile"), band_of(F.col("structural_risk")).alias("band"), "dominant_type",
+        "corpus_percentile", "beyond_corpus", "ci_low", "ci_high",
+    )
 
 
 def corpus_lens(fs: FactStore) -> DataFrame:
@@ -216,7 +220,10 @@ def refactoring_targets(fs: FactStore) -> DataFrame:
     health = structural_risk(fs)
     joined = health.join(hot, "path").join(fs.files.select("path", "loc"), "path")
     ranked = joined.withColumn("priority", F.round(F.col("structural_risk") * F.col("hotspot_score") / F.greatest(F.col("loc"), F.lit(25)), 9))
-    return ranked.select("path", "priority", "structural_risk", "hotspot_score", "revisions", "loc", "dominant_type", band_of(F.col("structural_risk")).alias("band"))
+    combined = F.round(F.col("structural_risk") * F.col("hotspot_score"), 9).alias("combined_risk")
+    # the place a reader gets who works upwards from the smallest file
+    placed = place_rows(ranked.withColumn("combined_risk", combined), F.col("loc"), F.col("path")).withColumnRenamed("place", "manual_up_rank")
+    return placed.select("path", "priority", "combined_risk", "structural_risk", "hotspot_score", "revisions", "loc", "dominant_type", band_of(F.col("structural_risk")).alias("band"), "manual_up_rank")
 
 
 def function_hotspots(fs: FactStore) -> DataFrame:
@@ -329,7 +336,9 @@ def coordination_needs(fs: FactStore) -> DataFrame:
         .join(shares, "path", "left")
         .withColumn("fragmentation", frag)
         .withColumn("interleave", inter)
-        .select("path", "authors", "fragmentation", "interleave", tier.alias("tier"), "total_commits")
+        .join(cochange_entropy(fs), "path", "left")
+        .join(structural_risk(fs).select("path", band_of(F.col("structural_risk")).alias("health_band")), "path", "left")
+        .select("path", "authors", "fragmentation", "interleave", F.coalesce("cochange_entropy", F.lit(0.0)).alias("cochange_entropy"), tier.alias("tier"), "health_band", "total_commits")
     )
 
 
@@ -351,7 +360,7 @@ def marginal_owner_risk(fs: FactStore) -> DataFrame:
     joined = banded.join(ownership.top_active_share(fs), "path", "left").withColumn("top_active_share", F.coalesce("top_active_share", F.lit(0.0)))
     share = F.col("top_active_share")
     risk = F.when((F.col("band") == "red") & (share < 0.1), "high").when(((F.col("band") == "red") & (share < 0.3)) | ((F.col("band") == "yellow") & (share < 0.1)), "elevated")
-    return joined.withColumn("risk", risk).where("risk is not null")
+    return joined.withColumn("risk", risk).where("risk is not null").withColumn("note", F.lit(OWNER_NOTE))
 
 
 def todo_findings(fs: FactStore) -> DataFrame:
@@ -362,13 +371,16 @@ def todo_findings(fs: FactStore) -> DataFrame:
 
 
 def finding_hotspot_overlap(fs: FactStore, findings: DataFrame | None = None) -> DataFrame:
-    """Findings on files, ranked by how often the files change and how healthy they are."""
+    """Findings on files, ranked by how often the files change and how healthy they are. No findings at all are an error."""
     found = todo_findings(fs) if findings is None else findings
+    if not found.take(1):
+        raise ValueError("there are no findings; read a scanner's report first")
     rank = F.coalesce(*[F.when(F.col("level") == name, F.lit(k)) for k, name in enumerate(("note", "warning", "error"))], F.lit(0))
     per = found.groupBy("path").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("engine").alias("engines"), F.max_by("level", rank).alias("worst_level"))
     revs = percent_ranked(fs.changes.groupBy("path").agg(F.count(F.lit(1)).alias("revs")), "revs", "revs_percentile")
     banded = structural_risk(fs).select("path", band_of(F.col("structural_risk")).alias("health_band"))
-    joined = per.join(revs, "path", "left").join(banded, "path", "left").withColumn("revs_percentile", F.round(F.coalesce("revs_percentile", F.lit(0.0)), 9))
+    hot = hotspots(fs).select("path", "hotspot_score")
+    joined = per.join(revs, "path", "left").join(banded, "path", "left").join(hot, "path", "left").withColumn("revs_percentile", F.round(F.coalesce("revs_percentile", F.lit(0.0)), 9))
     red = F.col("health_band") == "red"
     priority = F.when((F.col("revs_percentile") >= 0.9) & red, "act-now").when((F.col("revs_percentile") >= 0.7) | red, "plan").otherwise("note")
-    return joined.select("path", "findings", "engines", "worst_level", "revs_percentile", "health_band", priority.alias("priority"))
+    return joined.select("path", "findings", "engines", "worst_level", "hotspot_score", "revs_percentile", "health_band", priority.alias("priority"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,19 @@ def diff_hotspots(before: FactStore, after: FactStore, top: int = 20, increase:
     return both.withColumn("reason", F.when(entered, "entered").when(rose, "rose")).where("reason is not null").select("path", "was", "now", "reason")
 
 
+def _text(moment: datetime) -> str:
+    return moment.isoformat(sep=" ")
+
+
+def year_before(fs: FactStore) -> str:
+    """The moment a year before the one that analyses look back from."""
+    day = fs.moment.day - (fs.moment.month == 2 and fs.moment.day == 29)
+    return _text(fs.moment.replace(year=fs.moment.year - 1, day=day))
+
+
 def diff_of_year(fs: FactStore) -> DataFrame:
     """Hotspots a year before the anchor against the anchor."""
-    return diff_hotspots(store_at(fs, "2025-05-01 00:00:00"), store_at(fs, fs.options.as_of))
+    return diff_hotspots(store_at(fs, year_before(fs)), store_at(fs, _text(fs.moment)))
 
 
 def new_clone_families(fs: FactStore, before: str, after: str) -> DataFrame:
@@ -56,7 +67,7 @@ def new_clone_families(fs: FactStore, before: str, after: str) -> DataFrame:
 
 def clone_families_of_year(fs: FactStore) -> DataFrame:
     """New duplicated fragments within the year before the anchor."""
-    return new_clone_families(fs, "2025-05-01 00:00:00", fs.options.as_of)
+    return new_clone_families(fs, year_before(fs), _text(fs.moment))
 
 
 def overlay(fs: FactStore, edited: DataFrame, deleted: DataFrame | None = None) -> FactStore:
@@ -170,8 +181,19 @@ def owners_to_brief(fs: FactStore) -> DataFrame:
     return velocity.join(ownership.ownership(fs.with_options(min_revs=1)).select("path", "main_author"), "path").groupBy("main_author").agg(F.count(F.lit(1)).alias("paths"), F.round(F.sum("acceleration"), 6).alias("acceleration"))
 
 
-def diff_gates(report: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Gates of a change set's report: ``delta_code_health_min``, ``new_file_health_min``, ``no_new_cycles``."""
+def delta_verdict(delta: DataFrame) -> DataFrame:
+    """The share of good weight among good and bad, and what it says: degrading below 40 with anything bad, improving above 70. One row."""
+    total = delta.agg(*[F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("weight"))), F.lit(0)).alias(o) for o in ("good", "bad")])
+    ratio = 100.0 * F.col("good") / F.nullif(F.col("good") + F.col("bad"), F.lit(0))
+    verdict = F.when((ratio < 40) & (F.col("bad") > 0), "degrading").when(ratio > 70, "improving").otherwise("steady")
+    return total.select(F.round(ratio, 6).alias("ratio"), verdict.alias("verdict"))
+
+
+def diff_gates(report: DataFrame, limits: dict[str, float], hotspots: DataFrame | None = None, delta: DataFrame | None = None) -> DataFrame:
+    """Gates of a change set: ``delta_code_health_min``, ``new_file_health_min``, ``no_new_cycles``; with the
+    ``hotspots`` of :func:`diff_hotspots`, ``new_hotspot_max``; with the ``delta`` of functions, ``delta_health_min``
+    and ``deny_degrading_verdict``.
+    """
     from tidemark.operators.gates import violations
 
     parts: Sequence[DataFrame] = []
@@ -181,6 +203,17 @@ def diff_gates(report: DataFrame, limits: dict[str, float]) -> DataFrame:
         parts = [*parts, violations(report.where("health_before is null"), "new_file_health_min", "health_after", limits["new_file_health_min"], above=False)]
     if limits.get("no_new_cycles"):
         parts = [*parts, violations(report.withColumn("n", F.col("newly_cyclic").cast("int")), "no_new_cycles", "n", 0, above=True)]
+    none = F.lit(None).cast("string")
+    if hotspots is not None and "new_hotspot_max" in limits:
+        entered = hotspots.where("reason = 'entered'").agg(F.count(F.lit(1)).alias("n"))
+        parts = [*parts, violations(entered, "new_hotspot_max", "n", limits["new_hotspot_max"], above=True, path=none)]
+    if delta is not None and "delta_health_min" in limits:
+        parts = [*parts, violations(delta_verdict(delta), "delta_health_min", "ratio", limits["delta_health_min"], above=False, path=none)]
+    if delta is not None and limits.get("deny_degrading_verdict"):
+        bad = delta_verdict(delta).withColumn("n", (F.col("verdict") == "degrading").cast("int"))
+        parts = [*parts, violations(bad, "deny_degrading_verdict", "n", 0, above=True, path=none)]
+    if not parts:
+        return report.sparkSession.createDataFrame([], "gate string, path string, actual double, threshold double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

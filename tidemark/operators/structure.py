@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.stats import count_below
 from tidemark.operators import churn, coupling, rankings
 from tidemark.operators.hierarchy import resolve_hierarchy
 from tidemark.operators.relations import sampled_commits
-from tidemark.session import stage_table
+from tidemark.session import drop_staged, stage_table
 from tidemark.sources.facts import FactStore
 
-MAX_ROUNDS = 200
 SAMPLES = 12
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """Pairs ``src``, ``dst`` with a way from one to the other, by frontier expansion.
 
-    Each round extends only the pairs found in the last one and drops known ones; rounds equal the longest
-    shortest way. The result is as large as reachability itself, which the analyses need in full.
+    Each round extends only the pairs found in the last one and drops known ones, until none is new; rounds
+    equal the longest shortest way. The result is as large as reachability itself, which the analyses need in
+    full.
     """
     steps = stage_table(edges.select(F.col(edges.columns[0]).alias("src"), F.col(edges.columns[1]).alias("dst")).where("src is not null and dst is not null").distinct())
     parts, frontier = [steps], steps
     onward = steps.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         known = reduce(DataFrame.unionByName, parts)
         frontier = stage_table(frontier.join(onward, "dst").select("src", F.col("next").alias("dst")).distinct().join(known, ["src", "dst"], "left_anti"))
         if not frontier.take(1):
@@ -75,18 +77,22 @@ def architecture_roles(fs: FactStore) -> DataFrame:
     """The role of each file: core, shared, control or periphery.
 
     The core is the largest cycle (the first path decides between equals); without a cycle the upper medians
-    of both visibilities take its place.
+    of both visibilities take its place. ``level`` is the longest way down to a file that depends on nothing.
     """
-    v = stage_table(visibility(fs))
+    v = stage_table(visibility(fs).join(dependency_levels(fs), "path"))
     largest = v.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max("vfi").alias("core_vfi"), F.max("vfo").alias("core_vfo"))
     core = largest.orderBy(F.desc("n"), "component").limit(1)
     total = v.agg(F.count(F.lit(1)).alias("files"))
-    upper = v.agg(F.percentile("vfi", F.lit(0.5)).alias("m_vfi"), F.percentile("vfo", F.lit(0.5)).alias("m_vfo"))
+    def upper_median(value: str) -> DataFrame:
+        per = count_below(v.groupBy(value).agg(F.count(F.lit(1)).alias("n")), value, "n")
+        return per.where(F.floor(F.col("_total") / 2) < F.col("_less") + F.col("n")).agg(F.min(value).alias(f"m_{value}"))
+
+    upper = upper_median("vfi").join(F.broadcast(upper_median("vfo")))  # one row each
     refs = total.join(F.broadcast(upper)).join(F.broadcast(core.withColumnRenamed("component", "core_id")), F.lit(True), "left")
     wide_in = F.col("vfi") >= F.coalesce(F.col("core_vfi").cast("double"), F.col("m_vfi"))
     wide_out = F.col("vfo") >= F.coalesce(F.col("core_vfo").cast("double"), F.col("m_vfo"))
     role = F.when(F.col("component") == F.col("core_id"), "core").when(wide_in & ~wide_out, "shared").when(~wide_in & wide_out, "control").otherwise("periphery")
-    return v.join(F.broadcast(refs)).select("path", role.alias("role"), "vfi", "vfo", F.col("component").isNotNull().alias("in_cycle"), F.round(100.0 * F.col("vfo") / F.col("files"), 6).alias("reach_pct"))
+    return v.join(F.broadcast(refs)).select("path", role.alias("role"), "vfi", "vfo", F.col("component").isNotNull().alias("in_cycle"), "level", F.round(100.0 * F.col("vfo") / F.col("files"), 6).alias("reach_pct"))
 
 
 def dependency_levels(fs: FactStore) -> DataFrame:
@@ -98,7 +104,7 @@ def dependency_levels(fs: FactStore) -> DataFrame:
     # nodes at the end of a chain of k edges, for growing k; the last k that a node has is its level
     layer = stage_table(edges.select(F.col("src").alias("node")).distinct())
     found = [layer.withColumn("level", F.lit(1))]
-    for k in range(2, MAX_ROUNDS):
+    for k in count(2):  # the condensed graph has no cycle, so chains end
         layer = stage_table(edges.join(layer.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct())
         if not layer.take(1):
             break
@@ -170,7 +176,7 @@ def sampled_graphs(fs: FactStore, samples: int = SAMPLES) -> DataFrame:
 
 def architecture_trend(fs: FactStore, samples: int = SAMPLES) -> DataFrame:
     """Files, propagation cost and cycles at evenly spaced commits: dependencies between the paths then alive."""
-    return sampled_graphs(fs, samples).select("k", "rev", "files", F.round(_propagation_cost(), 9).alias("propagation_cost"), "cycle_count", "largest_cycle")
+    return sampled_graphs(fs, samples).select("k", "rev", F.date_format("date", "yyyy-MM-dd").alias("date"), "files", F.round(_propagation_cost(), 9).alias("propagation_cost"), "cycle_count", "largest_cycle")
 
 
 def _propagation_cost() -> Column:
@@ -232,8 +238,47 @@ def cycle_origins(fs: FactStore, top: int = 10) -> DataFrame:
     return upto.groupBy("cycle_id", "size").agg(F.count_if(~now).alias("k"), F.max_by(F.when(now, F.col("rev")), F.when(now, F.col("seq"))).alias("formed_at_rev"))
 
 
+TRIED_SIZE = 64
+
+
+def _cyclic_sizes(ways: dict[str, set[str]], without: str) -> list[int]:
+    """Sizes of the cycles that are left without one file, largest first."""
+    nodes = [n for n in ways if n != without]
+    reach = {n: {m for m in ways[n] if m != without} for n in nodes}
+    for middle in nodes:
+        for n in nodes:
+            if middle in reach[n]:
+                reach[n] |= reach[middle]
+    left, sizes = set(nodes), []
+    for n in nodes:
+        if n in left:
+            own = {m for m in reach[n] if n in reach[m]} | {n}
+            left -= own
+            if len(own) > 1:
+                sizes.append(len(own))
+    return sorted(sizes, reverse=True)
+
+
+def _extraction(edges):
+    """The member of one small cycle whose removal leaves least of it."""
+    import pandas as pd
+
+    ways: dict[str, set[str]] = {}
+    for a, b in zip(edges["src_path"], edges["target_path"], strict=True):
+        ways.setdefault(a, set()).add(b)
+        ways.setdefault(b, set())
+    left = {n: _cyclic_sizes(ways, n) for n in ways}
+    best = min(ways, key=lambda n: (left[n][0] if left[n] else 0, sum(left[n]), n))
+    return pd.DataFrame({"cycle_id": [int(edges["cycle_id"].iloc[0])], "tried": [best]})
+
+
 def cycle_health(fs: FactStore) -> DataFrame:
-    """Heat of every cycle: its members' share of the window's churn, and the member with most links inside it."""
+    """Heat of every cycle: its members' share of the window's churn, and the member whose extraction dismantles it best.
+
+    Of a cycle of at most 64 files each member is taken out on trial: the one that leaves the smallest largest
+    cycle, then the fewest files in cycles, then the first path. Of a larger cycle it is the member with most
+    links inside. A cycle that nobody touched in the window is a fossil.
+    """
     members = dependency_cycles(fs)
     since = fs.anchor - F.expr(f"INTERVAL {fs.options.window_days} DAYS")
     recent = fs.dated_changes.where((F.col("date") >= since) & (F.col("date") <= fs.anchor)).groupBy("path").agg(F.sum(F.col("loc_added") + F.col("loc_deleted")).alias("churn"), F.count(F.lit(1)).alias("revs"))
@@ -241,16 +286,23 @@ def cycle_health(fs: FactStore) -> DataFrame:
     a, b = members.select("cycle_id", F.col("path").alias("src_path")), members.select("cycle_id", F.col("path").alias("target_path"))
     inside = fs.import_edges.join(a, "src_path").join(b, ["cycle_id", "target_path"])
     degree = inside.select("cycle_id", F.explode(F.array("src_path", "target_path")).alias("path")).groupBy("cycle_id", "path").agg(F.count(F.lit(1)).alias("degree"))
-    busiest = degree.groupBy("cycle_id").agg(F.min_by("path", F.struct((-F.col("degree")).alias("k"), "path")).alias("extract_candidate"))
+    busiest = degree.groupBy("cycle_id").agg(F.min_by("path", F.struct((-F.col("degree")).alias("k"), "path")).alias("busiest"))
+    small = inside.join(members.where(F.col("size") <= TRIED_SIZE).select("cycle_id").distinct(), "cycle_id")
+    tried = small.groupBy("cycle_id").applyInPandas(_extraction, "cycle_id long, tried string")  # at most 64 * 63 edges
+    busiest = busiest.join(tried, "cycle_id", "left").select("cycle_id", F.coalesce("tried", "busiest").alias("extract_candidate"))
+    names = members.withColumn("k", F.row_number().over(Window.partitionBy("cycle_id").orderBy("path"))).where("k <= 3").groupBy("cycle_id").agg(F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.struct("k", "path"))), lambda x: x["path"])).alias("first_three"))
     heat = members.join(recent, "path", "left").groupBy("cycle_id", "size").agg(F.coalesce(F.sum("churn"), F.lit(0)).alias("churn"), F.coalesce(F.sum("revs"), F.lit(0)).alias("revs"))
+    more = F.when(F.col("size") > 3, F.concat(F.lit(" +"), (F.col("size") - 3).cast("string"), F.lit(" more"))).otherwise("")
     return (
         heat.join(busiest, "cycle_id")
+        .join(names, "cycle_id")
         .join(F.broadcast(total))
         .select(
             "cycle_id",
             "size",
+            F.concat("first_three", more).alias("members_preview"),
             F.round(F.coalesce(100.0 * F.col("churn") / F.nullif("total", F.lit(0)), F.lit(0.0)), 6).alias("heat_pct"),
-            F.when(F.col("revs") > 0, "live").otherwise("dormant").alias("verdict"),
+            F.when(F.col("revs") > 0, "live").otherwise("fossil").alias("verdict"),
             "extract_candidate",
         )
     )
@@ -343,7 +395,9 @@ def centrality(fs: FactStore, rounds: int = 30, damping: float = 0.85, tolerance
         length = raw.agg(F.sqrt(F.sum(F.col("ev") * F.col("ev"))).alias("l")).first()["l"]
         moved = raw.withColumn("ev", F.col("ev") / F.lit(length))
         shift = moved.agg(F.sum(F.abs(F.col("pr") - F.col("old"))).alias("a"), F.sum(F.abs(F.col("ev") - F.col("old_ev"))).alias("b")).first()
-        ranks = stage_table(moved.select("path", "strength", "pr", "ev"))
+        following = stage_table(moved.select("path", "strength", "pr", "ev"))
+        drop_staged(raw, ranks)
+        ranks = following
         if shift["a"] < tolerance and shift["b"] < tolerance:
             break
     return ranks.join(nodes.select("path", "degree"), "path").select("path", "degree", F.round("strength", 6).alias("weighted_degree"), F.round("pr", 6).alias("pagerank"), F.round("ev", 6).alias("eigenvector"))
@@ -357,14 +411,15 @@ def communities(fs: FactStore, rounds: int = 20) -> DataFrame:
     are left apart within one connected part stay apart.
     """
     edges = stage_table(coupling.partner_index(coupling.coupling(fs)).select("path", "partner", F.col("degree").alias("w")))
-    labels = stage_table(edges.select("path").distinct().withColumn("label", F.col("path")))
+    labels = held = stage_table(edges.select("path").distinct().withColumn("label", F.col("path")))
     for k in range(rounds):
         votes = edges.join(labels.select(F.col("path").alias("partner"), "label"), "partner").select("path", "label", "w")
         best = votes.groupBy("path", "label").agg(F.sum("w").alias("w")).groupBy("path").agg(F.min_by("label", F.struct((-F.round("w", 6)).alias("k"), "label")).alias("best"))
         half = F.pmod(F.xxhash64("path"), F.lit(2)) == k % 2
         following = stage_table(labels.join(best, "path").select("path", F.when(half, F.col("best")).otherwise(F.col("label")).alias("label"), (half & (F.col("best") != F.col("label"))).alias("moved")))
         changed = following.where("moved").take(1)
-        labels = following.drop("moved")
+        drop_staged(held)
+        held, labels = following, following.drop("moved")
         if not changed and k:
             break
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -386,7 +441,7 @@ def connected_parts(fs: FactStore) -> DataFrame:
     """Connected parts of the coupled pairs: ``path``, ``part`` (its least path), by hooking to the least neighbour."""
     edges = stage_table(coupling.partner_index(coupling.coupling(fs)).select("path", "partner"))
     labels = stage_table(edges.groupBy("path").agg(F.least(F.first("path"), F.min("partner")).alias("part")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = edges.join(labels.select(F.col("path").alias("partner"), "part"), "partner").groupBy("path").agg(F.min("part").alias("near"))
         hooked = stage_table(labels.join(near, "path").select("path", "part", F.least("part", "near").alias("next")))
         # a label is itself a path: follow labels to the end before the next round

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.operators import coupling, relations
-from tidemark.plans.facts_sql import with_facts
+from tidemark.operators import churn, coupling, relations
+from tidemark.plans.facts_sql import AS_OF, with_facts
 
 _TARGET = "CHANGELOG.md"
 _THIN = {"min_coupling_pct": 20.0, "min_shared_revs": 3}
@@ -20,6 +20,7 @@ ANALYSES = {
     "clone_coupling": (coupling.clone_coupling, {"min_clone_node_count": 10, "min_coupling_pct": 0.0, "min_clone_shared_revs": 1, "min_revs": 2, "significance": 0.9}),
     "bucketed_changes": (relations.bucketed_changes, {"time_bucket": "week"}),
     "lineage_revisions": (relations.lineage_revisions, {"min_revs": 1}),
+    "revisions_by_lineage": (churn.revisions, {"min_revs": 1, "lineage": True}),
     "grouped_changes": (relations.grouped, {}),
     "sampled_commits": (relations.sampled, {}),
 }
@@ -51,6 +52,18 @@ def coupling_ctes(min_revs: int = 5, shared: int = 3, low: float = 20, compat: b
 _OUT = "SELECT entity_a, entity_b, shared, ra AS revs_a, rb AS revs_b, {avg} AS average_revs, round(degree, 6) AS degree, round(p, 7) AS fisher_p FROM {src}"
 _FLOOR = "(ra + rb) // 2"
 
+
+def islands_ctes(min_revs: int = 5) -> dict[str, str]:
+    """Paths whose main author has left as a SQL relation, ``isl``."""
+    return {
+        "hb_": f"SELECT * FROM hc WHERE date <= {AS_OF}",
+        "il_": "SELECT path, hb_.canonical_author AS a, sum(loc_added)::BIGINT AS loc FROM ch JOIN hb_ USING (rev) GROUP BY 1, 2",
+        "im_": "SELECT path, first(a ORDER BY loc DESC, a) AS main FROM il_ GROUP BY 1 HAVING sum(loc) > 0",
+        "isl": f"""SELECT path AS entity FROM im_ JOIN (SELECT canonical_author AS main, max(date) AS last_at FROM hb_ GROUP BY 1) USING (main) WHERE date_diff('day', last_at, {AS_OF}) > 90
+ AND path IN (SELECT path FROM (SELECT path, arg_max(change_type, ROW(date, -seq)) AS latest, count(*) AS n FROM dc WHERE date <= {AS_OF} GROUP BY 1) WHERE latest <> 'deleted' AND n >= {min_revs})""",
+    }
+
+
 SQL = {
     "coupling": with_facts(_OUT.format(avg=_FLOOR, src="cp"), coupling_ctes()),
     "coupling_fdr": with_facts(
@@ -78,10 +91,10 @@ SQL = {
     ),
     "coupling_degree": with_facts("SELECT path, count(*) AS degree, round(sum(degree), 6) AS weighted_degree FROM ix GROUP BY 1", coupling_ctes()),
     "clone_coupling": with_facts(
-        r"""SELECT a.fingerprint, entity_a AS file_a, entity_b AS file_b, a.node_count, 1.0::DOUBLE AS similarity, shared AS shared_revs, ra AS support_a, rb AS support_b, round(degree, 6) AS degree_pct,
+        f"""SELECT entity_a IN (SELECT entity FROM isl) OR entity_b IN (SELECT entity FROM isl) AS at_risk, round(p, 7) AS p_value, a.fingerprint, entity_a AS file_a, entity_b AS file_b, a.node_count, 1.0::DOUBLE AS similarity, shared AS shared_revs, ra AS support_a, rb AS support_b, round(degree, 6) AS degree_pct,
  round(degree / 100 * (1 - p), 6) AS combined_score FROM al_ JOIN mem a ON a.path = entity_a JOIN mem b ON b.path = entity_b AND b.fingerprint = a.fingerprint
  WHERE p < 0.9 AND regexp_extract(entity_a, '^(.*)/[^/]*$', 1) <> regexp_extract(entity_b, '^(.*)/[^/]*$', 1)""",
-        {**coupling_ctes(min_revs=2, shared=1, low=0), "mem": "SELECT fingerprint, path, max(node_count) AS node_count FROM cl WHERE node_count >= 10 GROUP BY 1, 2"},
+        {**coupling_ctes(min_revs=2, shared=1, low=0), **islands_ctes(2), "mem": "SELECT fingerprint, path, max(node_count) AS node_count FROM cl WHERE node_count >= 10 GROUP BY 1, 2"},
     ),
     "bucketed_changes": with_facts(
         "SELECT strftime(date_trunc('week', date), '%Y-%m-%d') AS rev, path, sum(loc_added)::BIGINT AS loc_added, sum(loc_deleted)::BIGINT AS loc_deleted, arg_max(change_type, ROW(date, -seq)) AS change_type FROM dc GROUP BY 1, 2"
@@ -109,3 +122,4 @@ SQL = {
  JOIN (SELECT unnest(range(0, 12)) AS k) s ON place = (k * (total - 1)) // 11 GROUP BY 2"""
     ),
 }
+SQL["revisions_by_lineage"] = SQL["lineage_revisions"]

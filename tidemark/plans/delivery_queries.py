@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators import delivery as d
 from tidemark.operators import gates
+from tidemark.sources.readers import ASSISTANT_WORDS, ASSISTANTS, DEFAULT_BOTS
 from tidemark.plans.facts_sql import AS_OF, with_facts
 
 ANALYSES = {
@@ -32,9 +33,9 @@ _LINE = {
     "hd": "SELECT arg_max(rev, ROW(date, -seq)) AS rev FROM c",
     "ml": "SELECT rev FROM hd UNION ALL SELECT pa.parent_rev FROM ml JOIN pa ON pa.rev = ml.rev AND pa.position = 0",
     "br": f"""SELECT pa.rev AS merge, pa.parent_rev AS rev, 1 AS depth FROM pa JOIN c m ON m.rev = pa.rev JOIN c x ON x.rev = pa.parent_rev
- WHERE pa.position = 1 AND x.date >= m.date - INTERVAL 90 DAYS AND x.rev NOT IN (SELECT rev FROM ml) AND x.rev IN (SELECT rev FROM pa WHERE position = 0)
+ WHERE pa.position = 1 AND x.date >= m.date - INTERVAL 90 DAYS AND x.rev NOT IN (SELECT rev FROM ml)
  UNION ALL SELECT br.merge, pa.parent_rev, br.depth + 1 FROM br JOIN pa ON pa.rev = br.rev AND pa.position = 0 JOIN c m ON m.rev = br.merge JOIN c x ON x.rev = pa.parent_rev
- WHERE x.date >= m.date - INTERVAL 90 DAYS AND x.rev NOT IN (SELECT rev FROM ml) AND x.rev IN (SELECT rev FROM pa WHERE position = 0) AND br.depth < 200""",
+ WHERE x.date >= m.date - INTERVAL 90 DAYS AND x.rev NOT IN (SELECT rev FROM ml) AND br.depth < 200""",
     "hd_": "SELECT hk.*, c.date FROM hk JOIN c USING (rev)",
     "wr": f"SELECT * FROM hd_ WHERE date >= {AS_OF} - INTERVAL 90 DAYS AND date <= {AS_OF}",
     "rw": """SELECT coalesce(sum(new_lines), 0)::BIGINT AS written, coalesce(sum(least(o, new_lines)), 0)::BIGINT AS reworked, count(*) AS n FROM wr LEFT JOIN (
@@ -56,6 +57,10 @@ def _spread(metric: str, value: str, src: str) -> str:
 
 _TOP = "CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END"
 
+_CAVEAT = "CASE " + " ".join(f"WHEN metric IN ({', '.join(repr(n) for n in names)}) THEN '{text}'" for text, names in d.CAVEATS.items()).replace(",)", ")") + " END"
+_BOT = "(" + " OR ".join(f"contains({{x}}, '{b}')" for b in DEFAULT_BOTS) + ")"
+_ASSISTANT = rf"^\s*co-authored-by:\s*({'|'.join(ASSISTANTS)})( +({'|'.join(ASSISTANT_WORDS)}))*\s*(<|$)"
+
 SQL = {
     "lead_time": with_facts(
         """SELECT rev, canonical_author, strftime(date, '%Y-%m-%d') AS author_date, strftime(committer_date, '%Y-%m-%d') AS committer_date, s AS lead_time_seconds, greatest(s, 0) / 86400 AS lead_time_days
@@ -65,7 +70,8 @@ SQL = {
     "branch_commits": _line("SELECT merge, rev FROM br"),
     "rework": with_facts("SELECT * FROM rw", _LINE),
     "delivery_metrics": _line(
-        " UNION ALL ".join(
+        f"SELECT *, {_CAVEAT} AS caveat FROM ("
+        + " UNION ALL ".join(
             [
                 _spread("batch_size_files", "files", "sz"),
                 _spread("batch_size_loc", "loc", "sz"),
@@ -76,6 +82,7 @@ SQL = {
  WHERE NOT is_merge AND author_email IS NOT NULL AND committer_email IS NOT NULL HAVING count(*) > 0""",
             ]
         )
+        + ")"
     ),
     "release_cadence": with_facts("SELECT tag, strftime(date, '%Y-%m-%d') AS date, date_diff('day', lag(date) OVER (ORDER BY date, tag), date)::BIGINT AS days_since_prev FROM tg"),
     "release_trend": with_facts(
@@ -106,7 +113,7 @@ SQL = {
         """SELECT n, last, round(mean, 6) AS mean, round(mr, 6) AS moving_range, n >= 4 AND (abs(last - mean) > 2.66::DOUBLE * mr OR above = 8 OR below = 8) AS attention FROM (
  SELECT (SELECT count(*) FROM se) AS n, (SELECT arg_max(commits, month) FROM se) AS last, (SELECT avg(commits) FROM se) AS mean, (SELECT avg(abs(g)) FROM (SELECT commits - lag(commits) OVER (ORDER BY month) AS g FROM se)) AS mr,
  (SELECT count(*) FROM (SELECT * FROM se ORDER BY month DESC LIMIT 8) WHERE commits > (SELECT avg(commits) FROM se)) AS above, (SELECT count(*) FROM (SELECT * FROM se ORDER BY month DESC LIMIT 8) WHERE commits < (SELECT avg(commits) FROM se)) AS below)""",
-        {"se": f"SELECT strftime(date, '%Y-%m') AS month, count(*) AS commits FROM c WHERE strftime(date, '%Y-%m') < strftime({AS_OF}, '%Y-%m') GROUP BY 1 ORDER BY 1 DESC LIMIT 24"},
+        {"se": f"SELECT strftime(date, '%Y-%m') AS month, count(*) AS commits FROM c WHERE strftime(date, '%Y-%m') < strftime({AS_OF}, '%Y-%m') GROUP BY 1"},
     ),
     "evidence_commits": with_facts(
         """SELECT path, rev, pos, split_part(coalesce(message, ''), chr(10), 1) AS subject FROM (SELECT path, rev, row_number() OVER (PARTITION BY path ORDER BY date DESC, seq) AS pos FROM dc) JOIN c USING (rev) WHERE pos <= 3"""
@@ -124,15 +131,15 @@ SQL = {
         },
     ),
     "ai_classes": with_facts(
-        r"""SELECT kind, count(*) AS commits FROM (SELECT CASE WHEN regexp_matches(concat_ws(' ', author_name, author_email), '(?i)\[bot\]|\bbot\b|-bot@|@bots\.|courier|dependabot|renovate') THEN 'ai-authored'
- WHEN regexp_matches(message, '(?im)^\s*co-authored-by:.*(assistant|copilot|\[bot\]|@bots\.)') OR contains(lower(message), '(aider)') THEN 'ai-assisted' ELSE 'human' END AS kind FROM c) GROUP BY 1"""
+        rf"""SELECT CASE WHEN {_BOT.format(x="lower(coalesce(author_name, ''))")} OR {_BOT.format(x="lower(coalesce(author_email, ''))")} THEN 'ai-authored'
+ WHEN contains(lower(message), '(aider)') OR len(list_filter(list_filter(string_split(lower(message), chr(10)), lambda l: starts_with(trim(l), 'co-authored-by:')), lambda l: regexp_matches(l, '{_ASSISTANT}') OR {_BOT.format(x="l")})) > 0
+ THEN 'ai-assisted' ELSE 'human' END AS kind, count(*) AS commits FROM c GROUP BY 1"""
     ),
     "scan_coverage": with_facts(
         "SELECT eligible, scored, eligible - scored AS lost, round(scored / eligible::DOUBLE, 6) AS share, scored / eligible::DOUBLE < 0.9 AS thin FROM (SELECT count(*) AS eligible, count(f.path) AS scored FROM live LEFT JOIN f ON f.path = live.path)"
     ),
     "szz_candidates": with_facts(
-        r"""SELECT fix_rev, path, arg_max(rev, ROW(date, rev)) AS bug_rev FROM (SELECT f.rev AS fix_rev, f.path, h.rev, h.date FROM fx f JOIN hd_ h ON h.path = f.path AND h.date < f.date AND h.new_start < f.old_start + f.old_lines AND h.new_start + h.new_lines > f.old_start
- AND epoch_us(h.date) // 86400000000 // 180 >= epoch_us(f.date) // 86400000000 // 180 - 1) GROUP BY 1, 2""",
+        r"""SELECT fix_rev, path, arg_max(rev, ROW(date, rev)) AS bug_rev FROM (SELECT f.rev AS fix_rev, f.path, h.rev, h.date FROM fx f JOIN hd_ h ON h.path = f.path AND h.date < f.date AND h.new_start < f.old_start + f.old_lines AND h.new_start + h.new_lines > f.old_start) GROUP BY 1, 2""",
         {
             "hd_": "SELECT hk.*, c.date FROM hk JOIN c USING (rev)",
             "fx": r"""SELECT * FROM hd_ WHERE old_lines > 0 AND rev IN (SELECT rev FROM c WHERE regexp_matches(message, '(?i)\b(fix|bug|defect)'))

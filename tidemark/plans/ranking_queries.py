@@ -43,7 +43,7 @@ ANALYSES = {
     "function_coupling": (_with_target(coupling.function_coupling), {}),
     "delivery_friction": (rank.delivery_friction, {}),
     "effort_exposure": (rank.effort_exposure, _THIN),
-    "coordination_needs": (rank.coordination_needs, {}),
+    "coordination_needs": (rank.coordination_needs, _THIN),
     "cochange_entropy": (rank.cochange_entropy, {}),
     "marginal_owner_risk": (rank.marginal_owner_risk, _THIN),
     "finding_hotspot_overlap": (rank.finding_hotspot_overlap, _THIN),
@@ -63,11 +63,17 @@ def _hot(revs: str) -> dict[str, str]:
 
 
 _REVS = "SELECT path, count(*) AS revisions FROM ch GROUP BY 1 HAVING count(*) >= 5"
+_WILSON = "(p + 3.8416::DOUBLE / (2 * n) {sign} 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)"
 CORPUS = {
-    "sr": """SELECT lang, sloc_min, sloc_max, sample_functions, q FROM (SELECT lang, sloc_min, sloc_max, sample_functions, m.metric AS metric, list_filter(m.quantiles, lambda x: x IS NOT NULL AND NOT isnan(x)) AS q
- FROM (SELECT DISTINCT artifact_id, lang, sloc_min, sloc_max, sample_functions, unnest(metrics) AS m FROM strata)) WHERE metric = 'cognitive' AND len(q) > 0""",
-    "cpt": """SELECT path, round(sum((len(list_filter(q, lambda x: x < cognitive)) + len(list_filter(q, lambda x: x <= cognitive))) / (len(q) * 2.0::DOUBLE) * sample_functions) / sum(sample_functions), 9) AS corpus_percentile
- FROM f JOIN sr ON f.lang = sr.lang AND f.sloc >= sr.sloc_min AND f.sloc <= sr.sloc_max GROUP BY 1""",
+    "sz_": "SELECT lang, sum(sample_functions) AS samples FROM (SELECT DISTINCT artifact_id, lang, sloc_min, sloc_max, sample_functions FROM strata) GROUP BY 1 HAVING sum(sample_functions) >= 500",
+    "sr": """SELECT sz_.lang, sloc_min, sloc_max, sample_functions, metric, q, samples FROM (SELECT lang, sloc_min, sloc_max, sample_functions, m.metric AS metric, list_filter(m.quantiles, lambda x: x IS NOT NULL AND NOT isnan(x)) AS q
+ FROM (SELECT DISTINCT artifact_id, lang, sloc_min, sloc_max, sample_functions, unnest(metrics) AS m FROM strata)) z JOIN sz_ ON sz_.lang = z.lang WHERE metric IN ('cyclomatic', 'cognitive', 'sloc', 'nargs', 'max_nesting') AND len(q) > 0""",
+    "fv_": " UNION ALL ".join(f"SELECT path, lang, sloc AS size, '{m}' AS metric, {m}::DOUBLE AS v FROM f" for m in ("cyclomatic", "cognitive", "sloc", "nargs", "max_nesting")),
+    "cpm": """SELECT path, fv_.metric, round(sum((len(list_filter(q, lambda x: x < v)) + len(list_filter(q, lambda x: x <= v))) / (len(q) * 2.0::DOUBLE) * sample_functions) / sum(sample_functions), 9) AS p, max(samples) AS samples
+ FROM fv_ JOIN sr ON fv_.lang = sr.lang AND fv_.metric = sr.metric AND size >= sr.sloc_min AND size <= sr.sloc_max GROUP BY 1, 2""",
+    "cpt": "SELECT path, max(p) AS corpus_percentile, max(samples)::DOUBLE AS samples FROM cpm GROUP BY 1",
+    "lens": f"""SELECT path, p AS corpus_percentile, p >= 0.99 AS beyond_corpus, round(greatest(0, {_WILSON.format(sign="-")}), 9) AS ci_low, round(least(1, {_WILSON.format(sign="+")}), 9) AS ci_high
+ FROM (SELECT path, corpus_percentile AS p, samples AS n FROM cpt)""",
 }
 FANS = {
     "fan": """SELECT path, cognitive, coalesce(fi, 0) AS fan_in, coalesce(fo, 0) AS fan_out FROM f
@@ -96,6 +102,12 @@ HEALTH = {
 _FV = "SELECT path, 1 - sum(n * n)::DOUBLE / (sum(n)::DOUBLE * sum(n)::DOUBLE) AS fv FROM (SELECT path, canonical_author, count(*) AS n FROM dc GROUP BY 1, 2) GROUP BY 1"
 _HOTSPOTS = "SELECT * FROM hs"
 
+ENTROPY = {
+    "rcn": f"SELECT rev, path FROM dc WHERE date >= {AS_OF} - INTERVAL 90 DAYS AND date <= {AS_OF}",
+    "en": """SELECT path, round(-(d / t) * log2(d / t), 9) AS cochange_entropy FROM (SELECT path, d::DOUBLE AS d, (sum(d) OVER ())::DOUBLE AS t FROM (
+ SELECT path, sum(n - 1) AS d FROM rcn JOIN (SELECT rev, count(*) AS n FROM rcn GROUP BY 1 HAVING count(*) <= 30) USING (rev) GROUP BY 1 HAVING sum(n - 1) > 0))""",
+}
+
 SQL = {
     "hotspots": with_facts(_HOTSPOTS, _hot(_REVS)),
     "hotspots_by_week": with_facts(
@@ -114,13 +126,14 @@ SQL = {
     "biomarkers": with_facts("SELECT path, lang, smell, round(intensity, 9) AS intensity FROM bm", HEALTH),
     "code_health": with_facts(
         f"""SELECT path, lang, cognitive, round(greatest(0, least(100, 100 * (1 - 0.5::DOUBLE * structural_risk - 0.3::DOUBLE * coalesce(churn / nullif(max(churn) OVER (), 0)::DOUBLE, 0) - 0.2::DOUBLE * coalesce(fv, 0)))), 6) AS score,
- structural_risk, round(percent_rank() OVER (PARTITION BY lang ORDER BY structural_risk), 9) AS percentile, {_BAND} AS band, dominant_type
- FROM (SELECT rk.*, f.cognitive, coalesce(x.churn, 0) AS churn, fv FROM rk JOIN f USING (path) LEFT JOIN (SELECT path, sum(loc_added + loc_deleted) AS churn FROM ch GROUP BY 1) x USING (path) LEFT JOIN ({_FV}) USING (path))""",
-        HEALTH,
+ structural_risk, round(percent_rank() OVER (PARTITION BY lang ORDER BY structural_risk), 9) AS percentile, {_BAND} AS band, dominant_type, corpus_percentile, beyond_corpus, ci_low, ci_high
+ FROM (SELECT rk.*, f.cognitive, coalesce(x.churn, 0) AS churn, fv FROM rk JOIN f USING (path) LEFT JOIN (SELECT path, sum(loc_added + loc_deleted) AS churn FROM ch GROUP BY 1) x USING (path) LEFT JOIN ({_FV}) USING (path)) LEFT JOIN lens USING (path)""",
+        {**HEALTH, **CORPUS},
     ),
-    "corpus_lens": with_facts("SELECT *, corpus_percentile >= 0.99 AS beyond_corpus FROM cpt", CORPUS),
+    "corpus_lens": with_facts("SELECT * FROM lens", CORPUS),
     "refactoring_targets": with_facts(
-        f"""SELECT path, round(structural_risk * hotspot_score / greatest(loc, 25), 9) AS priority, structural_risk, hotspot_score, revisions, loc, dominant_type, {_BAND} AS band FROM rk JOIN hs USING (path) JOIN (SELECT path, loc FROM f) USING (path)""",
+        f"""SELECT path, round(structural_risk * hotspot_score / greatest(loc, 25), 9) AS priority, round(structural_risk * hotspot_score, 9) AS combined_risk, structural_risk, hotspot_score, revisions, loc, dominant_type, {_BAND} AS band,
+ row_number() OVER (ORDER BY loc, path) AS manual_up_rank FROM rk JOIN hs USING (path) JOIN (SELECT path, loc FROM f) USING (path)""",
         {**HEALTH, **_hot(_REVS)},
     ),
     "touched_functions": with_facts("SELECT * FROM tf", TOUCHED),
@@ -156,26 +169,23 @@ SQL = {
         },
     ),
     "coordination_needs": with_facts(
-        f"""SELECT path, authors, fragmentation, interleave, CASE WHEN authors <= 1 THEN 'single' WHEN fragmentation < 0.25 THEN 'low' WHEN fragmentation >= 0.5 AND interleave >= 0.5 THEN 'high' ELSE 'medium' END AS tier, total_commits FROM (
+        f"""SELECT path, authors, fragmentation, interleave, coalesce(cochange_entropy, 0) AS cochange_entropy, health_band, CASE WHEN authors <= 1 THEN 'single' WHEN fragmentation < 0.25 THEN 'low' WHEN fragmentation >= 0.5 AND interleave >= 0.5 THEN 'high' ELSE 'medium' END AS tier, total_commits FROM (
  SELECT p.path, authors, round(coalesce(1 - sq, 0), 9) AS fragmentation, round(CASE WHEN n > 1 THEN sw / (n - 1)::DOUBLE ELSE 0 END, 9) AS interleave, n AS total_commits FROM (
  SELECT path, count(*) AS n, count(*) FILTER (prev IS NOT NULL AND prev <> canonical_author) AS sw, count(DISTINCT CASE WHEN date >= {AS_OF} - INTERVAL 90 DAYS AND date <= {AS_OF} THEN canonical_author END) AS authors FROM (
- SELECT *, lag(canonical_author) OVER (PARTITION BY path ORDER BY date, seq DESC) AS prev FROM dc) GROUP BY 1) p JOIN live ON live.path = p.path LEFT JOIN (SELECT path, sum(k_norm * k_norm) AS sq FROM ks GROUP BY 1) s ON s.path = p.path)""",
-        KNOWLEDGE,
-    ),
-    "cochange_entropy": with_facts(
-        f"""SELECT path, round(-(d / t) * log2(d / t), 9) AS cochange_entropy FROM (SELECT path, d::DOUBLE AS d, (sum(d) OVER ())::DOUBLE AS t FROM (
- SELECT path, sum(n - 1) AS d FROM rc JOIN (SELECT rev, count(*) AS n FROM rc GROUP BY 1 HAVING count(*) <= 30) USING (rev) GROUP BY 1 HAVING sum(n - 1) > 0))""",
-        {"rc": f"SELECT rev, path FROM dc WHERE date >= {AS_OF} - INTERVAL 90 DAYS AND date <= {AS_OF}"},
+ SELECT *, lag(canonical_author) OVER (PARTITION BY path ORDER BY date, seq DESC) AS prev FROM dc) GROUP BY 1) p JOIN live ON live.path = p.path LEFT JOIN (SELECT path, sum(k_norm * k_norm) AS sq FROM ks GROUP BY 1) s ON s.path = p.path)
+ LEFT JOIN en USING (path) LEFT JOIN (SELECT path, {_BAND} AS health_band FROM rk) USING (path)""",
+        {**KNOWLEDGE, **HEALTH, **ENTROPY},
     ),
+    "cochange_entropy": with_facts("SELECT * FROM en", ENTROPY),
     "marginal_owner_risk": with_facts(
-        f"""SELECT * FROM (SELECT path, band, s AS top_active_share, CASE WHEN band = 'red' AND s < 0.1 THEN 'high' WHEN band = 'red' AND s < 0.3 OR band = 'yellow' AND s < 0.1 THEN 'elevated' END AS risk
+        f"""SELECT *, '{rank.OWNER_NOTE}' AS note FROM (SELECT path, band, s AS top_active_share, CASE WHEN band = 'red' AND s < 0.1 THEN 'high' WHEN band = 'red' AND s < 0.3 OR band = 'yellow' AND s < 0.1 THEN 'elevated' END AS risk
  FROM (SELECT path, {_BAND} AS band, coalesce(top_active_share, 0) AS s FROM rk LEFT JOIN tas USING (path)) WHERE band <> 'green') WHERE risk IS NOT NULL""",
         {**HEALTH, **KNOWLEDGE},
     ),
     "finding_hotspot_overlap": with_facts(
-        f"""SELECT path, findings, 1 AS engines, 'warning' AS worst_level, rp AS revs_percentile, health_band, CASE WHEN rp >= 0.9 AND health_band = 'red' THEN 'act-now' WHEN rp >= 0.7 OR health_band = 'red' THEN 'plan' ELSE 'note' END AS priority
+        f"""SELECT path, findings, hotspot_score, 1 AS engines, 'warning' AS worst_level, rp AS revs_percentile, health_band, CASE WHEN rp >= 0.9 AND health_band = 'red' THEN 'act-now' WHEN rp >= 0.7 OR health_band = 'red' THEN 'plan' ELSE 'note' END AS priority
  FROM (SELECT path, findings, round(coalesce(r, 0), 9) AS rp, health_band FROM (SELECT path, count(*) AS findings FROM ln WHERE contains(line, 'TODO') GROUP BY 1)
- LEFT JOIN (SELECT path, percent_rank() OVER (ORDER BY n_revs) AS r FROM pr) USING (path) LEFT JOIN (SELECT path, {_BAND} AS health_band FROM rk) USING (path))""",
-        HEALTH,
+ LEFT JOIN (SELECT path, percent_rank() OVER (ORDER BY n_revs) AS r FROM pr) USING (path) LEFT JOIN (SELECT path, {_BAND} AS health_band FROM rk) USING (path)) LEFT JOIN (SELECT path, hotspot_score FROM hs) USING (path)""",
+        {**HEALTH, **_hot(_REVS)},
     ),
 }

@@ -14,7 +14,6 @@ ANALYSES = {
     "change_set_report": (snap.example_change_set, _THIN),
     "change_context": (snap.context_of_latest, _THIN),
     "gate_citations": (snap.gate_citations, {}),
-    "band_transitions": (snap.band_transitions, {}),
     "owners_to_brief": (snap.owners_to_brief, {}),
 }
 

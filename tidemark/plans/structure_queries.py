@@ -52,23 +52,24 @@ _NEIGHBOURS = {
 }
 _LAYER = "CASE WHEN split_part({p}, '/', 1) IN ('apps', 'services') THEN 'front' WHEN split_part({p}, '/', 1) IN ('libs', 'packages', 'crates') THEN 'shared' WHEN split_part({p}, '/', 1) IN ('tools', 'plugins') THEN 'tooling' END"
 
+LEVELS = {
+            "nd": "SELECT f.path, coalesce(cm.component, f.path) AS node FROM f LEFT JOIN cm ON cm.path = f.path",
+            "ce": "SELECT DISTINCT a.node AS src, b.node AS dst FROM ie JOIN nd a ON a.path = ie.src_path JOIN nd b ON b.path = ie.target_path WHERE a.node <> b.node",
+            "lv": "SELECT src AS node, 1 AS level FROM ce UNION SELECT ce.src, lv.level + 1 FROM lv JOIN ce ON ce.dst = lv.node",
+            "lvl": "SELECT nd.path, coalesce(max(lv.level), 0)::BIGINT AS level FROM nd LEFT JOIN lv ON lv.node = nd.node GROUP BY 1",
+}
+
 SQL = {
     "dependency_reach": _reach("SELECT src, dst FROM rc_"),
     "dependency_cycles": _reach("SELECT cycle_id, size, path FROM cm JOIN cy USING (component)"),
     "architecture_roles": _reach(
-        """SELECT path, CASE WHEN component = cid THEN 'core' WHEN vfi >= ri AND vfo < ro THEN 'shared' WHEN vfi < ri AND vfo >= ro THEN 'control' ELSE 'periphery' END AS role, vfi, vfo, component IS NOT NULL AS in_cycle,
+        """SELECT path, CASE WHEN component = cid THEN 'core' WHEN vfi >= ri AND vfo < ro THEN 'shared' WHEN vfi < ri AND vfo >= ro THEN 'control' ELSE 'periphery' END AS role, vfi, vfo, component IS NOT NULL AS in_cycle, level,
  round(100.0::DOUBLE * vfo / n, 6) AS reach_pct FROM (SELECT vi.*, count(*) OVER () AS n, (SELECT component FROM cy WHERE cycle_id = 1) AS cid,
- coalesce((SELECT max(vfi) FROM vi WHERE component = (SELECT component FROM cy WHERE cycle_id = 1)), (SELECT quantile_cont(vfi, 0.5) FROM vi)) AS ri,
- coalesce((SELECT max(vfo) FROM vi WHERE component = (SELECT component FROM cy WHERE cycle_id = 1)), (SELECT quantile_cont(vfo, 0.5) FROM vi)) AS ro FROM vi)"""
-    ),
-    "dependency_levels": _reach(
-        "SELECT nd.path, coalesce(max(lv.level), 0)::BIGINT AS level FROM nd LEFT JOIN lv ON lv.node = nd.node GROUP BY 1",
-        {
-            "nd": "SELECT f.path, coalesce(cm.component, f.path) AS node FROM f LEFT JOIN cm ON cm.path = f.path",
-            "ce": "SELECT DISTINCT a.node AS src, b.node AS dst FROM ie JOIN nd a ON a.path = ie.src_path JOIN nd b ON b.path = ie.target_path WHERE a.node <> b.node",
-            "lv": "SELECT src AS node, 1 AS level FROM ce UNION SELECT ce.src, lv.level + 1 FROM lv JOIN ce ON ce.dst = lv.node",
-        },
+ coalesce((SELECT max(vfi) FROM vi WHERE component = (SELECT component FROM cy WHERE cycle_id = 1)), (SELECT vfi FROM vi ORDER BY vfi LIMIT 1 OFFSET (SELECT count(*) // 2 FROM vi))) AS ri,
+ coalesce((SELECT max(vfo) FROM vi WHERE component = (SELECT component FROM cy WHERE cycle_id = 1)), (SELECT vfo FROM vi ORDER BY vfo LIMIT 1 OFFSET (SELECT count(*) // 2 FROM vi))) AS ro FROM vi) JOIN lvl USING (path)""",
+        LEVELS,
     ),
+    "dependency_levels": _reach("SELECT path, level FROM lvl", LEVELS),
     "instability": with_facts(
         """SELECT f.path, coalesce(i.n, 0) AS ca, coalesce(o.n, 0) AS ce, coalesce(round(coalesce(o.n, 0) / nullif(coalesce(i.n, 0) + coalesce(o.n, 0), 0)::DOUBLE, 9), 0) AS instability FROM f
  LEFT JOIN (SELECT target_path AS path, count(*) AS n FROM ie GROUP BY 1) i ON i.path = f.path LEFT JOIN (SELECT src_path AS path, count(*) AS n FROM ie GROUP BY 1) o ON o.path = f.path"""

@@ -1,14 +1,17 @@
 """The fact store: a version history as a set of lazily built DataFrames.
 
-``commits``, ``changes`` and ``aliases`` come from tables of the same names. Facts about the present state
-of the files (line counts, branch counts, functions, dependencies, duplicated fragments) are read from the
-beginning of each file in ``blobs``; hunks, parents and tags are derived from the history by fixed rules.
-Every derivation uses built-in expressions only.
+``commits``, ``changes`` and ``aliases`` come from tables of the same names. All other facts are read from a
+given table where there is one, under the name of the fact or in the form of a scanner's table (``hunks``,
+``commit_parents``, ``tags``, ``imports``, ``clones``, ``complexity_metrics`` with ``entities``). Only without one
+they are derived: facts about the present state of the files (line counts, branch counts, functions,
+dependencies, duplicated fragments) from the beginning of each file in ``blobs``, and hunks, parents and
+tags from the history by fixed stand-in rules. Every derivation uses built-in expressions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +52,15 @@ class FactStore:
         """A table given to the store, or else one of its directory."""
         return self._tables[name] if name in self._tables else read_table(self.spark, self.sf_dir, name)
 
+    def given(self, name: str) -> DataFrame | None:
+        """A table given to the store or present in its directory; nothing if there is none."""
+        if name in self._tables:
+            return self._tables[name]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return read_table(self.spark, self.sf_dir, name)
+        return None
+
     def replacing(self, options: QueryOptions | None = None, **tables: DataFrame) -> FactStore:
         """This store with some tables replaced."""
         return FactStore(self.spark, self.sf_dir, options or self.options, **{**self._tables, **tables})
@@ -64,6 +76,11 @@ class FactStore:
                     self._kept.append(table)
         return self._memo[key]
 
+    @property
+    def keeps(self) -> bool:
+        """Whether staged tables are kept for repeated use."""
+        return bool(self._kept)
+
     def close(self) -> None:
         """Remove the staged tables that were kept for repeated use."""
         drop_staged(*self._kept)
@@ -74,10 +91,19 @@ class FactStore:
         """The same tables under other options."""
         return FactStore(self.spark, self.sf_dir, self.options.but(**changes), **self._tables)
 
+    @cached_property
+    def moment(self) -> datetime:
+        """The moment that analyses look back from: the option's, or the last commit's, but never later than now."""
+        if self.options.as_of is not None:
+            return datetime.fromisoformat(self.options.as_of)
+        now = datetime.now(UTC).replace(tzinfo=None)
+        last = self.commits.agg(F.date_format(F.max("date"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()["t"]
+        return min(now, datetime.fromisoformat(last)) if last else now
+
     @property
     def anchor(self) -> Column:
-        """The wall-clock moment that analyses look back from."""
-        return F.lit(self.options.as_of).cast("timestamp")
+        """:attr:`moment` as a column."""
+        return F.lit(self.moment.isoformat(sep=" ")).cast("timestamp")
 
     @cached_property
     def commits(self) -> DataFrame:
@@ -86,7 +112,17 @@ class FactStore:
 
     @cached_property
     def changes(self) -> DataFrame:
-        """One row per revision and path, with line counts that are neither null nor negative."""
+        """One row per revision and path: as they were made, or with ``lineage`` under the name the file finally got."""
+        if not self.options.lineage:
+            return self.raw_changes
+        from tidemark.operators.relations import lineage_changes
+
+        final = self.once("lineage", lambda: lineage_changes(self.with_options(lineage=False)))
+        return final.select("rev", "path", "change_type", F.lit(None).cast("string").alias("rename_from"), "loc_added", "loc_deleted")
+
+    @cached_property
+    def raw_changes(self) -> DataFrame:
+        """One row per revision and path as recorded, with line counts that are neither null nor negative."""
         count = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("long").alias(c)
         return (
             self.table("changes")
@@ -134,7 +170,15 @@ class FactStore:
 
     @cached_property
     def files(self) -> DataFrame:
-        """Metrics of each readable file."""
+        """Metrics of each readable file; of measured entities the greatest value, and the whole file's ``mi``."""
+        if (known := self.given("files")) is not None:
+            return known
+        if (measured := self.given("complexity_metrics")) is not None:
+            whole = self.table("entities").where("kind = 'unit'").select("path", "name").distinct().withColumn("unit", F.lit(True))
+            most = [F.max(c).cast("long").alias(c) for c in ("loc", "sloc", "cognitive", "cyclomatic", "bool_ops", "max_nesting", "nargs")]
+            ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+            per = measured.join(whole, ["path", "name"], "left").groupBy("path").agg(*most, F.max(F.when(F.col("unit"), F.col("mi"))).alias("mi"))
+            return per.select("path", ending.alias("lang"), "loc", "sloc", "cognitive", "cyclomatic", "bool_ops", "max_nesting", "nargs", "mi")
         branches = F.regexp_count("content", F.lit(BRANCH_WORDS)).cast("long")
         body = F.split("content", "\n")
         sloc = F.size(F.filter(body, lambda x: F.trim(x) != "")).cast("long")
@@ -154,7 +198,14 @@ class FactStore:
 
     @cached_property
     def functions(self) -> DataFrame:
-        """Functions of readable files: lines from their definition to the next one."""
+        """Functions of readable files: as measured, or lines from their definition to the next one."""
+        if (known := self.given("functions")) is not None:
+            return known
+        if (measured := self.given("complexity_metrics")) is not None:
+            spans = self.table("entities").where("kind = 'function'").groupBy("path", "name").agg(F.max("start_line").cast("long").alias("start_line"), F.max("end_line").cast("long").alias("end_line"))
+            per = measured.groupBy("path", "name").agg(*[F.max(c).cast("long").alias(c) for c in ("loc", "cognitive", "cyclomatic")])
+            base = F.regexp_replace("name", r"@[0-9]+-[0-9]+$", "").alias("base")
+            return spans.join(per, ["path", "name"]).select("path", "name", base, "start_line", "end_line", "loc", "cognitive", "cyclomatic")
         return (
             self.lines.where("fn > 0")
             .groupBy("path", "fn")
@@ -178,7 +229,9 @@ class FactStore:
 
     @cached_property
     def hunks(self) -> DataFrame:
-        """One changed region for every modification that adds lines."""
+        """Changed regions; as a stand-in, one for every modification that adds lines."""
+        if (known := self.given("hunks")) is not None:
+            return known.select("rev", "path", *[F.col(c).cast("long").alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")]).dropDuplicates(["rev", "path", "old_start", "new_start"])
         return self.changes.where("change_type = 'modified' and loc_added > 0").select(
             "rev",
             "path",
@@ -190,7 +243,9 @@ class FactStore:
 
     @cached_property
     def imports(self) -> DataFrame:
-        """Distinct dependencies of files: target word, and the file it resolves to in the same repository."""
+        """Distinct dependencies of files: target, and the file it resolves to (as a stand-in, in the same repository)."""
+        if (known := self.given("imports")) is not None:
+            return known.groupBy("src_path", "target").agg(F.max("target_path").alias("target_path"), F.bool_or(F.coalesce("resolved", F.lit(False))).alias("resolved"))
         wanted = self.blobs.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(IMPORTED), F.lit(1)))).alias("target"))
         word = F.regexp_extract("path", r"/([a-z]+)_[^/]*$", 1)
         targets = self.blobs.select(repo_of("path").alias("repo"), word.alias("target"), "path").where("target <> ''").groupBy("repo", "target").agg(F.min("path").alias("target_path"))
@@ -207,7 +262,12 @@ class FactStore:
 
     @cached_property
     def clones(self) -> DataFrame:
-        """Runs of lines that occur, numbers aside, in several places."""
+        """Members of duplicated fragments; as a stand-in, runs of lines that occur, numbers aside, in several places."""
+        if (known := self.given("clones")) is not None:
+            if "family_size" in known.columns:
+                return known
+            sizes = known.groupBy("clone_group_id").agg(F.count(F.lit(1)).alias("family_size"))
+            return known.join(sizes, "clone_group_id").withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line", "node_count")})
         plain = self.lines.select("path", "at", F.regexp_replace("line", "[0-9]+", "#").alias("line"))
         ahead = Window.partitionBy("path").orderBy("at")
         fragment = F.concat_ws("\n", "line", *[F.lead("line", k).over(ahead) for k in range(1, CLONE_LINES)])
@@ -219,12 +279,15 @@ class FactStore:
 
     @cached_property
     def parents(self) -> DataFrame:
-        """Parents of commits by ``seq``: the main line is every third commit and every merge.
+        """Parents of commits as recorded; as a stand-in by ``seq``: the main line is every third commit and every merge.
 
         Main-line commits follow each other. Others follow the next older one of their kind, at most eight
         commits away, and every seventh starts from the main line. A merge's second parent is the next
         older commit off the main line. Neighbours are joined by their number, not by one global window.
         """
+        for name in ("parents", "commit_parents"):
+            if (known := self.given(name)) is not None:
+                return known.where("rev is not null and parent_rev is not null").dropDuplicates(["rev", "position"]).select("rev", "position", "parent_rev")
         main = F.col("is_merge") | (F.col("seq") % 3 == 0)
         c = self.commits.select("rev", "seq", "is_merge", main.alias("main"))
 
@@ -239,7 +302,9 @@ class FactStore:
 
     @cached_property
     def tags(self) -> DataFrame:
-        """A release tag on the first commit of every month."""
+        """Tags as recorded; as a stand-in, a release tag on the first commit of every month."""
+        if (known := self.given("tags")) is not None:
+            return known.select(F.col("name" if "name" in known.columns else "tag").alias("tag"), "target_rev", "date")
         return (
             self.commits.groupBy(F.date_format("date", "yyyy.MM").alias("month"))
             .agg(F.min_by("rev", F.struct("date", -F.col("seq"))).alias("target_rev"), F.min("date").alias("date"))

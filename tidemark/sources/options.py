@@ -9,7 +9,10 @@ from dataclasses import dataclass, replace
 class QueryOptions:
     """Parameters of all analyses; the defaults are those of the analyses' definitions."""
 
-    as_of: str = "2026-05-01 00:00:00"
+    #: The moment to look back from; without one, that of the last commit, but never later than now.
+    as_of: str | None = None
+    #: Count changes under the name their file finally got.
+    lineage: bool = False
     min_revs: int = 5
     min_shared_revs: int = 5
     min_coupling_pct: float = 30.0

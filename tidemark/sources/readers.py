@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from collections.abc import Iterable
 from pathlib import Path
@@ -130,19 +131,80 @@ def read_thresholds(path: str) -> dict[str, float]:
     return {k: float(v) for k, v in tomllib.loads(_side_file(path)).get("gates", {}).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
 
 
-DEFAULT_BOTS = ("[bot]", "-bot@", "bot@", "noreply@github", "dependabot", "renovate", "greenkeeper")
+# Account names of machines, and the names assistants sign with (alone, or followed by a word of the second list).
+DEFAULT_BOTS = ("dependabot[bot]", "github-actions[bot]", "claude-code[bot]", "copilot[bot]", "renovate[bot]", "pre-commit-ci[bot]", "devin-ai-integration[bot]")
+ASSISTANTS = ("claude", "copilot", "github copilot", "cursor", "sourcegraph cody", "cody", "continue", "codeium", "windsurf", "devin", "tabnine", "amazon q")
+ASSISTANT_WORDS = ("agent", "ai", "assistant", "bot", "code")
+
+
+def read_bots(path: str) -> list[str]:
+    """The default patterns and those of a file, one a line; ``#`` starts a comment."""
+    return [*DEFAULT_BOTS, *(line.strip().lower() for line in _side_file(path).splitlines() if line.strip() and not line.strip().startswith("#"))]
 
 
 def bot_condition(name: str | Column, email: str | Column, patterns: Iterable[str] = DEFAULT_BOTS) -> Column:
     """True where a name or address contains one of the patterns, whatever the case."""
-    text = F.lower(F.concat_ws(" ", name, email))
     hit = F.lit(False)
     for p in patterns:
-        if p.strip() and not p.startswith("#"):
-            hit = hit | text.contains(p.strip().lower())
+        for text in (name, email):
+            hit = hit | F.coalesce(F.lower(text).contains(p.strip().lower()), F.lit(False))
     return hit
 
 
+def attribution(name: Column, email: Column, message: Column, patterns: Iterable[str] = DEFAULT_BOTS) -> Column:
+    """``ai-authored`` for a bot's commit; ``ai-assisted`` where the message is signed by one or by an assistant; else ``human``.
+
+    A co-author counts as an assistant only if the whole name is one, so that people who share a given name
+    with a product stay people.
+    """
+    alone = "|".join(ASSISTANTS)
+    signed = F.filter(F.split(F.lower(message), "\n"), lambda x: F.trim(x).startswith("co-authored-by:"))
+    assistant = F.exists(signed, lambda x: x.rlike(rf"^\s*co-authored-by:\s*(?:{alone})(?: +(?:{'|'.join(ASSISTANT_WORDS)}))*\s*(?:<|$)"))
+    wanted = [p.strip().lower() for p in patterns if p.strip()]
+    machine = F.exists(signed, lambda x: F.exists(F.array(*map(F.lit, wanted)), lambda p: x.contains(p))) if wanted else F.lit(False)
+    marked = F.coalesce(F.lower(message).contains("(aider)") | assistant | machine, F.lit(False))
+    return F.when(bot_condition(name, email, patterns), "ai-authored").when(marked, "ai-assisted").otherwise("human")
+
+
+def read_mailmap(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a mail map: ``new_name``, ``new_email``, ``old_name``, ``old_email``; absent parts are null.
+
+    Lines are ``New <new>``, ``<new> <old>``, ``New <new> <old>`` or ``New <new> Old <old>``; ``#`` starts a comment.
+    """
+    rows = []
+    for number, line in enumerate(_side_file(path).splitlines(), 1):
+        text = line.split("#", 1)[0].strip()
+        if not text:
+            continue
+        parts = re.fullmatch(r"([^<>]*)<([^<>]*)>(?:([^<>]*)<([^<>]*)>)?", text)
+        if not parts:
+            raise ValueError(f"line {number} of the mail map is not understood")
+        a, b, c, d = (p.strip() if p else None for p in parts.groups())
+        rows.append((a or None, b if d is not None else None, c or None, (d if d is not None else b).lower()))
+    return spark.createDataFrame(rows, "new_name string, new_email string, old_name string, old_email string")
+
+
+def apply_mailmap(commits: DataFrame, mailmap: DataFrame) -> DataFrame:
+    """Commits with ``canonical_author`` made from name and address after the map; entries with a name go first."""
+    named = mailmap.where("old_name is not null").select(F.lower("old_name").alias("_name"), F.col("old_email").alias("_mail"), F.col("new_name").alias("_n1"), F.col("new_email").alias("_e1")).dropDuplicates(["_name", "_mail"])
+    plain = mailmap.where("old_name is null").select(F.col("old_email").alias("_mail"), F.col("new_name").alias("_n2"), F.col("new_email").alias("_e2")).dropDuplicates(["_mail"])
+    keyed = commits.withColumn("_name", F.lower("author_name")).withColumn("_mail", F.lower("author_email"))
+    joined = keyed.join(named, ["_name", "_mail"], "left").join(plain, "_mail", "left")
+    exact = F.col("_n1").isNotNull() | F.col("_e1").isNotNull()
+    name = F.when(exact, F.coalesce("_n1", "author_name")).otherwise(F.coalesce("_n2", "author_name"))
+    email = F.when(exact, F.coalesce("_e1", "author_email")).otherwise(F.coalesce("_e2", "author_email"))
+    return joined.withColumn("canonical_author", F.concat(F.coalesce(name, F.lit("")), F.lit(" <"), F.coalesce(email, F.lit("")), F.lit(">"))).drop("_name", "_mail", "_n1", "_e1", "_n2", "_e2")
+
+
+def read_ignore(path: str) -> list[str]:
+    """The globs of an ignore file; ``#`` starts a comment, negated lines are refused."""
+    lines = [line.strip() for line in _side_file(path).splitlines()]
+    globs = [line for line in lines if line and not line.startswith("#")]
+    if negated := [g for g in globs if g.startswith("!")]:
+        raise ValueError(f"negated globs are not supported: {negated}")
+    return globs
+
+
 def read_sarif(spark: SparkSession, path: str) -> DataFrame:
     """Findings of SARIF 2.1.0 files: engine, version, rule, path, lines, level, fingerprint, message.
 

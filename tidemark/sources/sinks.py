@@ -8,13 +8,15 @@ first, and say so when there were more.
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 from collections.abc import Iterable
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 REPORT_ROWS = 5_000
 
@@ -51,8 +53,11 @@ def write_findings(findings: DataFrame, path: str) -> None:
 
 
 def to_json_array(df: DataFrame, limit: int = REPORT_ROWS) -> str:
-    """A JSON array of at most ``limit`` rows; null columns are left out."""
-    return "[" + ",".join(df.limit(limit).toJSON().collect()) + "]"
+    """A JSON array of all rows; null columns are left out. More than ``limit`` rows are an error: they belong in NDJSON."""
+    rows = df.limit(limit + 1).toJSON().collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write_ndjson takes any number")
+    return "[" + ",".join(rows) + "]"
 
 
 def to_markdown(df: DataFrame, limit: int = REPORT_ROWS) -> str:
@@ -78,7 +83,7 @@ def level_of(value: float, lowest: str = "note") -> str:
 
 def to_sarif(df: DataFrame, rule: str, health: str = "cognitive_health", message: str = "changes often and is complex", limit: int = REPORT_ROWS) -> str:
     """A SARIF 2.1.0 report of files by health, worst first; fingerprints depend on rule and path only."""
-    rows = df.orderBy(F.asc(health), "path").limit(limit).select("path", health).collect()
+    rows = df.orderBy(F.asc(health), "path").limit(limit + 1).select("path", health).collect()
     results = [
         {
             "ruleId": rule,
@@ -88,9 +93,11 @@ def to_sarif(df: DataFrame, rule: str, health: str = "cognitive_health", message
             "partialFingerprints": {"primary": hashlib.sha256(f"{rule}\x00{r['path']}".encode()).hexdigest()},
             "properties": {"severity": severity(r[health])},
         }
-        for r in rows
+        for r in rows[:limit]
     ]
-    run = {"tool": {"driver": {"name": "tidemark", "rules": [{"id": rule}]}}, "results": results}
+    run: dict[str, object] = {"tool": {"driver": {"name": "tidemark", "rules": [{"id": rule}]}}, "results": results}
+    if len(rows) > limit:
+        run["invocations"] = [{"executionSuccessful": True, "toolExecutionNotifications": [{"level": "warning", "message": {"text": f"Only the first {limit} results are listed."}}]}]
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=1)
 
 
@@ -101,8 +108,38 @@ def to_annotations(df: DataFrame, title: str, health: str = "cognitive_health",
         text = text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
         return text.replace(":", "%3A").replace(",", "%2C") if inside else text
 
-    rows = df.orderBy(F.asc(health), "path").limit(limit).select("path", health).collect()
-    return [f"::{level_of(severity(r[health]), 'notice')} file={escaped(r['path'], True)},title={escaped(title, True)}::{escaped(f'health {r[health]:.1f}')}" for r in rows]
+    rows = df.orderBy(F.asc(health), "path").limit(limit + 1).select("path", health).collect()
+    out = [f"::{level_of(severity(r[health]), 'notice')} file={escaped(r['path'], True)},title={escaped(title, True)}::{escaped(f'health {r[health]:.1f}')}" for r in rows[:limit]]
+    return [*out, f"::notice title={escaped(title, True)}::Only the first {limit} files are annotated"] if len(rows) > limit else out
+
+
+def to_step_summary(title: str, sections: dict[str, DataFrame], limit: int = 20) -> str:
+    """A build step's summary: a heading and one short table per section, with a note where rows were left out."""
+    return "\n".join([f"## {title}", *[f"\n### {name}\n\n{to_markdown(df, limit)}" for name, df in sections.items()]])
+
+
+def to_html(df: DataFrame, title: str, limit: int = REPORT_ROWS) -> str:
+    """A page with one table of at most ``limit`` rows, and a note if there were more."""
+    rows = df.limit(limit + 1).collect()
+    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
+    table = "".join(f"<tr>{''.join(cell('td', v) for v in r)}</tr>" for r in rows[:limit])
+    note = f"<p>The first {limit} rows are shown.</p>" if len(rows) > limit else ""
+    head = "".join(cell("th", c) for c in df.columns)
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{table}</table>{note}</body></html>"
+
+
+def write_dashboard(datasets: dict[str, DataFrame], path: str) -> None:
+    """The datasets of a dashboard, one folder of JSON lines each, and an index of their names and columns."""
+    for name, df in datasets.items():
+        write_ndjson(df, f"{path}/{name}")
+    spark = next(iter(datasets.values())).sparkSession
+    spark.createDataFrame([(n, d.columns) for n, d in datasets.items()], "name string, columns array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/index")
+
+
+def ledger_history(spark: SparkSession, path: str) -> DataFrame:
+    """Verdicts of a ledger in time, each with the one before it of the same gate: ``gate``, ``at``, ``head``, ``verdict``, ``before``."""
+    along = Window.partitionBy("gate").orderBy("at")
+    return spark.read.json(path).select("gate", "at", "head", "verdict", "violations", F.lag("verdict").over(along).alias("before"))
 
 
 def write_provenance(path: str, options: object, **pins: str) -> None:
