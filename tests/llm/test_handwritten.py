@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -97,6 +98,58 @@ def test_a_library_in_more_places_than_a_rare_line_may_have(spark):
     assert sorted(p for p, v in got.items() if v[0] == "hand-written") == ["s0/x/src/lib.py"]
 
 
+def test_the_only_source_is_found_among_many_longer_texts_of_the_same_lines(spark):
+    blocks = [body_of(600 + k, 4) for k in range(3)]
+    copy = [line for block in blocks for line in block]
+    # one run of lines in common with the copy, and any of its lines is in 40 longer texts
+    other_order = blocks[0] + [line for k in range(4) for block in blocks[:0:-1] for line in (block[k], *body_of(700 + k, 1))]
+    rows = [("a/one/src/source.py", "python", "\n".join(other_order)), ("b/two/src/copy.py", "python", "\n".join(copy))]
+    rows += [(f"r{k}/x/src/f{b}.py", "python", "\n".join(blocks[b] + body_of(1000 * b + k, 40))) for b in range(3) for k in range(40)]
+    got = verdicts(spark, rows)
+    assert [p for p, v in got.items() if v[0] != "hand-written"] == ["b/two/src/copy.py"]
+
+
+def expected_copies(rows, rare, min_lines, containment, ties):
+    """Every file compared with every other, for files without marks.
+
+    Of two texts of the same length and first repository a hash decides which one was before; ``ties`` takes both.
+    """
+    files, held, runs = [], {}, {}
+    for path, _, content in rows:
+        repo, listed = "/".join(path.split("/")[:2]), content.split("\n")
+        files.append((path, repo, frozenset(listed)))
+        held.setdefault(frozenset(listed), set()).add(repo)
+        runs.setdefault(frozenset(listed), set()).update(tuple(listed[k : k + 4]) for k in range(len(listed) - 3))
+    df = Counter(line for lines in held for line in lines)
+    out = set()
+    for path, repo, lines in files:
+        rares = {line for line in lines if df[line] <= rare}
+        for other, repos in held.items():
+            whole, part = len(lines & other), len(rares & other)
+            near = whole >= max(min_lines, containment * len(lines)) and runs[lines] & runs[other] or part >= max(min_lines, containment * len(rares))
+            before = len(other) > len(lines) or (len(other) == len(lines) and (min(repos) < min(held[lines]) or ties and min(repos) == min(held[lines])))
+            if len(lines) >= min_lines and (min(repos) != repo if other == lines else near and before and repos != {repo}):
+                out.add(path)
+    return out
+
+
+@pytest.mark.parametrize(("repos", "words", "rare"), [(2, 14, 3), (6, 14, 3), (30, 14, 3), (6, 40, 6), (6, 14, 1000), (1, 14, 3)])
+def test_same_copies_as_by_comparing_all_pairs(spark, monkeypatch, repos, words, rare):
+    monkeypatch.setattr("tidemark.llm.handwritten.BLOCK", 7)
+    rng = random.Random(repos * words + rare)
+    pool = body_of(800, words)
+    rows = []
+    for k in range(150):
+        lines = [pool[i] for i in sorted(rng.sample(range(words), rng.randrange(3, 12)), key=lambda i: i if k % 3 else i % 5)] + (body_of(900 + k, rng.randrange(3)) if k % 2 else [])
+        repo = rng.randrange(repos)
+        rows.append((f"r{repo:02}/x/src/f{k}.py", "python", "\n".join(lines)))
+        if k % 10 == 0:
+            rows.append((f"r{rng.randrange(repos):02}/x/src/g{k}.py", "python", "\n".join(lines)))
+    got = verdicts(spark, rows, rare=rare)
+    copied = {p for p, v in got.items() if v[1] == "containment"}
+    assert expected_copies(rows, rare, 4, 0.8, False) <= copied <= expected_copies(rows, rare, 4, 0.8, True) and (repos == 1) == (not copied)
+
+
 def test_pieces_are_learned_and_usual_names_can_be_overruled(spark):
     counting = "\n".join(f"    case {k}: goto yy{k};" for k in range(30, 60))
     made = [(f"r{k % 5}/x/src/made{k}.c", "c", f"// emitted through toolname {k}\n" + counting) for k in range(20)]

@@ -6,17 +6,20 @@
    and paths (three words of a comment in a row, a folder, the end of a file name). Two things are read
    from it:
 
-   * containment: a file of which at least ``containment`` of the rare lines occur in one file of another
-     repository was copied in, whether or not either carries a mark. Exact copies count as one text, so
-     that a library copied a million times keeps its lines rare. Of a family of equal texts that nothing
-     marks, the longest (then that of the first repository) is taken for the original.
+   * containment: a file of which at least ``containment`` of the rare lines, or of all lines with ``RUN`` of
+     them in a row, occur in one file of another repository was copied in, whether or not either carries a
+     mark. Exact copies count as one text, so that a library copied a million times keeps its lines rare.
+     Of a family of equal texts that nothing marks, the longest (then that of the first repository) is taken
+     for the original.
    * association: a piece that stands mostly in seeds, in several repositories, is evidence for its class.
      Common folder and file names start with a few imagined files in favour of their class, which the
      corpus overrules when it says otherwise.
 3. Files that stay without evidence are hand-written.
 
-No posting list is joined with itself beyond ``rare`` texts. Lines above that are met by runs of four
-lines; each run has at most ``HUBS`` texts that the others are compared with, whatever its length.
+Rare are lines in at most ``rare`` texts; for them whole posting lists meet. For all lines, common ones
+included, so many of a text's least frequent lines are looked up that the remaining ones are too few for a
+copy. The ``HUBS`` most promising texts with such a line are tried first; a text that is no copy of theirs
+meets every text of other repositories with such a line.
 """
 
 from __future__ import annotations
@@ -47,8 +50,11 @@ CLASSES = ("generated", "packed", "data", "vendored")
 #: Least share of seeds among the files with a piece, by class: composition sees most made files, a holder only some foreign ones.
 BROAD = {"generated": 0.3, "packed": 0.3, "data": 0.3, "vendored": 0.15}
 NARROW = dict.fromkeys(CLASSES, 0.5)
-HUBS = 8
 RUN = 4
+#: Texts of a line that are tried before all of them.
+HUBS = 4
+#: Texts of a line and repository that one task joins.
+BLOCK = 4096
 
 _HOLDER = regex.compile(
     r"(?:copyright|\(c\)|©)(?:\s*\([cC]\))?(?:\s*\d{4}(?:\s*-\s*\d{4})?,?)?(?:\s+by)?(?:\s+the)?\s+([^\W\d][\w -]*?)(?=\s+(?:team|authors?|contributors|maintainers|developers|project)\b|\s*[,.;|*]|\s*$)",
@@ -213,52 +219,100 @@ def _by_pieces(files: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.withColumn("route", F.when(took, "pieces").otherwise(F.col("route"))).withColumn("class", F.when(took, F.col("said")).otherwise(F.col("class"))).drop("said")
 
 
-def _copied(files: DataFrame, rare: int, min_lines: int, containment: float) -> DataFrame:
-    """Paths of files that were copied in from another repository, by exact containment of their lines."""
-    vendored = F.when(F.col("class") == "vendored", F.col("repo"))
+def _may_be_source() -> Column:
+    """Whether the text ``b`` (``size_b``, ``first_b``, ...) can be what the text ``a`` of the repository ``first`` was copied from."""
+    before = (F.col("size_b") > F.col("size")) | ((F.col("size_b") == F.col("size")) & (F.struct("first_b", "b") < F.struct("first", "a")))
+    return (before & (_differs("first_b", "first") | _differs("last_b", "first"))) | _differs("v_first", "first") | _differs("v_last", "first")
+
+
+def _differs(side: str, repo: str) -> Column:
+    return F.coalesce(F.col(side) != F.col(repo), F.lit(False))
+
+
+def _contained(asked: DataFrame, partners: DataFrame, on: list[str], texts: DataFrame) -> DataFrame:
+    """The texts of ``asked`` that have lines enough, and a run of them, in common with one partner."""
+    candidates = asked.join(partners, on).where(F.col("size_b") >= F.col("need")).where(_may_be_source()).select("a", "b").distinct()
+    return (
+        candidates.join(texts.select(F.col("text").alias("a"), "need", F.col("lines").alias("la"), F.col("runs").alias("ra")), "a")
+        .join(texts.select(F.col("text").alias("b"), F.col("lines").alias("lb"), F.col("runs").alias("rb")), "b")
+        .where(F.arrays_overlap("ra", "rb"))
+        .where(F.size(F.array_intersect("la", "lb")) >= F.col("need"))
+        .select(F.col("a").alias("text"))
+        .distinct()
+    )
+
+
+def _copied(files: DataFrame, rare: int, min_lines: int, containment: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Paths of files that were copied in from another repository, by exact containment of their lines.
+
+    A text that several repositories hold is copied everywhere but in the first of them, so that one question
+    is left for each text: whether its file in the first repository has a source elsewhere.
+    """
+    plain, vendored = (F.when(F.col("class") == c, F.col("repo")) for c in ("", "vendored"))
     body = files.where("class in ('', 'vendored')").where(F.size("lines") >= min_lines).select("path", "repo", "class", "lines", "runs", F.xxhash64("lines").alias("text"))
-    # one row for each distinct text
+    # one row for each distinct text, with the runs of all orders that its lines stand in
     texts = stage_table(
-        body.groupBy("text").agg(
-            F.first("lines").alias("lines"), F.first("runs").alias("runs"), F.min("repo").alias("first"), F.max("repo").alias("last"), F.min(vendored).alias("v_first"), F.max(vendored).alias("v_last")
+        body.groupBy("text")
+        .agg(
+            F.first("lines").alias("lines"),
+            F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"),
+            F.min("repo").alias("first"),
+            F.max("repo").alias("last"),
+            F.min(plain).alias("plain"),
+            F.min(vendored).alias("v_first"),
+            F.max(vendored).alias("v_last"),
         )
+        .withColumn("size", F.size("lines"))
+        .withColumn("need", F.ceil(F.greatest(F.lit(float(min_lines)), containment * F.col("size"))).cast("int"))
+    )
+    about = texts.select(F.col("text").alias("b"), F.col("size").alias("size_b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"), "v_first", "v_last")
+    # lines of several texts; abroad are those that a text in another repository has as well
+    ids = [F.xxhash64(c).alias(c) for c in ("first", "last")]
+    lines = texts.select("text", *ids, F.explode("lines").alias("h"))
+    counted = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min(F.least("first", "last")).alias("lo"), F.max(F.greatest("first", "last")).alias("hi")).where("df > 1")
+    shared = stage_table(lines.select("text", "h", F.col("first").alias("id")).join(counted, "h").select("text", "h", "df", F.expr("lo <> id or hi <> id").alias("abroad")))
+    counts = shared.groupBy("text").agg(
+        F.count_if("abroad").alias("n"), F.count_if(F.col("abroad") & (F.col("df") <= rare)).alias("n_rare"), F.count_if(F.col("df") > rare).alias("common")
+    )
+    asking = stage_table(
+        texts.where((F.col("plain") == F.col("first")) & ~_differs("v_first", "first") & ~_differs("v_last", "first"))
+        .join(counts.where(F.col("n") >= min_lines), "text")
+        .select("text", "size", "need", "first", "n", "n_rare", F.greatest(F.lit(float(min_lines)), containment * (F.col("size") - F.col("common"))).alias("need_rare"))
     )
-    size = F.size("lines").alias("size")
-    lines = texts.select("text", F.explode("lines").alias("h"))
-    df = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    placed = lines.join(df, "h")
-    rares = stage_table(placed.where(F.col("df") <= rare).select("text", "h", "df"))
-    own = rares.groupBy("text").agg(F.count(F.lit(1)).alias("own"))
-    shared_lines = rares.where("df > 1")
+    rares = shared.where(F.col("df") <= rare)
     met = (
-        shared_lines.select("h", F.col("text").alias("a")).join(shared_lines.select("h", F.col("text").alias("b")), "h").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_lines)
+        rares.where("abroad")
+        .join(asking.where("n_rare >= need_rare").select("text"), "text")
+        .select("h", F.col("text").alias("a"))
+        .join(rares.select("h", F.col("text").alias("b")), "h")
+        .where("a <> b")
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= min_lines)
     )
-    by_rare = met.join(own.withColumnRenamed("text", "a"), "a").where(F.col("shared") >= containment * F.col("own")).select("a", "b")
-    # texts of common lines: runs of lines find hubs, whole line sets decide
-    common = texts.join(own, "text", "left").where(F.size("lines") - F.coalesce("own", F.lit(0)) >= min_lines).select("text", F.size("lines").alias("size"), "v_first", F.explode("runs").alias("run"))
-    hubs = common.groupBy("run", F.pmod(F.xxhash64("text"), F.lit(HUBS)).alias("k")).agg(F.max(F.struct(F.col("v_first").isNotNull().alias("v"), "size", "text")).alias("hub")).select("run", F.col("hub.text").alias("b"))
-    several = common.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
-    candidates = common.join(several, "run", "left_semi").select("run", F.col("text").alias("a")).join(hubs, "run").where("a <> b").select("a", "b").distinct()
-    sets = texts.select("text", "lines")
-    by_runs = (
-        candidates.join(sets.select(F.col("text").alias("a"), F.col("lines").alias("la")), "a")
-        .join(sets.select(F.col("text").alias("b"), F.col("lines").alias("lb")), "b")
-        .where(F.size(F.array_intersect("la", "lb")) >= F.greatest(F.lit(float(min_lines)), containment * F.size("la")))
-        .select("a", "b")
+    by_rare = stage_table(met.join(asking.withColumnRenamed("text", "a"), "a").where("shared >= need_rare").join(about, "b").where(_may_be_source()).select(F.col("a").alias("text")).distinct())
+    # All lines: of n lines found abroad any n - need + 1 hold one that a source has; the least frequent ones are taken.
+    left = asking.where("n >= need").join(by_rare, "text", "left_anti").select("text", "size", "need", "first", "n")
+    least = F.slice(F.sort_array(F.collect_list(F.struct("df", "h"))), F.lit(1), (F.first("n") - F.first("need") + 1).cast("int"))
+    keys = stage_table(
+        shared.where("abroad").join(left, "text").groupBy("text", "size", "need", "first").agg(least.alias("least")).select(F.col("text").alias("a"), "size", "need", "first", F.explode("least.h").alias("h"))
     )
-    about = texts.select("text", size, "first", "last", "v_first", "v_last")
-    pairs = by_rare.unionByName(by_runs).distinct()
-    sized = pairs.join(about.select(F.col("text").alias("a"), F.col("size").alias("size_a"), F.col("first").alias("first_a")), "a").join(about.withColumnRenamed("text", "b"), "b")
-    before = (F.col("size") > F.col("size_a")) | ((F.col("size") == F.col("size_a")) & (F.struct("first", "b") < F.struct("first_a", "a")))
-    # a text's own copies first, then what contains it: the least and greatest repository tell whether another one holds it
-    sources = sized.select(F.col("a").alias("text"), F.when(before, F.col("first")).alias("o_first"), F.when(before, F.col("last")).alias("o_last"), "v_first", "v_last")
-    own_copies = about.where("first <> last or v_first is not null").select("text", F.col("first").alias("o_first"), F.col("first").alias("o_last"), "v_first", "v_last")
-    known = sources.unionByName(own_copies).groupBy("text").agg(F.min("o_first").alias("o_first"), F.max("o_last").alias("o_last"), F.min("v_first").alias("v_first"), F.max("v_last").alias("v_last"))
-    other: Column = F.lit(False)
-    for side in ("o_first", "o_last", "v_first", "v_last"):
-        other = other | F.coalesce(F.col(side) != F.col("repo"), F.lit(False))
-    out = body.where("class = ''").select("path", "repo", "text").join(known, "text").where(other).select("path").distinct()
-    return stage_table(out), (texts, rares)
+    partners = stage_table(shared.join(keys.select("h").distinct(), "h", "left_semi").select("h", F.col("text").alias("b")).join(about, "b"))
+    # first the marked ones, then those that come before all others
+    best = F.min(F.struct(F.col("v_first").isNull().alias("plain"), (-F.col("size_b")).alias("order"), "first_b", "b", "size_b", "last_b", "v_first", "v_last")).alias("hub")
+    hubs = partners.groupBy("h", F.pmod(F.xxhash64("first_b"), F.lit(HUBS))).agg(best).select("h", "hub.*")
+    by_hubs = stage_table(_contained(keys, hubs, ["h"], texts))
+    # what no hub contains meets all texts that another repository holds, a repository's texts dealt to cells
+    places = partners.withColumn("site", F.explode(F.array_distinct(F.array_compact(F.array("first_b", "last_b", "v_first", "v_last")))))
+    cells = places.groupBy("h", "site").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
+    dealt = places.join(cells, ["h", "site"]).withColumn("cell", F.pmod(F.xxhash64("b"), "cells").cast("int")).drop("cells")
+    asked = keys.join(by_hubs.withColumnRenamed("text", "a"), "a", "left_anti").join(cells, "h").where("site <> first").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    by_all = stage_table(_contained(asked, dealt, ["h", "site", "cell"], texts))
+    found = by_rare.unionByName(by_hubs).unionByName(by_all).withColumn("found", F.lit(True))
+    held = texts.select("text", "first", "v_first", "v_last").join(found, "text", "left")
+    copied = F.col("found").isNotNull() | _differs("first", "repo") | _differs("v_first", "repo") | _differs("v_last", "repo")
+    out = stage_table(body.where("class = ''").select("path", "repo", "text").join(held, "text").where(copied).select("path"))
+    return out, [texts, shared, asking, by_rare, keys, partners, by_hubs, by_all]
 
 
 def classify_files(
@@ -306,9 +360,13 @@ def classify_files(
         F.when(made, "composition").when(foreign, "holder").otherwise("").alias("route"),
     )
     seeds = stage_table(seeds)
+    drop_staged(one)
+    prose = stage_table(seeds.where("made = 'prose'").select("path", F.lit("prose").alias("verdict"), F.lit("").alias("route")))
     # a broad first reading of the pieces, then a narrow one with all files it found
     first = stage_table(_by_pieces(seeds.where("made <> 'prose'"), _associated(seeds, usual, BROAD, min_files, min_repos)))
+    drop_staged(seeds)
     second = stage_table(_by_pieces(first, _associated(first, usual, NARROW, min_files, min_repos)))
+    drop_staged(first)
     copied, used = _copied(second, rare, min_lines, containment)
     joined = second.select("path", "class", "route").join(copied.withColumn("copied", F.lit(True)), "path", "left")
     took = (F.col("class") == "") & F.col("copied").isNotNull()
@@ -317,8 +375,8 @@ def classify_files(
         F.when(took, "vendored").when(F.col("class") == "", "hand-written").otherwise(F.col("class")).alias("verdict"),
         F.when(took, "containment").otherwise(F.col("route")).alias("route"),
     )
-    out = stage_table(found.unionByName(seeds.where("made = 'prose'").select("path", F.lit("prose").alias("verdict"), F.lit("").alias("route"))))
-    drop_staged(one, seeds, first, second, copied, *used)
+    out = stage_table(found.unionByName(prose))
+    drop_staged(prose, second, copied, *used)
     return out
 
 
