@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.session import drop_staged, stage_table
 from tidemark.sources.facts import FactStore
@@ -155,40 +155,103 @@ def release_trend(fs: FactStore) -> DataFrame:
     return r.select("n", F.round(median, 6).alias("median_days"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr_days"), F.round("slope", 9).alias("slope"), trend.alias("trend"))
 
 
-def _earlier_authors(d: DataFrame, hot_paths: int = 8) -> DataFrame:
-    """``rev``, ``ndev``: distinct authors who touched any of a commit's paths strictly before it.
+def _before(*by: str) -> WindowSpec:
+    """What lies strictly before the moment ``at`` of a row; equal moments do not count."""
+    return Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
 
-    The authors of a commit's busiest path are counted by a running sum over first touches; of its other
-    paths only those authors are added whom that path had not seen. The eight paths with most authors are
-    joined beforehand: every set of them that occurs in a commit (256 at most) becomes one path of its own,
-    so that no commit joins a path that everyone touches with all its authors.
+
+def _experience(fs: FactStore, fix_pattern: str) -> DataFrame:
+    """Every commit with its author's earlier commits, plain (``exp``) and weighed by years (``rexp``). An unknown author has none."""
+    needed = fs.table("commits").where("rev is not null").select("rev", "canonical_author", "date", F.coalesce(F.col("message").rlike(fix_pattern), F.lit(False)).alias("fix"))
+    c = needed.dropDuplicates(["rev"]).withColumns({"at": F.unix_micros("date"), "y": F.year("date")})
+    per_year = c.groupBy("canonical_author", "y").agg(F.count(F.lit(1)).alias("n"))
+    years = per_year.groupBy("canonical_author").agg(F.sort_array(F.collect_list(F.struct("y", "n"))).alias("years"))
+    older = F.aggregate(F.filter("years", lambda b: b["y"] < F.col("y")), F.lit(0.0), lambda total, b: total + b["n"] / (1 + F.col("y") - b["y"]))
+    counted = c.withColumns({"exp": F.count("at").over(_before("canonical_author")), "same_year": F.count("at").over(_before("canonical_author", "y"))})
+    known = F.col("canonical_author").isNotNull()
+    return counted.join(years, "canonical_author", "left").select(
+        "rev", "canonical_author", "date", "fix", F.when(known, F.col("exp")).otherwise(0).alias("exp"), F.round(F.when(known, F.col("same_year") + F.coalesce(older, F.lit(0.0))).otherwise(0.0), 6).alias("rexp")
+    )
+
+
+def _commit_work(fs: FactStore, fix_pattern: str) -> DataFrame:
+    """A row for each commit with changes: a number, what its own paths and its author tell, its top folders, and keys of its paths.
+
+    The number and keys of 16 bytes stand for texts in what is moved later.
     """
-    met = stage_table(d.groupBy("path", "canonical_author").agg(F.min("date").alias("met_at")))
-    hot = [r["path"] for r in met.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "path").limit(hot_paths).collect()]
-    bit = F.lit(0)
-    for k, name in enumerate(hot):
-        bit = F.when(F.col("path") == F.lit(name), 1 << k).otherwise(bit)
-    sets = d.withColumn("bit", bit).where("bit > 0").groupBy("rev", "date").agg(F.bit_or("bit").alias("bits"))
-    marker = F.concat(F.lit("\u0001"), F.col("bits").cast("string"))
-    rows = d.withColumn("bit", bit).where("bit = 0").select("rev", "path", "date").unionByName(sets.select("rev", marker.alias("path"), "date"))
-    occurring = sets.select("bits").distinct()
-    of_sets = met.withColumn("bit", bit).where("bit > 0").join(F.broadcast(occurring), F.col("bit").bitwiseAND(F.col("bits")) > 0)
-    known = met.withColumn("bit", bit).where("bit = 0").select("path", "canonical_author", "met_at").unionByName(
-        of_sets.groupBy(marker.alias("path"), "canonical_author").agg(F.min("met_at").alias("met_at"))
+    changes = fs.changes.groupBy("rev").agg(F.collect_list(F.struct("path", "loc_added", "loc_deleted")).alias("x"))
+    tops = F.array_distinct(F.transform("x", lambda x: F.when(F.contains(x["path"], F.lit("/")), F.substring_index(x["path"], "/", 1)).otherwise(F.lit(""))))
+    folders = F.array_distinct(F.transform("x", lambda x: F.regexp_extract(x["path"], r"^(.*)/[^/]*$", 1)))
+    total = lambda c: F.aggregate("x", F.lit(0).cast("long"), lambda t, x: t + x[c])
+    share = lambda x: x["loc_added"] / F.col("la")
+    entropy = F.aggregate(F.filter("x", lambda x: x["loc_added"] > 0), F.lit(0.0), lambda t, x: t - share(x) * F.log2(share(x)))
+    return (
+        changes.withColumns({"la": total("loc_added"), "ld": total("loc_deleted")})
+        .join(_experience(fs, fix_pattern), "rev")
+        .select(
+            F.monotonically_increasing_id().alias("cid"),
+            *["rev", "canonical_author", "date", "fix", "exp", "rexp", "la", "ld"],
+            F.size(tops).cast("long").alias("ns"),
+            F.size(folders).cast("long").alias("nd"),
+            F.size("x").cast("long").alias("nf"),
+            F.round(entropy, 6).alias("entropy"),
+            tops.alias("tops"),
+            F.transform("x", lambda x: F.unhex(F.md5(x["path"].cast("binary")))).alias("paths"),
+        )
     )
-    known = stage_table(known)
-    new = known.groupBy("path", F.col("met_at").alias("date")).agg(F.count(F.lit(1)).alias("new"))
-    back = Window.partitionBy("path").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    # an author may meet a set in a commit of another set, so first touches are moments as well
-    moments = rows.select("path", "date", F.lit(0).alias("new")).unionByName(new).groupBy("path", "date").agg(F.sum("new").alias("new"))
-    devs = moments.select("path", "date", F.coalesce(F.sum("new").over(back), F.lit(0)).alias("devs"))
-    seen = stage_table(rows.join(devs, ["path", "date"]))
-    main = seen.groupBy("rev").agg(F.max(F.struct("devs", "path")).alias("m")).select("rev", "m.devs", F.col("m.path").alias("main"))
-    others = seen.drop("devs").join(main, "rev").where("path <> main")
-    foreign = others.join(known, "path").where("met_at < date").select("rev", "main", "date", "canonical_author").distinct()
-    there = known.select(F.col("path").alias("main"), "canonical_author", F.col("met_at").alias("main_at"))
-    extra = foreign.join(there, ["main", "canonical_author"], "left").where("main_at is null or main_at >= date").groupBy("rev").agg(F.count(F.lit(1)).alias("extra"))
-    return main.join(extra, "rev", "left").select("rev", (F.col("devs") + F.coalesce("extra", F.lit(0))).alias("ndev"))
+
+
+def _path_history(work: DataFrame, hot_paths: int = 8) -> DataFrame:
+    """What went before each commit on its paths: ``cid``, ``nuc`` (changes), ``age`` (mean days since the last), ``ndev`` (distinct authors).
+
+    The busiest paths are counted as sets: each set of them that occurs in a commit (255 at most) has a running
+    sum over the first touches of all authors, so that no commit meets all authors of a path that everyone
+    touches. Of its other paths a commit gathers those earlier authors only whom its set had not seen.
+    """
+    counts = work.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = [F.lit(bytearray(r["path"])) for r in counts.orderBy(F.desc("n"), "path").limit(hot_paths).collect()]
+    bits = F.lit(0).cast("long")
+    for k, key in enumerate(hot):
+        bits = bits + F.when(F.array_contains("paths", key), 1 << k).otherwise(0)
+    marked = work.select("cid", "canonical_author", F.unix_micros("date").alias("at"), "paths", bits.alias("bits"))
+    never = F.lit(None).cast("long")
+
+    def first_touch(times: Column) -> Column:
+        return F.array_min(F.array(never, *[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, times[k]) for k in range(len(hot))]))
+
+    touched = [F.min(F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.col("at"))) for k in range(len(hot))]
+    per_author = marked.where("canonical_author is not null").groupBy("canonical_author").agg(F.array(never, *touched).alias("all"))
+    # where an author touched none of the busiest paths, nothing is carried along
+    met = F.slice("all", 2, len(hot)) if hot else F.array().cast("array<long>")
+    authors = stage_table(per_author.select("canonical_author", F.monotonically_increasing_id().alias("aid"), F.when(F.size(F.array_compact("all")) > 0, met).alias("times")))
+    rows = marked.join(authors, "canonical_author", "left").select("cid", "aid", "at", "bits", "times", F.explode("paths").alias("path"))
+    # everything about a path comes from one exchange of its changes
+    day = lambda at: F.to_date(F.timestamp_micros(at))
+    since = F.datediff(day("at"), day(F.max("at").over(_before("path"))))
+    counted = rows.withColumns({"prior": F.count("at").over(_before("path")), "days": since})
+    is_hot = F.col("path").isin(*hot) if hot else F.lit(False)
+    nth = F.row_number().over(Window.partitionBy("path", "aid").orderBy(F.col("at").asc_nulls_last()))
+    newcomer = F.when((F.col("nth") == 1) & F.col("aid").isNotNull() & F.col("at").isNotNull(), F.struct("aid", F.col("at").alias("met_at"), "times"))
+    # at most the authors of one path that is not among the busiest
+    met_there = counted.where(~is_hot).withColumn("nth", nth).withColumn("met", F.collect_list(newcomer).over(Window.partitionBy("path")))
+    unseen = F.filter("met", lambda x: (x["met_at"] < F.col("at")) & F.coalesce(first_touch(x["times"]) >= F.col("at"), F.lit(True)))
+    extra = F.transform(unseen, lambda x: x["aid"])
+    others = met_there.select("cid", "prior", "days", extra.alias("extra")).withColumn("extra", F.when(F.size("extra") > 0, F.col("extra")))
+    busy = counted.where(is_hot).select("cid", "prior", "days", F.lit(None).cast("array<long>").alias("extra"))
+    # rows of a commit come from as many places, so sums made before they meet would only be larger
+    per = others.unionByName(busy).repartition("cid").groupBy("cid").agg(
+        F.sum("prior").alias("nuc"),
+        F.round(F.coalesce(F.avg("days"), F.lit(0.0)), 6).alias("age"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("extra")))).cast("long").alias("extra"),
+    )
+    in_set = marked.where("bits > 0")
+    # 255 rows at most
+    occurring = F.broadcast(in_set.select("bits").distinct())
+    arrivals = authors.where("times is not null").join(occurring).select("bits", first_touch(F.col("times")).alias("at")).where("at is not null")
+    new = arrivals.groupBy("bits", "at").agg(F.count(F.lit(1)).alias("new")).select(F.lit(None).cast("long").alias("cid"), "bits", "at", "new")
+    moments = in_set.select("cid", "bits", "at", F.lit(0).cast("long").alias("new")).unionByName(new)
+    devs = moments.withColumn("devs", F.sum(F.when(F.col("at").isNotNull(), F.col("new"))).over(_before("bits"))).where("cid is not null").select("cid", F.coalesce("devs", F.lit(0)).alias("devs"))
+    return per.join(devs, "cid", "left").select("cid", "nuc", "age", (F.col("extra") + F.coalesce("devs", F.lit(0))).alias("ndev"))
 
 
 def kamei_features(fs: FactStore, fix_pattern: str = r"(?i)\b(fix|bug|defect|patch|repair)\w*") -> DataFrame:
@@ -199,67 +262,14 @@ def kamei_features(fs: FactStore, fix_pattern: str = r"(?i)\b(fix|bug|defect|pat
     author's earlier commits (``exp``), weighs them by years (``rexp``), and takes the most of one top folder
     (``sexp``). Earlier counts come from windows per path or author.
     """
-    d = fs.dated_changes.select("rev", "path", "loc_added", "loc_deleted", "canonical_author", "date")
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    top = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(F.lit(""))
-    p = F.col("loc_added") / F.nullif(F.sum("loc_added").over(Window.partitionBy("rev")), F.lit(0))
-    own = d.withColumn("p", p).groupBy("rev").agg(
-        F.count_distinct(top).alias("ns"),
-        F.count_distinct(folder).alias("nd"),
-        F.count(F.lit(1)).alias("nf"),
-        F.round(F.coalesce(-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p"))), F.lit(0.0)), 6).alias("entropy"),
-        F.sum("loc_added").alias("la"),
-        F.sum("loc_deleted").alias("ld"),
-    )
-    # counts before each distinct moment of a path
-    moments = d.groupBy("path", "date").agg(F.count(F.lit(1)).alias("n"))
-    back = Window.partitionBy("path").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    before = moments.select("path", "date", F.coalesce(F.sum("n").over(back), F.lit(0)).alias("prior"), F.max("date").over(back).alias("last_at"))
-    history = d.join(before, ["path", "date"]).groupBy("rev").agg(F.sum("prior").alias("nuc"), F.round(F.coalesce(F.avg(F.datediff("date", "last_at")), F.lit(0.0)), 6).alias("age"))
-    ndev = _earlier_authors(d)
-    # experience by distinct moment of an author
-    c = fs.commits.select("rev", "canonical_author", "date", "message")
-    mine = Window.partitionBy("canonical_author").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    turns = c.groupBy("canonical_author", "date").agg(F.count(F.lit(1)).alias("n"))
-    exp = turns.select("canonical_author", "date", F.coalesce(F.sum("n").over(mine), F.lit(0)).alias("exp"))
-    this_year = Window.partitionBy("canonical_author", F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    within = turns.select("canonical_author", "date", F.coalesce(F.sum("n").over(this_year), F.lit(0)).alias("same_year"))
-    years = c.groupBy("canonical_author", F.year("date").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    older = (
-        years.alias("a")
-        .join(years.alias("b"), (F.col("a.canonical_author") == F.col("b.canonical_author")) & (F.col("b.y") < F.col("a.y")))
-        .groupBy("a.canonical_author", "a.y")
-        .agg(F.sum(F.col("b.n") / (1 + F.col("a.y") - F.col("b.y"))).alias("older"))
-    )
-    tops = d.select("rev", top.alias("top"), "canonical_author", "date").distinct()
-    in_top = Window.partitionBy("canonical_author", "top").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    by_top = tops.groupBy("canonical_author", "top", "date").agg(F.count(F.lit(1)).alias("n")).select("canonical_author", "top", "date", F.coalesce(F.sum("n").over(in_top), F.lit(0)).alias("s"))
-    sexp = tops.join(by_top, ["canonical_author", "top", "date"]).groupBy("rev").agg(F.max("s").alias("sexp"))
+    work = stage_table(_commit_work(fs, fix_pattern))
+    tops = work.where("canonical_author is not null").select("cid", "canonical_author", F.unix_micros("date").alias("at"), F.explode("tops").alias("top"))
+    sexp = tops.withColumn("s", F.count("at").over(_before("canonical_author", "top"))).groupBy("cid").agg(F.max("s").alias("sexp"))
     return (
-        own.join(c.withColumn("y", F.year("date")), "rev")
-        .join(history, "rev")
-        .join(ndev, "rev")
-        .join(exp, ["canonical_author", "date"])
-        .join(within, ["canonical_author", "date"])
-        .join(older, ["canonical_author", "y"], "left")
-        .join(sexp, "rev")
-        .select(
-            "rev",
-            "ns",
-            "nd",
-            "nf",
-            "entropy",
-            "la",
-            "ld",
-            F.lit(0.0).alias("lt"),
-            F.coalesce(F.col("message").rlike(fix_pattern), F.lit(False)).alias("fix"),
-            "ndev",
-            "age",
-            "nuc",
-            "exp",
-            F.round(F.col("same_year") + F.coalesce("older", F.lit(0.0)), 6).alias("rexp"),
-            "sexp",
-        )
+        work.drop("canonical_author", "date", "tops", "paths")
+        .join(_path_history(work), "cid")
+        .join(sexp, "cid", "left")
+        .select("rev", "ns", "nd", "nf", "entropy", "la", "ld", F.lit(0.0).alias("lt"), "fix", "ndev", "age", "nuc", "exp", "rexp", F.coalesce("sexp", F.lit(0)).alias("sexp"))
     )
 
 

@@ -127,6 +127,7 @@ class FactStore:
         return (
             self.table("changes")
             .where("rev is not null and path is not null")
+            .repartition("rev")  # one exchange for this and for what is joined or summed by revision
             .dropDuplicates(["rev", "path"])
             .select("rev", "path", "change_type", "rename_from", count("loc_added"), count("loc_deleted"))
         )
