@@ -73,6 +73,7 @@ def corpus_positions(fs: FactStore) -> DataFrame:
     """Where each file lies in the measured corpus of its language and size: ``path``, ``corpus_percentile``, ``samples`` of the language.
 
     Each stratum gives the middle rank of a metric's value among its quantiles; strata count by their samples.
+    Each distinct value of a range of sizes is placed once among the quantiles of all its strata.
     The metric in which the file lies highest counts. Languages of fewer than 500 sample functions are left out.
     """
     sizes = fs.table("strata").select("artifact_id", "lang", "sloc_min", "sloc_max", "sample_functions", "metrics")
@@ -84,17 +85,33 @@ def corpus_positions(fs: FactStore) -> DataFrame:
         .distinct()
         .select("lang", "sloc_min", "sloc_max", "sample_functions", "m.metric", F.filter("m.quantiles", lambda x: x.isNotNull() & ~F.isnan(x)).alias("q"))
         .where(F.size("q") > 0)
-        .join(trusted, "lang")
+        .join(trusted.select("lang"), "lang")
     )
+    strata = strata.select("lang", "metric", "sloc_min", "sloc_max", "sample_functions", "q")
+    # strata of one range of sizes have one step function: the weight of what is less, by distinct value
+    ranges = ["lang", "metric", "sloc_min", "sloc_max"]
+    totals = strata.groupBy(*ranges).agg(F.sum("sample_functions").alias("weight"))
+    steps = strata.select(*ranges, (F.coalesce("sample_functions", F.lit(0)) / F.size("q")).alias("w"), F.explode("q").alias("v"))
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in CORPUS_METRICS]))
-    f, s = fs.files.select("path", "lang", "sloc", values.alias("x")).alias("f"), strata.alias("s")
-    at = (F.col("f.lang") == F.col("s.lang")) & (F.col("f.x.metric") == F.col("s.metric")) & (F.col("f.sloc") >= F.col("s.sloc_min")) & (F.col("f.sloc") <= F.col("s.sloc_max"))
-    met = f.join(s, at).select("f.path", "s.metric", F.col("f.x.v").alias("v"), "s.q", "s.sample_functions", "s.samples")
-    less = F.size(F.filter("q", lambda x: x < F.col("v")))
-    upto = F.size(F.filter("q", lambda x: x <= F.col("v")))
-    part = (less + upto) / (F.size("q") * 2.0)
-    per = met.groupBy("path", "metric").agg(F.round(F.sum(part * F.col("sample_functions")) / F.sum("sample_functions"), 9).alias("p"), F.max("samples").alias("samples"))
-    return per.groupBy("path").agg(F.max("p").alias("corpus_percentile"), F.max("samples").alias("samples"))
+    sized = fs.files.select("path", "lang", "sloc", values.alias("x")).select("path", "lang", "sloc", "x.metric", "x.v")
+    kinds = sized.select("lang", "metric", "sloc", "v").distinct().alias("f")
+    r = totals.alias("r")
+    at = (F.col("f.lang") == F.col("r.lang")) & (F.col("f.metric") == F.col("r.metric")) & (F.col("f.sloc") >= F.col("r.sloc_min")) & (F.col("f.sloc") <= F.col("r.sloc_max"))
+    met = kinds.join(r, at).select(*[f"r.{c}" for c in ranges], "f.sloc", "f.v", _finite(F.col("f.v")).alias("at"), "r.weight")
+    asked = met.where("at is not null").select(*ranges, "at").distinct()
+    events = steps.select(*ranges, _finite(F.col("v")).alias("at"), "w").unionByName(asked.withColumn("w", F.lit(0.0))).groupBy(*ranges, "at").agg(F.sum("w").alias("w"))
+    below = count_below(events, "at", "w", ranges).select(*ranges, "at", ((F.col("_less") + F.col("w") / 2) / F.nullif("_total", F.lit(0.0))).alias("part"))
+    # a missing value lies above nothing
+    placed = met.join(below, [*ranges, "at"], "left").withColumn("part", F.coalesce("part", F.lit(0.0)))
+    share = F.round(F.sum(F.col("part") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0)), 9)
+    per = placed.groupBy("lang", "metric", "sloc", "v").agg(share.alias("p")).join(trusted, "lang")
+    found = sized.alias("f").join(per.alias("p"), (F.col("f.lang") == F.col("p.lang")) & (F.col("f.metric") == F.col("p.metric")) & (F.col("f.sloc") == F.col("p.sloc")) & F.col("f.v").eqNullSafe(F.col("p.v")))
+    return found.groupBy("f.path").agg(F.max("p.p").alias("corpus_percentile"), F.max("p.samples").alias("samples"))
+
+
+def _finite(value: Column) -> Column:
+    """A value that can be put in a bucket of magnitude, in the order of the values; NaN is above all."""
+    return F.when(F.isnan(value), F.lit(1.5e308)).when(value.isNotNull(), F.greatest(F.lit(-1e308), F.least(F.lit(1e308), value)))
 
 
 def corpus_percentiles(fs: FactStore) -> DataFrame:

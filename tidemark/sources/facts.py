@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import drop_staged, read_table, staged_tables
+from tidemark.session import drop_staged, read_table, stage_table, staged_tables
 from tidemark.sources.options import QueryOptions
 
 BRANCH_WORDS = r"\b(if|for|while|case|match|catch|except|elif|switch)\b"
@@ -180,6 +180,10 @@ class FactStore:
             ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
             per = measured.join(whole, ["path", "name"], "left").groupBy("path").agg(*most, F.max(F.when(F.col("unit"), F.col("mi"))).alias("mi"))
             return per.select("path", ending.alias("lang"), "loc", "sloc", "cognitive", "cyclomatic", "bool_ops", "max_nesting", "nargs", "mi")
+        return self.once("files", lambda: stage_table(self._measured_blobs()))
+
+    def _measured_blobs(self) -> DataFrame:
+        """Metrics from the text of each readable file; reading all texts is dear, so :attr:`files` keeps the result."""
         branches = F.regexp_count("content", F.lit(BRANCH_WORDS)).cast("long")
         body = F.split("content", "\n")
         sloc = F.size(F.filter(body, lambda x: F.trim(x) != "")).cast("long")
