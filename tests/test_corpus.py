@@ -45,3 +45,9 @@ def test_corpus_lens_by_hand(spark):
     fs, want = seeded(spark)
     got = {r["path"]: r["corpus_percentile"] for r in rankings.corpus_lens(fs).collect()}
     assert got == {p: None if v is None else pytest.approx(v, abs=2e-9) for p, v in want.items()}
+
+
+def test_hotspots_anchored_by_hand(spark):
+    fs, want = seeded(spark)
+    got = {r["path"]: r["corpus_percentile"] for r in rankings.hotspots_anchored(fs).collect()}
+    assert got == {p: None if v is None else pytest.approx(v, abs=2e-9) for p, v in want.items()}
