@@ -51,3 +51,15 @@ def test_hotspots_anchored_by_hand(spark):
     fs, want = seeded(spark)
     got = {r["path"]: r["corpus_percentile"] for r in rankings.hotspots_anchored(fs).collect()}
     assert got == {p: None if v is None else pytest.approx(v, abs=2e-9) for p, v in want.items()}
+
+
+def test_code_health_reads_texts_once(spark):
+    """What is ranked is stored: neither texts nor pairs of paths are worked out again for each rank."""
+    fs, _ = seeded(spark)
+    fs = fs.replacing(blobs=spark.createDataFrame([(f"f{k}.rs", "rust", 1, "if a, b") for k in range(12)], "path string, lang string, n_bytes long, content string"))
+    fs._tables.pop("files")
+    health = rankings.code_health(fs)
+    plan = health._jdf.queryExecution().optimizedPlan().toString()
+    assert health.count() == 12
+    assert not [word for word in ("regexp_count", "posexplode", "content") if word in plan]
+    fs.close()

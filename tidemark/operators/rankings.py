@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.stats import count_below, wilson_interval
 from tidemark.operators import churn, coupling, ownership
 from tidemark.operators.places import place_rows
+from tidemark.session import stage_table
 from tidemark.sources.facts import FactStore
 
 #: Weights of the smells in structural risk.
@@ -166,7 +167,8 @@ def biomarkers(fs: FactStore, clones: bool = True) -> DataFrame:
     cohort = sized.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COHORT).select("lang")
     large = fs.functions.groupBy("path").agg(F.max("loc").alias("large"))
     god = fans(fs).select("path", (F.col("cognitive") * (F.col("fan_in") + F.col("fan_out"))).alias("god"))
-    base = (
+    # what is ranked is read many times, so it is stored
+    base = stage_table(
         sized.join(cohort, "lang")
         .join(large, "path", "left")
         .join(head_clone_counts(fs) if clones else large.select("path", F.lit(0).alias("clones")), "path", "left")
@@ -180,7 +182,7 @@ def biomarkers(fs: FactStore, clones: bool = True) -> DataFrame:
     long = base.select("path", "lang", F.explode(pairs).alias("p")).select("path", "lang", "p.smell", "p.value")
     ranked = percent_ranked(long, "value", "rank", by=["lang", "smell"])
     present = F.when(F.col("smell").isin("god-class", "dry") & (F.col("value") <= 0), 0.0).otherwise(F.col("rank"))
-    degree = coupling.partner_index(coupling.coupling(fs)).groupBy("path").agg(F.count(F.lit(1)).alias("value"))
+    degree = stage_table(coupling.partner_index(coupling.coupling(fs)).groupBy("path").agg(F.count(F.lit(1)).alias("value")))
     shotgun = percent_ranked(degree, "value", "rank").join(base.select("path", "lang"), "path").select("path", "lang", F.lit("shotgun").alias("smell"), F.col("rank").alias("intensity"))
     return ranked.select("path", "lang", "smell", present.alias("intensity")).unionByName(shotgun)
 
@@ -213,7 +215,7 @@ def code_health(fs: FactStore, clones: bool = True) -> DataFrame:
     """
     lines = fs.changes.groupBy("path").agg(F.sum(F.col("loc_added") + F.col("loc_deleted")).alias("churn"))
     scattered = ownership.ownership(fs.with_options(min_revs=1)).select("path", "fractal_value")
-    risk = percent_ranked(structural_risk(fs, clones), "structural_risk", "percentile", by=["lang"])
+    risk = percent_ranked(stage_table(structural_risk(fs, clones)), "structural_risk", "percentile", by=["lang"])
     joined = risk.join(fs.files.select("path", "cognitive"), "path").join(lines, "path", "left").join(scattered, "path", "left")
     joined = joined.na.fill(0, ["churn"]).na.fill(0.0, ["fractal_value"])
     peak = lines.join(risk.select("path"), "path", "left_semi").agg(F.max("churn").alias("peak"))
