@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import benjamini_hochberg, fisher_p
 from tidemark.operators import churn
+from tidemark.operators.pairs import frequent_pairs
 from tidemark.operators.relations import bucketed
+from tidemark.session import stage_table
 from tidemark.sources.facts import FactStore, folder_of
 
 
@@ -21,9 +23,11 @@ def coupling_pairs(fs: FactStore, changes: DataFrame | None = None) -> DataFrame
 
     Commits above ``max_changeset_size`` paths are left out before pairs are made, so that a basket gives at
     most half its square; paths below ``min_revs`` revisions are removed before the pairs, which changes no
-    result, as the threshold holds for both ends of a pair.
+    result, as the threshold holds for both ends of a pair. With ``time_bucket``, pairs below ``min_coupling_pct``
+    leave here already.
     """
     o = fs.options
+    by_bucket = o.time_bucket is not None and changes is None
     if changes is not None:
         rows = changes
         good = churn.good_commits(fs, rows).select("rev")
@@ -35,9 +39,15 @@ def coupling_pairs(fs: FactStore, changes: DataFrame | None = None) -> DataFrame
         key = F.date_format("at", "yyyy-MM-dd").alias("rev")
         good = sizes.groupBy(key).agg(F.max("n").alias("n")).where(F.col("n") <= o.max_changeset_size).select("rev")
     kept = fs.once(("good rows", id(changes), o), lambda: rows.select("rev", "path").join(good, "rev"))
+    if by_bucket:
+        kept = stage_table(kept)
     n = kept.agg(F.count_distinct("rev").alias("n"))
     revs = kept.groupBy("path").agg(F.count(F.lit(1)).alias("revs"))
     frequent = revs if o.compat else revs.where(F.col("revs") >= o.min_revs)
+    if by_bucket:
+        # a day or month holds all paths of its commits: too many pairs to move
+        pairs = frequent_pairs(kept.join(frequent.select("path"), "path"), "rev", "path", o.min_shared_revs, o.min_coupling_pct / 200).withColumnsRenamed({"a": "entity_a", "b": "entity_b"})
+        return _with_revs(pairs, frequent, n)
     baskets = kept.join(frequent.select("path"), "path").groupBy("rev").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     pairs = (
         baskets.where(F.size("paths") > 1)
@@ -47,6 +57,11 @@ def coupling_pairs(fs: FactStore, changes: DataFrame | None = None) -> DataFrame
         .agg(F.count(F.lit(1)).alias("shared"))
         .where(F.col("shared") >= o.min_shared_revs)
     )
+    return _with_revs(pairs, frequent, n)
+
+
+def _with_revs(pairs: DataFrame, frequent: DataFrame, n: DataFrame) -> DataFrame:
+    """Pairs with the revisions of both ends and the number of all revisions."""
     return (
         pairs.join(frequent.select(F.col("path").alias("entity_a"), F.col("revs").alias("revs_a")), "entity_a")
         .join(frequent.select(F.col("path").alias("entity_b"), F.col("revs").alias("revs_b")), "entity_b")
