@@ -293,7 +293,7 @@ def bus_factor_doe(fs: FactStore) -> DataFrame:
     """Authors to lose, the one covering most first, until over half of a module's expert files are bare.
 
     Files with the same experts are counted together before a module's greedy choice runs, which therefore
-    handles one row per distinct set of experts, not one per file.
+    handles one row per distinct set of experts, not one per file, and each only twice.
     """
     module = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(F.lit("<root>"))
     experts = doe_scores(fs).where("is_expert").groupBy("path").agg(F.sort_array(F.collect_set("author")).alias("who"))
@@ -302,24 +302,23 @@ def bus_factor_doe(fs: FactStore) -> DataFrame:
     def lose(key, pdf):
         import pandas as pd
 
-        covered = {tuple(w): n for w, n in zip(pdf["who"], pdf["files"], strict=True)}
-        files = left = int(pdf["files"].sum())
-        lost, first, first_share = 0, None, 0.0
-        while covered and (files - left) * 2 <= files:
-            counts: dict[str, int] = {}
-            for people, n in covered.items():
-                for a in people:
-                    counts[a] = counts.get(a, 0) + n
-            who = min(counts, key=lambda a: (-counts[a], a))
-            if first is None:
-                first, first_share = who, counts[who] / files
+        # a file is an author's as long as the author is there: losing others never changes an author's count
+        counts: dict[str, int] = {}
+        for people, n in zip(pdf["who"], pdf["files"], strict=True):
+            for a in people:
+                counts[a] = counts.get(a, 0) + n
+        order = sorted(counts, key=lambda a: (-counts[a], a))
+        place = {a: k for k, a in enumerate(order, 1)}
+        # a file is bare once its last expert is lost
+        bare: dict[int, int] = {}
+        for people, n in zip(pdf["who"], pdf["files"], strict=True):
+            last = max(place[a] for a in people)
+            bare[last] = bare.get(last, 0) + n
+        files, gone, lost = int(pdf["files"].sum()), 0, 0
+        while gone * 2 <= files:
             lost += 1
-            rest: dict[tuple, int] = {}
-            for people, n in covered.items():
-                kept = tuple(a for a in people if a != who)
-                if kept:
-                    rest[kept] = rest.get(kept, 0) + n
-            covered, left = rest, sum(rest.values())
+            gone += bare.get(lost, 0)
+        first, first_share = order[0], counts[order[0]] / files
         return pd.DataFrame({"module": [key[0]], "total_commits": [files], "bus_factor": [lost], "top_contributor": [first], "top_contributor_share": [round(first_share, 6)], "model": ["doe"]})
 
     return sets.groupBy("module").applyInPandas(
